@@ -9,6 +9,7 @@ from threadloom.catalog.topic_queries import SUMMARY, given_summary
 from threadloom.operators import comments as ops
 from threadloom.operators import engagement as eng
 from threadloom.operators import network, report
+from threadloom.session import written
 
 QUERIES, ORACLE = {}, {}
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -93,7 +94,7 @@ SELECT thread_id, cluster::INTEGER AS cluster, label, count(*) AS n, round(avg(s
   round(quantile_cont(sentiment, 0.5), 6) AS median, round(quantile_cont(sentiment, 0.75), 6) AS q3
 FROM labelled WHERE label IS NOT NULL GROUP BY ALL""")
 def sentiment_distribution(spark, sf_dir):
-    out = eng.sentiment_distribution(t.analysed(spark, sf_dir))
+    out = eng.sentiment_distribution(t.analysed_table(spark, sf_dir))
     for c in ("mean", "q1", "median", "q3"):
         out = out.withColumn(c, F.round(c, 6))
     return out
@@ -106,8 +107,8 @@ c AS (SELECT thread_id, count(*) AS comments, avg(sentiment) AS s FROM analysed
 SELECT thread_id, comments, coalesce(topics, 0) AS topics, round(p, 6) AS avg_polarization,
   round(s, 6) AS avg_sentiment FROM c LEFT JOIN k USING (thread_id)""")
 def thread_kpis(spark, sf_dir):
-    rows = t.analysed(spark, sf_dir)
-    return report.thread_kpis(rows, given_summary(spark, sf_dir)).select(
+    rows = t.analysed_table(spark, sf_dir)
+    return report.thread_kpis(rows, given_summary(rows)).select(
         "thread_id", "comments", "topics", F.round("avg_polarization", 6).alias("avg_polarization"),
         F.round("avg_sentiment", 6).alias("avg_sentiment"))
 
@@ -116,7 +117,7 @@ def thread_kpis(spark, sf_dir):
   CASE WHEN polarization > 6 THEN 'high' WHEN polarization > 3 THEN 'moderate' ELSE 'low' END AS band, core
 FROM summary""")
 def topic_cards(spark, sf_dir):
-    return report.topic_cards(given_summary(spark, sf_dir))
+    return report.topic_cards(given_summary(t.analysed_table(spark, sf_dir)))
 
 
 @query(f"""WITH {SUMMARY}, ranked AS (
@@ -129,7 +130,8 @@ c AS (SELECT thread_id, count(*) AS comments FROM analysed GROUP BY thread_id)
 SELECT thread_id, concat('{{"clusters":', clusters, ',"comments":', comments, ',"topics":[', topics, ']}}') AS context
 FROM js JOIN n USING (thread_id) JOIN c USING (thread_id)""")
 def topic_context(spark, sf_dir):
-    return report.topic_context(given_summary(spark, sf_dir), t.analysed(spark, sf_dir))
+    rows = t.analysed_table(spark, sf_dir)
+    return report.topic_context(given_summary(rows), rows)
 
 
 @query(f"""WITH {t.ANALYSED}, {t.CENTROIDS}, pairs AS (
@@ -151,7 +153,7 @@ SELECT thread_id, cluster, rank, topics, round(cos(2 * pi() * (rank - 1) / topic
   round(greatest(8.0, least(60.0, 5 * sqrt(participants))), 6) AS size, keywords, participants, polarization
 FROM placed""")
 def topic_network_nodes(spark, sf_dir):
-    nodes = network.topic_network_nodes(given_summary(spark, sf_dir))
+    nodes = network.topic_network_nodes(given_summary(t.analysed_table(spark, sf_dir)))
     return nodes.select(
         "thread_id", "cluster", "rank", "topics", (F.round("x", 6) + 0).alias("x"),
         (F.round("y", 6) + 0).alias("y"), F.round("size", 6).alias("size"), "keywords",
@@ -173,7 +175,7 @@ SELECT thread_id, chunk_id, count(*) AS n_texts, string_agg(text, chr(10) ORDER
 FROM walk GROUP BY thread_id, chunk_id""")
 def text_chunks(spark, sf_dir):
     rows = t.clean(spark, sf_dir).select("thread_id", "comment_key", F.col("body_clean").alias("text"))
-    return report.text_chunks(rows)
+    return report.text_chunks(written(rows, "texts"))
 
 
 @query(f"""WITH {t.ANALYSED},

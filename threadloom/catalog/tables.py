@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.functions.text import NOT_WHITESPACE, WHITESPACE, WORD
 from threadloom.operators import comments as ops
+from threadloom.session import written
 
 THREAD_SIZE = 250
 
@@ -57,7 +58,8 @@ def comments(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFra
     person = F.col("user_id") % 5 == 0
     kind = F.col("event_type")
     pick = d % 40
-    rows = docs.join(events, docs["doc_id"] == events["event_id"]).select(
+    # Both sides grow with the data, so neither may be broadcast.
+    rows = docs.join(events.hint("merge"), docs["doc_id"] == events["event_id"]).select(
         d.alias("comment_key"), F.concat(F.lit("c"), d).alias("id"),
         F.concat(F.lit("t"), F.floor(d / THREAD_SIZE)).alias("thread_id"),
         F.col("source").alias("subreddit"),
@@ -79,7 +81,7 @@ def comments(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFra
     vecs = _load(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("comment_key"), "embedding",
         F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("cluster"))
-    return rows.join(vecs, "comment_key", "left").withColumn(
+    return rows.join(vecs.hint("merge"), "comment_key", "left").withColumn(
         "cluster", F.coalesce("cluster", F.lit(-1)))
 
 
@@ -139,6 +141,11 @@ def clean(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
     return ops.preprocess(comments(spark, sf_dir, vectors))
 
 
+def analysed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``analysed`` as a written table, for queries that read it several times."""
+    return written(analysed(spark, sf_dir), "analysed")
+
+
 def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned comments with a topic, a vector and a sentiment in [-1, 1]."""
     rate = F.round((F.col("score") % 21).cast("double") / 10.0, 2)
@@ -146,17 +153,17 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sentiment", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rate)))
 
 
-def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vecs(rows: DataFrame) -> DataFrame:
     """Topic members that have a vector."""
-    return analysed(spark, sf_dir).filter("cluster <> -1 AND embedding IS NOT NULL")
+    return rows.filter("cluster <> -1 AND embedding IS NOT NULL")
 
 
 CAMPS = ANALYSED + ",\ncamps AS (SELECT *, CAST(comment_key % 2 AS INTEGER) AS camp FROM vecs)"
 
 
-def camps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def camps(rows: DataFrame) -> DataFrame:
     """Topic members with a given camp."""
-    return vecs(spark, sf_dir).withColumn("camp", (F.col("comment_key") % 2).cast("int"))
+    return vecs(rows).withColumn("camp", (F.col("comment_key") % 2).cast("int"))
 
 
 def mean_vectors_sql(source: str, keys: str) -> str:

@@ -49,12 +49,12 @@ POPULAR = "arg_max(body_clean, (score, -comment_key)) FILTER (WHERE score IS NOT
 
 @query(f"WITH {t.ANALYSED}, {DIST} SELECT {TOPIC}, {CORE} AS core FROM dist GROUP BY ALL")
 def topic_core(spark, sf_dir):
-    return ops.quotes(t.analysed(spark, sf_dir)).select("thread_id", "cluster", "core")
+    return ops.quotes(t.analysed_table(spark, sf_dir)).select("thread_id", "cluster", "core")
 
 
 @query(f"WITH {t.ANALYSED}, {DIST} SELECT {TOPIC}, {DISSENT} AS dissent FROM dist GROUP BY ALL")
 def topic_dissent(spark, sf_dir):
-    return ops.quotes(t.analysed(spark, sf_dir)).select("thread_id", "cluster", "dissent")
+    return ops.quotes(t.analysed_table(spark, sf_dir)).select("thread_id", "cluster", "dissent")
 
 
 @query(f"WITH {t.ANALYSED} SELECT {TOPIC}, {POPULAR} AS popular FROM topical GROUP BY ALL")
@@ -104,14 +104,14 @@ def topic_vocab(spark, sf_dir):
 
 @query(f"WITH {t.ANALYSED}, {TFIDF} SELECT {TOPIC}, comment_key, term, round(weight, 6) AS weight FROM tfidf")
 def topic_tfidf(spark, sf_dir):
-    return kw.tfidf(ops.topic_rows(t.analysed(spark, sf_dir)), STOP).select(
+    return kw.tfidf(ops.topic_rows(t.analysed_table(spark, sf_dir)), STOP).select(
         "thread_id", "cluster", "comment_key", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""WITH {t.ANALYSED}, {TFIDF} SELECT {TOPIC}, rank, term, round(weight, 6) AS weight,
   round(weight / max(weight) OVER (PARTITION BY thread_id, cluster), 6) AS relative FROM best WHERE rank <= 15""")
 def keyword_bar(spark, sf_dir):
-    return kw.keyword_bar(ops.topic_rows(t.analysed(spark, sf_dir)), 15, STOP).select(
+    return kw.keyword_bar(ops.topic_rows(t.analysed_table(spark, sf_dir)), 15, STOP).select(
         "thread_id", "cluster", "rank", "term", F.round("weight", 6).alias("weight"),
         F.round("relative", 6).alias("relative"))
 
@@ -123,7 +123,7 @@ KEYWORDS = """keywords AS (SELECT s.thread_id, s.cluster, coalesce(k.keywords, '
 
 @query(f"WITH {t.ANALYSED}, {TFIDF}, {KEYWORDS} SELECT {TOPIC}, keywords FROM keywords")
 def topic_keywords(spark, sf_dir):
-    return kw.topic_keywords(ops.topic_rows(t.analysed(spark, sf_dir)), stop_words=STOP)
+    return kw.topic_keywords(ops.topic_rows(t.analysed_table(spark, sf_dir)), stop_words=STOP)
 
 
 # --- polarization --------------------------------------------------------------
@@ -158,24 +158,24 @@ pol AS (SELECT thread_id, cluster, CASE WHEN n1 + n2 >= 10 AND d > 0 THEN
 
 @query(f"WITH {t.CAMPS}, {BALANCE} SELECT {TOPIC}, n1, n2, round(balance, 6) AS balance FROM balance")
 def camp_balance(spark, sf_dir):
-    return pol.camp_balance(t.camps(spark, sf_dir)).withColumn("balance", F.round("balance", 6))
+    return pol.camp_balance(t.camps(t.analysed(spark, sf_dir))).withColumn("balance", F.round("balance", 6))
 
 
 @query(f"WITH {t.CAMPS}, {SEPARATION} SELECT {TOPIC}, round(d, 6) AS d, round(w, 6) AS w FROM sep")
 def camp_separation(spark, sf_dir):
-    return pol.camp_separation(t.camps(spark, sf_dir)).select(
+    return pol.camp_separation(t.camps(t.analysed_table(spark, sf_dir))).select(
         "thread_id", "cluster", F.round("d", 6).alias("d"), F.round("w", 6).alias("w"))
 
 
 @query(f"WITH {t.CAMPS}, {SILHOUETTE} SELECT {TOPIC}, round(silhouette, 6) AS silhouette FROM sil")
 def camp_silhouette(spark, sf_dir):
-    return pol.camp_silhouette(t.camps(spark, sf_dir)).withColumn("silhouette", F.round("silhouette", 6))
+    return pol.camp_silhouette(t.camps(t.analysed_table(spark, sf_dir))).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query(f"""WITH {t.CAMPS}, {POLARIZATION}
 SELECT {TOPIC}, round(raw, 6) AS polarization_raw, round(raw, 2) AS polarization FROM pol""")
 def topic_polarization(spark, sf_dir):
-    return pol.polarization_from_camps(t.camps(spark, sf_dir)).select(
+    return pol.polarization_from_camps(t.camps(t.analysed_table(spark, sf_dir))).select(
         "thread_id", "cluster", F.round("polarization_raw", 6).alias("polarization_raw"), "polarization")
 
 
@@ -186,14 +186,14 @@ SELECT {TOPIC}, polarization,
   CASE WHEN polarization < 3 THEN 'low' WHEN polarization < 7 THEN 'middle' ELSE 'high' END AS gauge_zone FROM p""")
 def polarization_bands(spark, sf_dir):
     # Scaled by 4, so that the random vectors of the test data reach all bands.
-    scored = pol.polarization_from_camps(t.camps(spark, sf_dir)).select(
+    scored = pol.polarization_from_camps(t.camps(t.analysed_table(spark, sf_dir))).select(
         "thread_id", "cluster", F.round(F.col("polarization_raw") * 4, 2).alias("polarization"))
     return pol.bands(scored)
 
 
 @query()
 def two_camps(spark, sf_dir):
-    return pol.two_camps(t.vecs(spark, sf_dir))
+    return pol.two_camps(t.vecs(t.analysed_table(spark, sf_dir)))
 
 
 def _fixed_start_sql(rounds):
@@ -216,12 +216,12 @@ SELECT {TOPIC}, comment_key, camp::INTEGER AS camp FROM {assign.format(n=rounds)
 
 @query(_fixed_start_sql(3))
 def two_camps_fixed(spark, sf_dir):
-    return pol.fixed_start_camps(t.vecs(spark, sf_dir), rounds=3)
+    return pol.fixed_start_camps(t.vecs(t.analysed_table(spark, sf_dir)), rounds=3)
 
 
 @query()
 def fitted_polarization(spark, sf_dir):
-    return pol.polarization(t.vecs(spark, sf_dir))
+    return pol.polarization(t.vecs(t.analysed_table(spark, sf_dir)))
 
 
 # --- summary ---------------------------------------------------------------------
@@ -235,15 +235,14 @@ summary AS (SELECT s.thread_id, s.cluster::INTEGER AS cluster, keywords, upvotes
   LEFT JOIN ends USING (thread_id, cluster))"""
 
 
-def given_summary(spark, sf_dir):
+def given_summary(rows):
     """Topic summary with the camps given instead of fitted."""
-    scored = pol.polarization_from_camps(t.camps(spark, sf_dir))
-    return ops.topic_summary(t.analysed(spark, sf_dir), scored, stop_words=STOP)
+    return ops.topic_summary(rows, pol.polarization_from_camps(t.camps(rows)), stop_words=STOP)
 
 
 @query(f"WITH {SUMMARY} SELECT * FROM summary")
 def topic_summary(spark, sf_dir):
-    return given_summary(spark, sf_dir)
+    return given_summary(t.analysed_table(spark, sf_dir))
 
 
 @query(f"""WITH {SUMMARY} SELECT a.thread_id, a.comment_key, a.cluster::INTEGER AS cluster, a.score, a.body_clean,
@@ -251,8 +250,8 @@ def topic_summary(spark, sf_dir):
   s.polarization AS topic_polarization
 FROM analysed a JOIN summary s ON s.thread_id = a.thread_id AND s.cluster = a.cluster WHERE a.cluster = 3""")
 def topic_drilldown(spark, sf_dir):
-    rows = t.analysed(spark, sf_dir)
-    return ops.topic_drilldown(rows, given_summary(spark, sf_dir), 3).select(
+    rows = t.analysed_table(spark, sf_dir)
+    return ops.topic_drilldown(rows, given_summary(rows), 3).select(
         "thread_id", "comment_key", "cluster", "score", "body_clean", "topic_keywords",
         "topic_upvotes", "topic_participants", "topic_polarization")
 

@@ -34,6 +34,15 @@ def clean_text(col: Column) -> Column:
     return F.trim(F.regexp_replace(out, rf"{WHITESPACE}+", " "))
 
 
+def once(col: Column) -> Column:
+    """Evaluate a costly expression once per row.
+
+    Spark copies a projected expression into every filter above it. The output
+    of a generator is not copied, and it makes exactly one row here.
+    """
+    return F.explode(F.array(col))
+
+
 def word_count(clean: Column) -> Column:
     """Words in a cleaned text; 0 for the empty text."""
     return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " ")))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threadloom.functions import text
-from threadloom.plans.skew import key_counts, salted_join
 from threadloom.session import cut_lineage
 
 
@@ -23,7 +22,7 @@ def preprocess(comments: DataFrame, min_words: int = 5) -> DataFrame:
     """Sentinel filter, ``body_clean``, ``word_count``; keep >= ``min_words``."""
     return (
         sentinel_filter(comments)
-        .withColumn("body_clean", text.clean_text(F.col("body")))
+        .withColumn("body_clean", text.once(text.clean_text(F.col("body"))))
         .filter(F.col("body_clean") != "")
         .withColumn("word_count", text.word_count(F.col("body_clean")))
         .filter(F.col("word_count") >= min_words)
@@ -51,8 +50,10 @@ def reply_depth(comments: DataFrame, key: str = "comment_key", parent: str = "pa
         rounds -= 1
         above = table.select(F.col("key").alias("up"), F.col("up").alias("next_up"),
                              F.col("hops").alias("next_hops"))
+        # Nothing regroups the result, so Spark may split a hot parent at run
+        # time (adaptive skew join).
         moved = cut_lineage(
-            salted_join(waiting, above, ["up"], ["key"])
+            waiting.join(above, "up")
             .select("key", F.col("next_up").alias("up"),
                     (F.col("hops") + F.col("next_hops")).alias("hops")))
         finished = moved.filter("up IS NULL")
@@ -110,8 +111,12 @@ def continuation_batches(ids: DataFrame, batch_size: int = 20, max_batches: int
 
 
 def join_posts(comments: DataFrame, posts: DataFrame) -> DataFrame:
-    """Copy post columns onto every comment of the thread."""
-    return salted_join(comments, posts, ["thread_id"], ["comment_key"])
+    """Copy post columns onto every comment of the thread.
+
+    Spark broadcasts the posts when they are few and splits the comments of a
+    hot thread otherwise (adaptive skew join).
+    """
+    return comments.join(posts, "thread_id")
 
 
 def thread_gate(posts: DataFrame, min_comments: int = 30) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from threadloom.functions import vectors
 from threadloom.operators import keywords as kw
 from threadloom.operators import polarization as pol
-from threadloom.plans.skew import key_counts, salted_join
+from threadloom.plans.skew import salted_join
 
 NOISE = -1
 TOPIC = ["thread_id", "cluster"]
@@ -102,5 +102,4 @@ def topic_drilldown(analysed: DataFrame, summary: DataFrame, cluster: int) -> Da
         "thread_id", F.col("keywords").alias("topic_keywords"), F.col("upvotes").alias("topic_upvotes"),
         F.col("participants").alias("topic_participants"),
         F.col("polarization").alias("topic_polarization"))
-    return salted_join(rows, head, ["thread_id"], ["comment_key"],
-                       counts=key_counts(rows, ["thread_id"]))
+    return rows.join(head, "thread_id")

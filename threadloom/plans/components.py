@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from threadloom.plans.skew import salted_join
 from threadloom.session import cut_lineage
 
 
@@ -15,7 +14,8 @@ def connected_components(edges: DataFrame, scope: Sequence[str], u: str = "u", v
 
     Each round a node takes the smallest label among itself and its
     neighbours, then jumps to its label's label, so long chains shrink
-    exponentially. Hot nodes and hot labels are split by the joins. A node is
+    exponentially. No join is followed by a grouping on its own key, so Spark
+    may split hot nodes and labels at run time (adaptive skew join). A node is
     a BIGINT; components never cross ``scope``.
     """
     scope = list(scope)
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, scope: Sequence[str], u: str = "u", v
     while changed:
         seen = state.select(*scope, F.col("node").alias("b"), "label")
         near = (
-            salted_join(links, seen, [*scope, "b"], ["a"])
+            links.join(seen, [*scope, "b"])
             .groupBy(*scope, F.col("a").alias("node")).agg(F.min("label").alias("near")))
         lower = cut_lineage(
             state.join(near, [*scope, "node"], "left")
@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, scope: Sequence[str], u: str = "u", v
                     F.least("label", F.coalesce("near", "label")).alias("label")))
         jump = lower.select(*scope, F.col("node").alias("label"), F.col("label").alias("next"))
         after = cut_lineage(
-            salted_join(lower, jump, [*scope, "label"], ["node"])
+            lower.join(jump, [*scope, "label"])
             .select(*scope, "node", "old", F.col("next").alias("label")))
         changed = not after.filter("label <> old").isEmpty()
         state = after.drop("old")
