@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from threadloom.catalog import comment_queries, engagement_queries, topic_queries, vector_queries
+from threadloom.catalog import (
+    comment_queries, engagement_queries, ingest_queries, topic_queries, vector_queries)
 
-MODULES = (comment_queries, topic_queries, engagement_queries, vector_queries)
+MODULES = (ingest_queries, comment_queries, topic_queries, engagement_queries, vector_queries)
 
 
 def all_queries() -> dict:

@@ -78,28 +78,31 @@ def post_headers(documents: DataFrame, min_comments: int = 0) -> DataFrame:
     return accepted(documents, min_comments).select(*columns)
 
 
-def _children(node: dict) -> list:
-    replies = node.get("replies")
-    return replies.get("data", {}).get("children", []) if isinstance(replies, dict) else []
+def _children(holder) -> list:
+    """Child nodes of a listing; anything that is not a listing has none."""
+    data = holder.get("data") if isinstance(holder, dict) else None
+    found = data.get("children") if isinstance(data, dict) else None
+    return [c for c in found if isinstance(c, dict) and isinstance(c.get("data"), dict)] \
+        if isinstance(found, list) else []
 
 
 def _walk(payload: str) -> Iterator[tuple]:
     """Comments and continuation nodes in pre-order, with an explicit stack."""
-    stack = [(child, 0) for child in reversed(json.loads(payload)[1]["data"]["children"])]
+    stack = [(child, 0) for child in reversed(_children(json.loads(payload)[1]))]
     pos = 0
     while stack:
         child, depth = stack.pop()
-        kind, data = child["kind"], child["data"]
+        kind, data = child.get("kind"), child["data"]
         if kind == "t1":
-            below = _children(data)
-            replies = sum(c["kind"] == "t1" for c in below) + sum(
-                c["data"].get("count", 0) for c in below if c["kind"] == "more")
+            below = _children(data.get("replies"))
+            replies = sum(c.get("kind") == "t1" for c in below) + sum(
+                c["data"].get("count", 0) for c in below if c.get("kind") == "more")
             yield (pos, kind, depth, data.get("id"), data.get("parent_id", ""), data.get("author"),
                    data.get("body"), data.get("score", 0), data.get("created_utc", 0), replies, None)
             stack.extend((c, depth + 1) for c in reversed(below))
         elif kind == "more":
             yield (pos, kind, depth, None, None, None, None, None, None, None,
-                   data.get("children", []))
+                   data.get("children") or [])
         pos += 1
 
 
