@@ -7,8 +7,6 @@ the evenness of the camps and confidence the rescaled mean silhouette.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -95,7 +93,7 @@ def _fit_large(blocked: DataFrame) -> DataFrame:
     rows = cut_lineage(blocked)
     by_block = [*TOPIC, "_block"]
     blocks = rows.select(*by_block).distinct()
-    draws = f"thread_id STRING, cluster INT, restart INT, wait DOUBLE, centre ARRAY<DOUBLE>"
+    draws = "thread_id STRING, cluster INT, restart INT, wait DOUBLE, centre ARRAY<DOUBLE>"
 
     def draw_first(pdf):
         points, keys = _matrix(pdf["embedding"]), pdf["comment_key"].to_numpy()
@@ -121,8 +119,9 @@ def _fit_large(blocked: DataFrame) -> DataFrame:
         return drawn.groupBy(*TOPIC, "restart").agg(F.min_by("centre", "wait").alias(name))
 
     def meet(centres, fn, schema):
-        sent = centres.join(blocks, TOPIC)
-        return rows.groupBy(*by_block).cogroup(sent.groupBy(*by_block)).applyInPandas(fn, schema)
+        sent = centres.join(blocks, TOPIC).withColumnsRenamed({c: f"to_{c}" for c in by_block})
+        return rows.groupBy(*by_block).cogroup(
+            sent.groupBy(*[f"to_{c}" for c in by_block])).applyInPandas(fn, schema)
 
     first = cut_lineage(earliest(rows.groupBy(*by_block).applyInPandas(draw_first, draws), "first"))
     second = earliest(meet(first, draw_second, draws), "second")
@@ -137,54 +136,51 @@ def _fit_large(blocked: DataFrame) -> DataFrame:
                          / F.col("_d") * TOLERANCE).alias("stop")))
     centres = cut_lineage(centres.join(spread, TOPIC))
 
-    sums = ("thread_id STRING, cluster INT, restart INT, camp INT, n BIGINT, "
-            "total ARRAY<DOUBLE>, inertia DOUBLE")
+    sums = ("thread_id STRING, cluster INT, restart INT, first ARRAY<DOUBLE>, second ARRAY<DOUBLE>, stop DOUBLE, "
+            "n0 BIGINT, n1 BIGINT, total0 ARRAY<DOUBLE>, total1 ARRAY<DOUBLE>, inertia DOUBLE")
 
     def assign(pdf, state):
         points = _matrix(pdf["embedding"])
         out = []
-        for restart, a, b in zip(state["restart"], state["first"], state["second"]):
-            dist = _squared(points, np.stack([a, b]))
-            labels = dist.argmin(axis=1)
-            for camp in (0, 1):
-                mine = labels == camp
-                out.append((*pdf.loc[0, TOPIC], int(restart), camp, int(mine.sum()),
-                            points[mine].sum(axis=0).tolist(), float(dist[mine, camp].sum())))
-        return pd.DataFrame(out, columns=[*TOPIC, "restart", "camp", "n", "total", "inertia"])
+        for row in state.itertuples():
+            dist = _squared(points, np.stack([row.first, row.second]))
+            near = dist.argmin(axis=1) == 0
+            out.append((*pdf.loc[0, TOPIC], row.restart, row.first, row.second, row.stop,
+                        int(near.sum()), int((~near).sum()), points[near].sum(axis=0).tolist(),
+                        points[~near].sum(axis=0).tolist(), float(dist.min(axis=1).sum())))
+        return pd.DataFrame(out, columns=[
+            *TOPIC, "restart", "first", "second", "stop", "n0", "n1", "total0", "total1", "inertia"])
 
     def label(pdf, state):
         row = state.iloc[0]
         labels = _squared(_matrix(pdf["embedding"]), np.stack([row["first"], row["second"]])).argmin(axis=1)
         return pdf[[*TOPIC, "comment_key"]].assign(camp=labels.astype("int32"))
 
-    moving = centres
-    still = None
+    def moved(old, total, n):
+        mean = F.transform(total, lambda v: v / F.col(n))
+        return F.when(F.col(n) > 0, mean).otherwise(F.col(old))
+
+    restart = [*TOPIC, "restart"]
+    moving, still = centres, None
     for _ in range(MAX_ROUNDS):
-        totals = meet(moving, assign, sums).groupBy(*TOPIC, "restart", "camp").agg(
-            F.sum("n").alias("n"), vectors.sum_vector("total").alias("total"))
-
-        def moved(camp, old):
-            side = totals.filter((F.col("camp") == camp) & (F.col("n") > 0)).select(
-                *TOPIC, "restart", F.transform("total", lambda v: v / F.col("n")).alias(f"_{old}"))
-            return side
-
-        step = (
-            moving.join(moved(0, "first"), [*TOPIC, "restart"], "left")
-            .join(moved(1, "second"), [*TOPIC, "restart"], "left")
-            .withColumn("_first", F.coalesce("_first", "first"))
-            .withColumn("_second", F.coalesce("_second", "second"))
-            .withColumn("shift", F.pow(vectors.distance(F.col("first"), F.col("_first")), 2.0)
-                        + F.pow(vectors.distance(F.col("second"), F.col("_second")), 2.0))
-            .select(*TOPIC, "restart", F.col("_first").alias("first"),
-                    F.col("_second").alias("second"), "stop", "shift"))
-        step = cut_lineage(step)
-        settled = step.filter("shift <= stop").drop("shift")
+        totals = meet(moving, assign, sums).groupBy(*restart).agg(
+            *[F.first(c).alias(c) for c in ("first", "second", "stop")],  # equal in all blocks
+            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
+            vectors.sum_vector("total0").alias("total0"), vectors.sum_vector("total1").alias("total1"))
+        new = totals.withColumn("_first", moved("first", "total0", "n0")).withColumn(
+            "_second", moved("second", "total1", "n1"))
+        shift = (F.pow(vectors.distance(F.col("first"), F.col("_first")), 2.0)
+                 + F.pow(vectors.distance(F.col("second"), F.col("_second")), 2.0))
+        step = cut_lineage(new.select(
+            *restart, F.col("_first").alias("first"), F.col("_second").alias("second"), "stop",
+            (shift <= F.col("stop")).alias("settled")))
+        settled = step.filter("settled").drop("settled")
         still = settled if still is None else still.unionByName(settled)
-        moving = step.filter("shift > stop").drop("shift")
+        moving = step.filter("NOT settled").drop("settled")
         if moving.isEmpty():
             break
-    ends = still.unionByName(moving)
-    inertia = meet(ends, assign, sums).groupBy(*TOPIC, "restart").agg(F.sum("inertia").alias("inertia"))
+    ends = cut_lineage(still.unionByName(moving))
+    inertia = meet(ends, assign, sums).groupBy(*restart).agg(F.sum("inertia").alias("inertia"))
     best = inertia.groupBy(*TOPIC).agg(
         F.min_by("restart", F.struct("inertia", "restart")).alias("restart"))
     return meet(ends.join(best, [*TOPIC, "restart"]), label,
