@@ -34,8 +34,7 @@ def _listing(name: str) -> str:
 
 
 def _headers(documents: DataFrame) -> DataFrame:
-    doc = F.try_parse_json("payload")
-    parsed = documents.withColumn("_doc", doc)
+    parsed = documents.withColumn("_doc", text.once(F.try_parse_json("payload")))
 
     def field(name, kind, default):
         return F.coalesce(F.try_variant_get("_doc", _listing(name), kind), F.lit(default).cast(kind))
