@@ -183,14 +183,21 @@ def expansion_comments(spark, sf_dir):
         "id", "thread_id", "parent_id", "is_root_comment", "body", "score", "depth")
 
 
-@query()
+# One micro-batch: the bins that end by the last event less the lateness.
+@query(f"""WITH {t.COMMENTS}, bins AS (
+  SELECT thread_id, created_utc // 1800 * 1800 AS b, count(id) AS count, round(avg(score), 6) AS avg_score
+  FROM comments WHERE created_utc > 0 GROUP BY ALL)
+SELECT thread_id, strftime(make_timestamp(b * 1000000), '%Y-%m-%d %H:%M:%S') AS bin, count, avg_score
+FROM bins WHERE b + 1800 <= (SELECT max(created_utc) FROM comments) - 3600""")
 def stream_activity_timeline(spark, sf_dir):
     """The comments arrive as files; the closed bins come out."""
     arrived = scratch_path(spark, "arrived")
     rows = t.comments(spark, sf_dir).select("id", "thread_id", "score", "created_utc")
     rows.write.parquet(arrived)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(arrived)
+    stream = spark.readStream.schema(rows.schema).parquet(arrived)
     out = scratch_path(spark, "bins")
     activity.run_available(
         activity.stream_activity_timeline(stream), out, scratch_path(spark, "stream-state"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select(
+        "thread_id", F.date_format("bin", "yyyy-MM-dd HH:mm:ss").alias("bin"), "count",
+        F.round("avg_score", 6).alias("avg_score"))
