@@ -7,7 +7,7 @@ the first, odd turns below the second.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from threadloom.catalog import tables as t
 from threadloom.operators import comments as ops
@@ -120,13 +120,12 @@ def post_header(spark, sf_dir):
     return threads.post_headers(landed(spark, sf_dir), MIN_COMMENTS).drop("url")
 
 
-@query(f"""WITH {CONV} SELECT concat('v', c) AS thread_id, concat('c', c, '_', turn) AS id,
-  CAST(depth AS INTEGER) AS depth, CAST(row_number() OVER (PARTITION BY c ORDER BY side, turn) AS BIGINT) AS walk
-FROM turns""")
+# Positions count continuation nodes too: one at the end of each chain of every
+# third conversation.
+@query(f"""WITH {CONV} SELECT concat('v', c) AS thread_id, concat('c', c, '_', turn) AS id, CAST(depth AS INTEGER) AS depth,
+  depth + CASE WHEN side = 1 THEN (n + 1) // 2 + CASE WHEN c % 3 = 1 THEN 1 ELSE 0 END ELSE 0 END AS pos FROM turns""")
 def comment_tree_flatten(spark, sf_dir):
-    walk = Window.partitionBy("thread_id").orderBy("pos")
-    return threads.comment_records(nodes(spark, sf_dir)).select(
-        "thread_id", "id", "depth", F.row_number().over(walk).cast("long").alias("walk"))
+    return threads.comment_records(nodes(spark, sf_dir)).select("thread_id", "id", "depth", "pos")
 
 
 @query(f"""WITH {CONV} SELECT concat('c', c, '_', turn) AS id, concat('v', c) AS thread_id, 'conv' AS subreddit,
@@ -142,19 +141,19 @@ def comment_records(spark, sf_dir):
 
 
 CONTINUATIONS = f"""{CONV}, ids AS (
-  SELECT c, side, k, concat('h', c, '_', side, '_', k) AS child_id
-  FROM (SELECT DISTINCT c, side FROM turns WHERE c % 3 = 1), range(1, 4) r(k) WHERE k <= c % 4
+  SELECT c, side, k, CASE WHEN side = 0 THEN (n + 1) // 2 ELSE n + 1 END AS node, concat('h', c, '_', side, '_', k) AS child_id
+  FROM (SELECT DISTINCT c, n, side FROM turns WHERE c % 3 = 1), range(1, 4) r(k) WHERE k <= c % 4
   UNION ALL
-  SELECT c, 2, k, concat('r', c, '_', k) FROM good, range(1, 5) r(k) WHERE c % 4 = 0 AND k <= c % 5),
+  SELECT c, 2, k, n + CASE WHEN c % 3 = 1 THEN 2 ELSE 0 END, concat('r', c, '_', k) FROM good, range(1, 5) r(k) WHERE c % 4 = 0 AND k <= c % 5),
 ranked AS (SELECT concat('v', c) AS thread_id, CAST(row_number() OVER (PARTITION BY c ORDER BY side, k) AS BIGINT) AS rn,
   child_id FROM ids)"""
 
 
-@query(f"WITH {CONTINUATIONS} SELECT * FROM ranked")
+@query(f"""WITH {CONTINUATIONS} SELECT concat('v', c) AS thread_id, node, CAST(k - 1 AS INTEGER) AS place, child_id
+FROM ids""")
 def continuation_ids(spark, sf_dir):
-    walk = Window.partitionBy("thread_id").orderBy("pos")
     return threads.continuation_ids(nodes(spark, sf_dir)).select(
-        "thread_id", F.row_number().over(walk).cast("long").alias("rn"), "child_id")
+        "thread_id", F.col("pos._node").alias("node"), F.col("pos._i").alias("place"), "child_id")
 
 
 @query(f"""WITH {CONTINUATIONS} SELECT thread_id, CAST((rn - 1) // 2 AS INTEGER) AS batch,
