@@ -206,18 +206,18 @@ def judged(
     measures = written(measures.select("row", "lang", "q"), "quality")
     references = language_references(measures, rules)
     out = once(
-        measures, "d",
+        measures, "d", q=F.col("q"),
         class_distance=_nearest({k: _class_distance(c) for k, (c, _) in references.items()}),
         word_distance=_nearest({k: _word_distance(w) for k, (_, w) in references.items()}))
 
     def far(distance: str, most: float, guard: int) -> Column:
         beyond = F.coalesce(F.col(distance) > most, F.lit(False))
-        return beyond & (F.col("q.n_words") >= guard)
+        return beyond & (F.col("d.q.n_words") >= guard)
 
-    kept = ~(F.col("q.base_failed")
+    kept = ~(F.col("d.q.base_failed")
              | far("d.class_distance", rules.max_class_distance, rules.min_words_classes)
              | far("d.word_distance", rules.max_word_distance, rules.min_words_common))
-    return out.select("row", "q", "d", kept.alias("kept"))
+    return out.select("row", "d.q", "d", kept.alias("kept"))
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", rules: QualityRules = QualityRules()) -> DataFrame:
