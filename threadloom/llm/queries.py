@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import quality
+from threadloom.llm import near_copies, quality
 from threadloom.llm.tables import table
 
 
+def op4_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.report(table(spark, sf_dir, "documents"), near_copies.NearCopyRules(shingle=4))
+
+
 def op8_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
