@@ -1,0 +1,109 @@
+"""Pseudonyms: format kept, equal values linked, different ones apart, invalid ones left."""
+
+import datetime as dt
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from threadloom.llm import pseudonyms as P
+from threadloom.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def run(spark, texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["text"], [tuple(f) for f in r["found"]]) for r in P.report(df, key=key).orderBy("doc_id").collect()]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        n = int(c) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def mod97(iban):
+    t = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def test_forms_are_kept(spark):
+    texts = ["card 4111 1111 1111 1111!", "4111111111111111", "on 1984-02-29.", "on 31.12.1999,", "ip 10.0.0.1",
+             "+1 (988) 555-2485", "ssn 123-45-6789", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000",
+             "a.b@mail.example.com", "378282246310005"]
+    out = run(spark, texts)
+    for (new, found), old in zip(out, texts):
+        assert len(found) == 1 and new != old and found[0][1] in new
+    value = [f[0][1] for _, f in out]
+    shape = lambda x: re.sub(r"\d", "9", x)
+    for i in (0, 1, 2, 3, 5, 6, 10):
+        assert shape(out[i][0]) == shape(texts[i])
+    assert value[0].replace(" ", "") == value[1]
+    for i in (0, 1, 10):
+        assert luhn(value[i].replace(" ", ""))
+    dt.date.fromisoformat(value[2])
+    dt.datetime.strptime(value[3], "%d.%m.%Y")
+    assert all(0 <= int(x) <= 255 for x in value[4].split("."))
+    assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", value[5])
+    area, group, serial = value[6].split("-")
+    assert 0 < int(area) < 900 and area != "666" and group != "00" and serial != "0000"
+    for i in (7, 8):
+        assert mod97(value[i]) and value[i][:2] == texts[i][:2]
+    assert value[7][5:9] == "WEST"
+
+
+def test_invalid_values_and_plain_numbers_stay(spark):
+    texts = ["4111111111111112", "2023-13-01 2023-02-30", "256.1.1.1", "version 1.2.3", "000-12-3456 666-12-3456",
+             "DE89370400440532013001", "page 12 of 2023", "0000000000000000", "x" * 50, "a@b", "31.13.1999 99.99.2000"]
+    assert run(spark, texts) == [(t, []) for t in texts]
+
+
+def test_equal_values_are_linked_and_keys_matter(spark):
+    a, b = run(spark, ["4111111111111111 and 10.0.0.1", "10.0.0.1, 4111111111111111"])
+    assert sorted(a[1]) == sorted(b[1])
+    assert run(spark, ["4111111111111111"], "other") != run(spark, ["4111111111111111"])
+
+
+@pytest.mark.parametrize("a,b", [(3, 7), (10, 10), (1, 50), (16, 25)])
+def test_feistel_is_a_permutation(spark, a, b):
+    df = spark.range(a * b).select(F.floor(F.col("id") / b).alias("x"), (F.col("id") % b).alias("y"))
+    out = df.select(P.feistel(F.col("x"), F.col("y"), F.lit(a).cast("long"), F.lit(b).cast("long"), "t", "k").alias("s"))
+    rows = {tuple(r["s"]) for r in out.collect()}
+    assert rows == {(x, y) for x in range(a) for y in range(b)}
+
+
+def test_every_date_of_a_block_has_its_own_date(spark):
+    df = spark.range(73_000).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    moved = df.select(P._moved_date(F.col("d"), "k").alias("d"))
+    assert moved.distinct().count() == 73_000
+    assert moved.agg(F.min("d"), F.max("d")).first() == (dt.date(1900, 1, 1), dt.date(1900, 1, 1) + dt.timedelta(72_999))
+
+
+def test_odd_inputs(spark):
+    long = "word " * 20_000 + "4111111111111111"
+    out = run(spark, [None, "", " ", "10.0.0.1", long, "10.0.0.1 10.0.0.1"])
+    assert out[0] == (None, []) and out[1] == ("", []) and out[2] == (" ", [])
+    assert out[4][0].startswith("word " * 20_000) and luhn(out[4][0][-16:])
+    assert len(set(out[5][0].split())) == 1
+    df = spark.createDataFrame([(1, "10.0.0.1", "r", 5)] * 2, "doc_id long, text string, row string, out int")
+    rows = P.replace_personal(df, key="k")
+    assert rows.columns == df.columns
+    assert {(r["row"], r["out"]) for r in rows.collect()} == {("r", 5)} and rows.count() == 2
+    assert P.replace_personal(df.limit(0)).count() == 0
+
+
+def test_query_leaves_no_planted_value(spark):
+    sf = "/root/testdata/sf0.01"
+    source = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = QUERIES["op2_feistel_pseudonyms"](spark, sf).collect()
+    assert len(out) == len(source)
+    planted = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\b(?:\d{1,3}\.){3}\d{1,3}\b|\b\d{16}\b|AKIA\w{16}")
+    for r in out:
+        for v in planted.findall(source[r["doc_id"]]):
+            if not (v.isdigit() and not luhn(v)):
+                assert v not in r["text"]
+        if not r["n_found"]:
+            assert r["text"] == source[r["doc_id"]]
