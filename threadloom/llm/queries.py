@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import near_copies, pseudonyms, quality
+from threadloom.llm import near_copies, packing, pseudonyms, quality
 from threadloom.llm.tables import table
 
 
@@ -12,6 +12,10 @@ def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.report(table(spark, sf_dir, "documents"))
 
 
+def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.report(table(spark, sf_dir, "documents"), near_copies.NearCopyRules(shingle=4))
 
