@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import near_copies, packing, pseudonyms, quality
+from threadloom.llm import near_copies, packing, pseudonyms, quality, sharding
 from threadloom.llm.tables import table
 
 
@@ -24,5 +24,9 @@ def op8_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op")}
 ORACLE: dict[str, str] = {}
