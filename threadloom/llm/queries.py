@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import near_copies, packing, pseudonyms, quality, sharding
+from threadloom.llm import near_copies, packing, pseudonyms, quality, sharding, urls
 from threadloom.llm.tables import table
 
 
@@ -28,5 +28,9 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_boosted_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op")}
 ORACLE: dict[str, str] = {}
