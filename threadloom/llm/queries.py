@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import near_copies, packing, pseudonyms, quality, sentence_pieces, sharding, token_counts, urls
+from threadloom.llm import main_text, near_copies, packing, pseudonyms, quality, sentence_pieces, sharding, token_counts, urls
 from threadloom.llm.tables import table
 
 
@@ -24,6 +24,10 @@ def op5_agenda_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.report(table(spark, sf_dir, "documents"))
 
 
+def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.report(table(spark, sf_dir, "pages"))
+
+
 def op7_finite_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"))
 
