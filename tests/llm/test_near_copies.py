@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from threadloom.llm import near_copies as N
@@ -64,8 +65,9 @@ def test_query_equals_brute_force(spark):
 
 
 def test_edits_around_the_limit_and_hot_groups(spark, monkeypatch):
-    monkeypatch.setattr(N, "STAR_ROUNDS", 1)  # so that tiles run
-    monkeypatch.setattr(N, "TILE_ROWS", 16)
+    monkeypatch.setattr(N, "DRAWS", 1)
+    monkeypatch.setattr(N, "TILE_ROWS", 16)  # so that buckets are split
+    monkeypatch.setattr(N, "BLOCK_TEXTS", 8)
     rng = random.Random(5)
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
     rows = [(10, " ".join(base))]
@@ -100,10 +102,28 @@ def test_keep_one_leaves_one_row_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept) == [1, 4, 5]
 
 
+def test_tiles_alone_find_every_link(spark, monkeypatch):
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(N, "_star", lambda buckets, rank: none)
+    monkeypatch.setattr(N, "TILE_ROWS", 8)
+    rng = random.Random(9)
+    rows = []
+    for g in range(6):
+        base = [f"w{rng.randrange(5000)}" for _ in range(80)]
+        for i in range(25):
+            words = list(base)
+            for _ in range(rng.randrange(0, 7)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(words)))
+    check(spark, rows)
+
+
 def test_signature_distance_estimates_similarity():
     rules = N.NearCopyRules()
     a = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     b = a[400:]
-    differ = (N.signature(a, rules.symbols) != N.signature(b, rules.symbols)).sum()
-    assert differ <= rules.max_distance
-    assert differ / rules.symbols == pytest.approx(0.1, abs=0.12)
+    column = pa.array([N.signature(a, rules.symbols), N.signature(b, rules.symbols)])
+    sig, fine = N._symbols(column, rules.symbols)
+    near = (sig[0] != sig[1]).sum()
+    assert near <= rules.max_distance and near + (fine[0] != fine[1]).sum() <= rules.max_fine_distance
+    assert (near + (fine[0] != fine[1]).sum()) / (rules.symbols + N.FINE) == pytest.approx(0.1, abs=0.08)

@@ -9,11 +9,12 @@ common: a chunk with one symbol left out. No pair within the distance is missed;
 at the default sizes a pair of similarity 0.8 is beyond it about once in a
 million. Links are confirmed on the whole sets.
 
-Buckets of a common key are never turned into all their pairs. Members are
-first tried against one member of the bucket, and what is linked becomes one
-component; later rounds try members of other components only. What remains is
-compared by signature in tiles of bounded size, and only pairs of different
-components within the distance leave a tile.
+Buckets of a common key are never turned into all their pairs. First every
+member is tried against one member of its bucket, drawn by hash; then against
+the one that most links were found for, which lies near the middle of a group.
+What is linked becomes one component. What remains is compared by signature in
+tiles of bounded size; there a longer signature with symbols of 8 bits is looked
+at too, and only near pairs of different components leave a tile.
 
 Null and empty texts and texts without words have an empty set and link with
 nothing. Repeated rows have equal sets; each is returned. A row without an id
@@ -28,15 +29,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.llm.tables import packed, unpacked
 from threadloom.plans.components import connected_components
 from threadloom.session import cut_lineage, written
 
 CHUNK = 4
+#: Symbols of the longer signature; how many may differ is 0.2 of all plus 4.75 standard deviations.
+FINE = 144
 TILE_ROWS = 1024
-STAR_ROUNDS = 6
+#: Texts of a block when links are confirmed; draws that choose the first partner in a bucket.
+BLOCK_TEXTS, DRAWS = 512, 6
 
 
 @dataclass(frozen=True)
@@ -53,6 +57,11 @@ class NearCopyRules:
     def symbols(self) -> int:
         return self.chunks * CHUNK
 
+    @property
+    def max_fine_distance(self) -> int:
+        n, p = self.symbols + FINE, 1 - self.similar_percent / 100
+        return int(n * p + 4.75 * (n * p * (1 - p)) ** 0.5) + 1
+
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
@@ -74,12 +83,20 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return draw[0] | np.uint64(1), draw[1]
 
 
-def signature(hashes: np.ndarray, symbols: int) -> np.ndarray:
-    a, b = _multipliers(symbols)
-    least = np.full(symbols, np.iinfo(np.uint64).max)
-    for start in range(0, len(hashes), 4096):  # bounds the memory of a long text
-        least = np.minimum(least, (hashes[start:start + 4096] * a + b).min(axis=1))
-    return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16)
+def signature(hashes: np.ndarray, symbols: int) -> bytes:
+    """``symbols`` symbols of 16 bits, then ``FINE`` of 8 bits."""
+    a, b = _multipliers(symbols + FINE)
+    least = np.full(symbols + FINE, np.iinfo(np.uint64).max)
+    for start in range(0, len(hashes), 2048):  # bounds the memory of a long text
+        least = np.minimum(least, (hashes[start:start + 2048] * a + b).min(axis=1))
+    mixed = least * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed[:symbols] >> np.uint64(48)).astype("<u2").tobytes() + (mixed[symbols:] >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def _symbols(column: pa.Array, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both signatures of a column, one row each."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.ascontiguousarray(rows[:, :2 * symbols]).view("<u2"), rows[:, 2 * symbols:]
 
 
 def _marked(df: DataFrame, rules: NearCopyRules) -> DataFrame:
@@ -95,7 +112,7 @@ def _marked(df: DataFrame, rules: NearCopyRules) -> DataFrame:
                 n.append(len(hashes))
                 hi.append(int.from_bytes(digest[:8], "big", signed=True))
                 lo.append(int.from_bytes(digest[8:], "big", signed=True))
-                sig.append(signature(hashes, symbols).tobytes() if len(hashes) else None)
+                sig.append(signature(hashes, symbols) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()),
                  pa.array(lo, pa.int64()), pa.array(sig, pa.binary())], ["row", "id", "n", "hi", "lo", "sig"])
@@ -112,8 +129,7 @@ def _keys(classes: DataFrame, rules: NearCopyRules) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16)
-            sig = sig.reshape(-1, chunks, CHUNK).astype(np.int64)
+            sig = _symbols(batch.column("sig"), chunks * CHUNK)[0].reshape(-1, chunks, CHUNK).astype(np.int64)
             keys = np.empty((len(sig), chunks, CHUNK), np.int64)
             for out in range(CHUNK):
                 code = np.broadcast_to(np.arange(chunks) * CHUNK + out, sig.shape[:2]).copy()
@@ -129,46 +145,85 @@ def _keys(classes: DataFrame, rules: NearCopyRules) -> DataFrame:
 
 
 def _within(pairs: DataFrame, classes: DataFrame, rules: NearCopyRules) -> DataFrame:
-    """Pairs (a, b) whose signatures differ in at most ``max_distance`` symbols."""
-    most = rules.max_distance
+    """Pairs (a, b) whose signatures are near."""
+    symbols, most, most_fine = rules.symbols, rules.max_distance, rules.max_fine_distance
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-                    for c in ("sig_a", "sig_b"))
-            yield batch.filter(pa.array((a != b).sum(axis=1) <= most)).select(["a", "b"])
+            (a, fine_a), (b, fine_b) = (_symbols(batch.column(c), symbols) for c in ("sig_a", "sig_b"))
+            differ = (a != b).sum(axis=1)
+            keep = (differ <= most) & (differ + (fine_a != fine_b).sum(axis=1) <= most_fine)
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     sig = classes.select("no", "sig")
     both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
     return both.mapInArrow(near, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearCopyRules) -> DataFrame:
-    """Pairs whose whole sets are similar enough."""
-    size, percent = rules.shingle, rules.similar_percent
+class _Forest(dict):
+    """Which nodes are joined so far."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+    def root(self, x: int) -> int:
+        while x in self:
+            x = self[x]
+        return x
 
-        def get(no: int, text: str) -> np.ndarray:
-            if no not in held:
-                if len(held) >= 64:
-                    held.pop(next(iter(held)))
-                held[no] = shingle_set(text, size)
-            return held[no]
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self[max(a, b)] = min(a, b)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearCopyRules, every: bool = False) -> DataFrame:
+    """Pairs whose whole sets are similar enough.
+
+    Texts are dealt to blocks, and a tile of two blocks gets each text once,
+    however many of its pairs lie there. Unless ``every`` pair is asked for, one
+    whose ends are joined by links of the same tile is passed over.
+    """
+    size, percent = rules.shingle, rules.similar_percent
+    pairs = cut_lineage(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("no"))
+    blocks = F.lit(1 + ends.distinct().count() // BLOCK_TEXTS)
+    block = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
+    tiled = pairs.select(F.least(block("a"), block("b")).alias("lo"), F.greatest(block("a"), block("b")).alias("hi"), "a", "b")
+    needed = tiled.select("lo", "hi", F.explode(F.array("a", "b")).alias("no")).distinct()
+    rows = needed.join(texts, "no").select("lo", "hi", F.col("no").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = rows.unionByName(tiled.withColumn("text", F.lit(None).cast("string")))
+    rows = rows.repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.col("b").asc_nulls_first(), "a")
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sets, forest = None, {}, _Forest()
         for batch in batches:
-            keep = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                s, t = get(a, x), get(b, y)
+            found: list[tuple[int, int]] = []
+            for lo, hi, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "a", "b", "text"))):
+                if tile != (lo, hi):
+                    tile, sets, forest = (lo, hi), {}, _Forest()
+                if b is None:
+                    sets[a] = shingle_set(text, size)
+                    continue
+                if not every and forest.root(a) == forest.root(b):
+                    continue
+                s, t = sets[a], sets[b]
+                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                    continue
                 common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+                if 100 * common >= percent * (len(s) + len(t) - common):
+                    found.append((a, b))
+                    forest.join(a, b)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(check, "a long, b long")
 
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return both.mapInArrow(check, "a long, b long")
+
+def _star(buckets: DataFrame, rank: Column) -> DataFrame:
+    """Each member with the one member of its bucket that is first by ``rank``."""
+    heads = buckets.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "no")).alias("head"))
+    return buckets.join(heads, "key").filter("no <> head.no").select(
+        F.least("no", "head.no").alias("a"), F.greatest("no", "head.no").alias("b")).distinct()
 
 
 def _open_buckets(buckets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -180,14 +235,6 @@ def _open_buckets(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(several, "key")
 
 
-def _star(opened: DataFrame, turn: int) -> DataFrame:
-    """Each member with one member of its bucket, if that is of another component."""
-    heads = opened.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("no", F.lit(turn)).alias("draw"), "no", "part")).alias("head"))
-    return opened.join(heads, "key").filter("part <> head.part").select(
-        F.least("no", "head.no").alias("a"), F.greatest("no", "head.no").alias("b")).distinct()
-
-
 def _tiled(opened: DataFrame, classes: DataFrame, rules: NearCopyRules) -> DataFrame:
     """All pairs of different components within the distance, each from one of its buckets only."""
     blocks = F.ceil(F.col("size") / TILE_ROWS).cast("int")
@@ -197,11 +244,12 @@ def _tiled(opened: DataFrame, classes: DataFrame, rules: NearCopyRules) -> DataF
     tiles = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
                         "block", "no", "part").join(classes.select("no", "sig"), "no")
     tiles = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "no")
-    chunks, most = rules.chunks, rules.max_distance
+    chunks, most, most_fine = rules.chunks, rules.max_distance, rules.max_fine_distance
 
     def compare(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Rows are sorted by tile; row i is compared with row i + d for each distance d inside a tile."""
-        key, lo, hi, block, no, part, sig = (rows[c] for c in ("key", "lo", "hi", "block", "no", "part", "sig"))
+        key, lo, hi, block, no, part, sig, fine = (
+            rows[c] for c in ("key", "lo", "hi", "block", "no", "part", "sig", "fine"))
         first = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
         tile = np.cumsum(first)
         end = np.r_[np.flatnonzero(first)[1:], len(key)][tile - 1]  # where each row's tile ends
@@ -215,8 +263,10 @@ def _tiled(opened: DataFrame, classes: DataFrame, rules: NearCopyRules) -> DataF
             for s in range(0, len(i), 4096):
                 x, y = i[s:s + 4096], j[s:s + 4096]
                 differ = sig[x] != sig[y]
-                near = differ.sum(axis=1) <= most
-                if near.any():
+                n = differ.sum(axis=1)
+                near = np.flatnonzero(n <= most)
+                near = near[n[near] + (fine[x[near]] != fine[y[near]]).sum(axis=1) <= most_fine]
+                if len(near):
                     x, y, differ = x[near], y[near], differ[near].reshape(-1, chunks, CHUNK)
                     ok = differ.sum(axis=2) <= 1  # the pair leaves by the first key it shares
                     chunk = ok.argmax(axis=1)
@@ -240,7 +290,7 @@ def _tiled(opened: DataFrame, classes: DataFrame, rules: NearCopyRules) -> DataF
             if not batch.num_rows:
                 continue
             rows = {c: batch.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "no", "part")}
-            rows["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+            rows["sig"], rows["fine"] = _symbols(batch.column("sig"), chunks * CHUNK)
             if rest is not None:
                 rows = {c: np.concatenate([rest[c], rows[c]]) for c in rows}
             same = (rows["key"] == rows["key"][-1]) & (rows["lo"] == rows["lo"][-1]) & (rows["hi"] == rows["hi"][-1])
@@ -254,31 +304,35 @@ def _tiled(opened: DataFrame, classes: DataFrame, rules: NearCopyRules) -> DataF
     return tiles.mapInArrow(run, "a long, b long")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    return connected_components(links, [], "a", "b").select(F.col("node").alias("no"), F.col("label").alias("part"))
+
+
 def _components(classes: DataFrame, texts: DataFrame, rules: NearCopyRules) -> DataFrame:
     """(no, part) of the classes that are linked with another; ``part`` is the smallest no."""
     keys = _keys(classes, rules)
     shared = keys.groupBy("key").agg(F.min("no").alias("lo"), F.max("no").alias("hi")).filter("lo <> hi")
     buckets = written(keys.join(shared.select("key"), "key"), "buckets")
-    spark = classes.sparkSession
-    parts = spark.createDataFrame([], "no long, part long")
-    links = spark.createDataFrame([], "a long, b long")
-    for turn in range(STAR_ROUNDS + 1):
-        opened = cut_lineage(_open_buckets(buckets, parts))
-        if opened.isEmpty():
-            break
-        tried = turn < STAR_ROUNDS
-        near = _within(_star(opened, turn), classes, rules) if tried else _tiled(opened, classes, rules)
-        new = written(_confirmed(near, texts, rules), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            parts = cut_lineage(connected_components(links, [], "a", "b").select(
-                F.col("node").alias("no"), F.col("label").alias("part")))
-        elif tried:  # stars find nothing more: compare what is left
-            new = written(_confirmed(_tiled(opened, classes, rules), texts, rules), "links")
-            links = links.unionByName(new)
-            return connected_components(links, [], "a", "b").select(
-                F.col("node").alias("no"), F.col("label").alias("part"))
-    return parts
+
+    drawn = _star(buckets, F.xxhash64("no", F.pmod("key", F.lit(DRAWS))))
+    first = written(_confirmed(_within(drawn, classes, rules), texts, rules, every=True), "links")
+    degree = first.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = buckets.join(degree, "no", "left")
+    middle = _star(ranked, -F.coalesce("degree", F.lit(0))).join(first, ["a", "b"], "left_anti")
+    second = written(_confirmed(_within(middle, classes, rules), texts, rules), "links")
+    parts = cut_lineage(_labels(first.unionByName(second)))
+
+    opened = written(_open_buckets(buckets, parts), "opened")
+    last = written(_confirmed(_tiled(opened, classes, rules), texts, rules), "links")
+    if last.isEmpty():
+        return parts
+    known = parts.select(F.col("no").alias("a"), F.col("part").alias("u"))
+    merged = last.join(known, "a", "left").join(known.toDF("b", "v"), "b", "left").select(
+        F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b"))
+    joined = _labels(merged).toDF("part", "whole")  # of components and single classes
+    moved = parts.join(joined, "part", "left").select("no", F.coalesce("whole", "part").alias("part"))
+    alone = joined.join(parts.select(F.col("no").alias("part")), "part", "left_anti")
+    return moved.unionByName(alone.toDF("no", "part"))
 
 
 def grouped(
