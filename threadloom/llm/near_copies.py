@@ -13,8 +13,9 @@ Buckets of a common key are never turned into all their pairs. First every
 member is tried against one member of its bucket, drawn by hash; then against
 the one that most links were found for, which lies near the middle of a group.
 What is linked becomes one component. What remains is compared by signature in
-tiles of bounded size; there a longer signature with symbols of 8 bits is looked
-at too, and only near pairs of different components leave a tile.
+tiles of bounded size, where a longer signature with symbols of 8 bits is looked
+at too. Rows with a near partner of another component bring their texts to the
+tile, and only links that join components leave it.
 
 Null and empty texts and texts without words have an empty set and link with
 nothing. Repeated rows have equal sets; each is returned. A row without an id
@@ -176,6 +177,13 @@ class _Forest(dict):
             self[max(a, b)] = min(a, b)
 
 
+def _similar(s: np.ndarray, t: np.ndarray, rules: NearCopyRules) -> bool:
+    if 100 * min(len(s), len(t)) < rules.similar_percent * max(len(s), len(t)):
+        return False
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * common >= rules.similar_percent * (len(s) + len(t) - common)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearCopyRules, every: bool = False) -> DataFrame:
     """Pairs whose whole sets are similar enough.
 
@@ -183,7 +191,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearCopyRules, every:
     however many of its pairs lie there. Unless ``every`` pair is asked for, one
     whose ends are joined by links of the same tile is passed over.
     """
-    size, percent = rules.shingle, rules.similar_percent
+    size = rules.shingle
     pairs = cut_lineage(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("no"))
     blocks = F.lit(1 + ends.distinct().count() // BLOCK_TEXTS)
@@ -206,11 +214,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearCopyRules, every:
                     continue
                 if not every and forest.root(a) == forest.root(b):
                     continue
-                s, t = sets[a], sets[b]
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                    continue
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * common >= percent * (len(s) + len(t) - common):
+                if _similar(sets[a], sets[b], rules):
                     found.append((a, b))
                     forest.join(a, b)
             yield pa.RecordBatch.from_arrays(
@@ -235,73 +239,102 @@ def _open_buckets(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(several, "key")
 
 
-def _tiled(opened: DataFrame, classes: DataFrame, rules: NearCopyRules) -> DataFrame:
-    """All pairs of different components within the distance, each from one of its buckets only."""
+Rows = dict[str, np.ndarray]
+
+
+def _near_in_tiles(rows: Rows, rules: NearCopyRules) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers: of one tile, different components, near signatures, and this the first key they share.
+
+    Rows are sorted by tile; row i is held against row i + d for each distance d inside its tile.
+    """
+    key, lo, hi, block, part, sig, fine = (rows[c] for c in ("key", "lo", "hi", "block", "part", "sig", "fine"))
+    first = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+    end = np.r_[np.flatnonzero(first)[1:], len(key)][np.cumsum(first) - 1]  # where each row's tile ends
+    live = np.flatnonzero(np.arange(len(key)) + 1 < end)
+    d = 1
+    while len(live):
+        i, j = live, live + d
+        use = (part[i] != part[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
+        i, j = i[use], j[use]
+        for at in range(0, len(i), 4096):
+            x, y = i[at:at + 4096], j[at:at + 4096]
+            differ = sig[x] != sig[y]
+            n = differ.sum(axis=1)
+            near = np.flatnonzero(n <= rules.max_distance)
+            near = near[n[near] + (fine[x[near]] != fine[y[near]]).sum(axis=1) <= rules.max_fine_distance]
+            x, y, differ = x[near], y[near], differ[near].reshape(-1, rules.chunks, CHUNK)
+            chunk = (differ.sum(axis=2) <= 1).argmax(axis=1)
+            out = differ[np.arange(len(x)), chunk].argmax(axis=1)
+            mine = (key[x] >> 48) == chunk * CHUNK + out
+            if mine.any():
+                yield x[mine], y[mine]
+        d += 1
+        live = live[live + d < end[live]]
+
+
+def _by_tiles(batches: Iterator[pa.RecordBatch], rules: NearCopyRules, work, text: bool) -> Iterator[pa.RecordBatch]:
+    """``work`` on the rows of whole tiles; a tile may go on in the next batch."""
+    rest: Rows | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: batch.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "no", "part")}
+        rows["sig"], rows["fine"] = _symbols(batch.column("sig"), rules.symbols)
+        if text:
+            rows["set"] = np.empty(batch.num_rows, object)
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                rows["set"][i] = shingle_set(t, rules.shingle)
+        if rest is not None:
+            rows = {c: np.concatenate([rest[c], rows[c]]) for c in rows}
+        same = (rows["key"] == rows["key"][-1]) & (rows["lo"] == rows["lo"][-1]) & (rows["hi"] == rows["hi"][-1])
+        cut = int(np.argmax(same))
+        if cut:
+            yield work({c: x[:cut] for c, x in rows.items()})
+        rest = {c: x[cut:] for c, x in rows.items()}
+    if rest is not None:
+        yield work(rest)
+
+
+def _tiled(opened: DataFrame, classes: DataFrame, texts: DataFrame, rules: NearCopyRules) -> DataFrame:
+    """The links between components of a bucket, as far as they join something in their tile.
+
+    First signatures alone tell which rows have a near partner in a tile; only
+    those bring their texts to it, where the links are confirmed.
+    """
     blocks = F.ceil(F.col("size") / TILE_ROWS).cast("int")
     rows = opened.withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("no", F.lit("block")), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                        "block", "no", "part").join(classes.select("no", "sig"), "no")
-    tiles = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "no")
-    chunks, most, most_fine = rules.chunks, rules.max_distance, rules.max_fine_distance
-
-    def compare(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows are sorted by tile; row i is compared with row i + d for each distance d inside a tile."""
-        key, lo, hi, block, no, part, sig, fine = (
-            rows[c] for c in ("key", "lo", "hi", "block", "no", "part", "sig", "fine"))
-        first = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
-        tile = np.cumsum(first)
-        end = np.r_[np.flatnonzero(first)[1:], len(key)][tile - 1]  # where each row's tile ends
-        found_a, found_b = [], []
-        live = np.flatnonzero(np.arange(len(key)) + 1 < end)
-        d = 1
-        while len(live):
-            i, j = live, live + d
-            use = (part[i] != part[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
-            i, j = i[use], j[use]
-            for s in range(0, len(i), 4096):
-                x, y = i[s:s + 4096], j[s:s + 4096]
-                differ = sig[x] != sig[y]
-                n = differ.sum(axis=1)
-                near = np.flatnonzero(n <= most)
-                near = near[n[near] + (fine[x[near]] != fine[y[near]]).sum(axis=1) <= most_fine]
-                if len(near):
-                    x, y, differ = x[near], y[near], differ[near].reshape(-1, chunks, CHUNK)
-                    ok = differ.sum(axis=2) <= 1  # the pair leaves by the first key it shares
-                    chunk = ok.argmax(axis=1)
-                    out = differ[np.arange(len(x)), chunk].argmax(axis=1)
-                    mine = (key[x] >> 48) == chunk * CHUNK + out
-                    found_a.append(no[x[mine]])
-                    found_b.append(no[y[mine]])
-            d += 1
-            live = live[live + d < end[live]]
-        empty = np.empty(0, np.int64)
-        return np.concatenate(found_a or [empty]), np.concatenate(found_b or [empty])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
-
-        def out(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            a, b = compare(rows)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = {c: batch.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "no", "part")}
-            rows["sig"], rows["fine"] = _symbols(batch.column("sig"), chunks * CHUNK)
-            if rest is not None:
-                rows = {c: np.concatenate([rest[c], rows[c]]) for c in rows}
-            same = (rows["key"] == rows["key"][-1]) & (rows["lo"] == rows["lo"][-1]) & (rows["hi"] == rows["hi"][-1])
-            cut = int(np.argmax(same))  # the last tile may go on in the next batch
-            if cut:
-                yield out({c: x[:cut] for c, x in rows.items()})
-            rest = {c: x[cut:] for c, x in rows.items()}
-        if rest is not None:
-            yield out(rest)
-
-    return tiles.mapInArrow(run, "a long, b long")
+    tile = ["key", "lo", "hi"]
+    columns = [*tile, "block", "no", "part"]
+    rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select(columns)
+
+    def in_tiles(df: DataFrame) -> DataFrame:
+        return df.join(classes.select("no", "sig"), "no").repartition(*tile).sortWithinPartitions(*tile, "no")
+
+    def mark(rows: Rows) -> pa.RecordBatch:
+        met = np.zeros(len(rows["no"]), bool)
+        for x, y in _near_in_tiles(rows, rules):
+            met[x] = met[y] = True
+        return pa.RecordBatch.from_arrays([pa.array(rows[c][met]) for c in columns], columns)
+
+    def link(rows: Rows) -> pa.RecordBatch:
+        forests: dict[tuple, _Forest] = {}
+        found: list[tuple[int, int]] = []
+        sets, part, no = rows["set"], rows["part"], rows["no"]
+        for xs, ys in _near_in_tiles(rows, rules):
+            for x, y in zip(xs.tolist(), ys.tolist()):
+                forest = forests.setdefault((rows["key"][x], rows["lo"][x], rows["hi"][x]), _Forest())
+                if forest.root(part[x]) != forest.root(part[y]) and _similar(sets[x], sets[y], rules):
+                    forest.join(part[x], part[y])
+                    found.append((no[x], no[y]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    marked = in_tiles(rows).mapInArrow(
+        lambda batches: _by_tiles(batches, rules, mark, False), "key long, lo int, hi int, block int, no long, part long")
+    return in_tiles(marked.join(texts, "no")).mapInArrow(
+        lambda batches: _by_tiles(batches, rules, link, True), "a long, b long")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -323,7 +356,7 @@ def _components(classes: DataFrame, texts: DataFrame, rules: NearCopyRules) -> D
     parts = cut_lineage(_labels(first.unionByName(second)))
 
     opened = written(_open_buckets(buckets, parts), "opened")
-    last = written(_confirmed(_tiled(opened, classes, rules), texts, rules), "links")
+    last = written(_tiled(opened, classes, texts, rules), "links")
     if last.isEmpty():
         return parts
     known = parts.select(F.col("no").alias("a"), F.col("part").alias("u"))
