@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import main_text, near_copies, packing, pseudonyms, quality, sentence_pieces, sharding, token_counts, urls
+from threadloom.llm import main_text, near_copies, packing, pseudonyms, quality, sentence_pieces, sharding, token_counts, urls, vector_links
 from threadloom.llm.tables import table
 
 
+def op1_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.report(table(spark, sf_dir, "embeddings"))
+
+
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.report(table(spark, sf_dir, "documents"))
 
