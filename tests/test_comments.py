@@ -87,8 +87,9 @@ def test_reply_depth_of_chain_star_orphan_and_cycle(spark):
     pairs += [(100, None)] + [(100 + i, 100) for i in range(1, 30)]  # star
     pairs += [(200, 999), (201, 200)]                               # parent is absent
     pairs += [(300, 301), (301, 300), (302, 300)]                   # cycle
-    got = {r["comment_key"]: r["depth"] for r in ops.reply_depth(tree(spark, pairs)).collect()}
-    want = {i: i for i in range(40)} | {100: 0} | {100 + i: 1 for i in range(1, 30)}
+    got = {r["comment_key"]: (r["depth"], r["reason"]) for r in ops.reply_depth(tree(spark, pairs)).collect()}
+    want = {i: (i, None) for i in range(40)} | {100: (0, None)} | {100 + i: (1, None) for i in range(1, 30)}
+    want |= dict.fromkeys((200, 201), (None, "no_parent")) | dict.fromkeys((300, 301, 302), (None, "cycle"))
     assert got == want
 
 
@@ -106,12 +107,17 @@ def test_merge_keeps_duplicates_unless_asked(spark):
     assert merged == [("a", 0), ("b", 2), ("b", 5), ("c", 1)]
     once = sorted((r["id"], r["depth"]) for r in ops.merge_expansions(base, extra, dedupe=True).collect())
     assert once == [("a", 0), ("b", 2), ("c", 1)]
+    nameless = spark.createDataFrame([(None, "t", 0), (None, "t", 1), ("a", "t", 7)], schema)
+    rows = ops.merge_expansions(base, nameless, dedupe=True).collect()
+    assert sorted((r["id"] or "", r["depth"]) for r in rows) == [("", 0), ("", 1), ("a", 0), ("b", 2)]
 
 
-def test_continuation_batches_default_cap(spark):
+def test_continuation_batches_with_and_without_a_limit(spark):
     ids = spark.range(450).select(
         F.lit("t").alias("thread_id"), F.col("id").alias("pos"), F.concat(F.lit("x"), "id").alias("child_id"))
-    rows = ops.continuation_batches(ids).orderBy("batch").collect()
+    every = ops.continuation_batches(ids).orderBy("batch").collect()
+    assert [x for r in every for x in r["child_ids"]] == [f"x{i}" for i in range(450)]
+    rows = ops.continuation_batches(ids, max_batches=20).orderBy("batch").collect()
     assert [len(r["child_ids"]) for r in rows] == [20] * 20
     assert rows[0]["child_ids"] == [f"x{i}" for i in range(20)]
     assert rows[-1]["child_ids"][-1] == "x399"

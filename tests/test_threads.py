@@ -1,7 +1,9 @@
 """Landed documents, the written result and the stream."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import comments as ops
@@ -61,19 +63,60 @@ def test_continuation_ids_in_walk_order(spark):
     assert ops.continuation_batches(ids).first()["child_ids"] == ["m1", "m2", "m3", "m4", "m5"]
 
 
-def test_deep_tree(spark):
-    node = comment("x0")
-    for i in range(1, 150):
-        node = comment(f"x{i}", listing(node))
-    rows = threads.comment_records(threads.tree_nodes(threads.accepted(frame(spark, thread(node)))))
-    assert rows.agg(F.max("depth")).first()[0] == 149
+@pytest.mark.parametrize("levels", [150, 180, 1_000, 20_000])
+def test_deep_tree(spark, levels):
+    head, inner, tail = thread("@").split('"@"')[0], "", ""
+    for i in range(levels):
+        inner += '{"kind":"t1","data":{"id":"x%d","body":"b","replies":{"data":{"children":[' % i
+        tail += "]}}}}"
+    rows = threads.comment_records(threads.tree_nodes(threads.accepted(frame(spark, head + inner + tail + "]}}]"))))
+    assert rows.agg(F.max("depth"), F.count("id")).first() == (levels - 1, levels)
+    broken = frame(spark, head + inner + tail + "]}}")
+    assert [r["reason"] for r in threads.quarantine(broken).collect()] == ["not_json"]
+
+
+def test_the_deep_reader_reads_what_json_reads():
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 6)
+        if kind < 6:
+            return [None, True, False, rng.randrange(-9, 9), rng.random() * 1e9, 'a"\\\n\u00e9{[,'][kind]
+        return {str(i): value(depth - 1) for i in range(rng.randrange(4))} if kind == 6 else [
+            value(depth - 1) for _ in range(rng.randrange(4))]
+
+    for _ in range(300):
+        doc = value(4)
+        assert threads._load_deep(json.dumps(doc, indent=rng.choice([None, 2]))) == doc
+    for bad in ("", "[1,]", '{"a":}', "[1 2]", "{]", "1 2", "[", '{"a" 1}', "nul", '["x]', "{1:2}", "],", ",", '{"a":1,}'):
+        with pytest.raises(ValueError):
+            threads._load_deep(bad)
+
+
+def test_wrong_types_leave_the_node(spark):
+    odd = thread(comment("a", listing(more(["m"], None), {"kind": "more", "data": {"count": None, "children": [1, None, "n"]}}),
+                         score=3.5, body=7, created_utc="soon", author=["x"]),
+                 comment(None, "", score="4", parent_id=None), {"kind": "t1", "data": "x"}, {"kind": "more", "data": {"children": "y"}})
+    nodes = threads.tree_nodes(threads.accepted(frame(spark, odd)))
+    rows = sorted(threads.comment_records(nodes).collect(), key=lambda r: r["pos"])
+    assert [(r["id"], r["score"], r["body"], r["created_utc"], r["author"], r["replies_count"]) for r in rows] == [
+        ("a", 3, "7", None, None, 0), (None, None, "body None", 60.0, "a", 0)]
+    assert [r["child_id"] for r in threads.continuation_ids(nodes).orderBy("pos").collect()] == ["m", "1", "n"]
+
+
+def test_odd_expansions(spark):
+    rows = [("p", "s", "{}"), ("q", "s", "nope"), ("r", "s", None), ("t", "s", json.dumps([1, comment("x", depth="deep"), more()]))]
+    df = spark.createDataFrame(rows, "thread_id STRING, subreddit STRING, payload STRING")
+    assert [(r["id"], r["depth"]) for r in threads.expansion_comments(df).collect()] == [("x", 1)]
+    bad = {r["thread_id"]: r["reason"] for r in threads.expansion_quarantine(df).collect()}
+    assert bad == {"p": "not_a_list", "q": "not_json", "r": "not_json"}
 
 
 def test_quarantine_and_gate(spark):
     df = frame(spark, thread(num_comments=29), thread(num_comments=30, id="ok"), "{}", "not json", "[1]", "[]", '"text"',
-               json.dumps([listing({"data": {"id": "n"}}), listing()]))
+               json.dumps([listing({"data": {"id": "n"}}), listing()]), thread(id=None), None)
     bad = sorted(r["reason"] for r in threads.quarantine(df).collect())
-    assert bad == ["not_a_list", "not_a_list", "not_json", "too_short", "too_short", "too_small", "too_small"]
+    assert bad == ["no_id", "not_a_list", "not_a_list", "not_json", "not_json", "too_short", "too_short", "too_small", "too_small"]
     assert [r["thread_id"] for r in threads.accepted(df).collect()] == ["ok"]
 
 
@@ -94,8 +137,10 @@ def test_documents_to_comments(spark, tmp_path):
     (tmp_path / "two.json").write_text("broken")
     documents = threads.read_thread_documents(spark, str(tmp_path))
     expansion = spark.createDataFrame(
-        [("p", "s", json.dumps([comment("a"), comment("new")]))], "thread_id STRING, subreddit STRING, payload STRING")
+        [("p", "s", json.dumps([comment("a"), comment("new")])), ("small", "s", json.dumps([comment("no")]))], "thread_id STRING, subreddit STRING, payload STRING")
     rows = read_comments(documents, expansions=expansion).collect()
+    again = read_comments(documents.repartition(3), expansions=expansion).collect()
+    assert {tuple(r) for r in rows} == {tuple(r) for r in again}
     assert sorted(r["id"] for r in rows) == ["a", "a", "b", "c", "d", "e", "f", "new"]
     assert len({r["comment_key"] for r in rows}) == 8
 

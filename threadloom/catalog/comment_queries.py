@@ -57,7 +57,7 @@ def word_count(spark, sf_dir):
     return rows.select("comment_key", text.word_count(text.clean_text(F.col("body"))).alias("word_count"))
 
 
-@query(f"WITH RECURSIVE {t.COMMENTS}, {t.DEPTHS} SELECT comment_key, depth FROM depths")
+@query(f"WITH RECURSIVE {t.COMMENTS}, {t.DEPTHS} SELECT comment_key, depth, reason FROM all_depths")
 def reply_depth(spark, sf_dir):
     return ops.reply_depth(t.comments(spark, sf_dir))
 
@@ -121,14 +121,22 @@ def _expansion_parts(spark, sf_dir):
 @query(f"""WITH {t.COMMENTS}, ranked AS (
   SELECT thread_id, id, row_number() OVER (PARTITION BY thread_id ORDER BY comment_key) AS rn FROM comments)
 SELECT thread_id, CAST(floor((rn - 1) / 20) AS INTEGER) AS batch, string_agg(id, ',' ORDER BY rn) AS child_ids
-FROM ranked WHERE rn <= 100 GROUP BY ALL""")
+FROM ranked GROUP BY ALL""")
 def continuation_batches(spark, sf_dir):
     ids = t.comments(spark, sf_dir).select(
         "thread_id", F.col("comment_key").alias("pos"), F.col("id").alias("child_id"))
-    return ops.continuation_batches(ids, batch_size=20, max_batches=5).withColumn(
+    return ops.continuation_batches(ids, batch_size=20).withColumn(
         "child_ids", F.array_join("child_ids", ","))
 
 
+# Every fifth comment was asked for; those whose key is even came back.
+@query(f"""WITH {t.COMMENTS} SELECT thread_id, id AS child_id FROM comments WHERE comment_key % 5 = 0 AND comment_key % 2 = 1""")
+def missing_continuations(spark, sf_dir):
+    rows = t.comments(spark, sf_dir)
+    asked = rows.filter("comment_key % 5 = 0").select("thread_id", F.col("id").alias("child_id"))
+    return ops.missing_continuations(asked, rows.filter("comment_key % 2 = 0"))
+
+
 @query("""SELECT concat('v', conv_id) AS thread_id, count(*) AS num_comments
 FROM conversations GROUP BY conv_id HAVING count(*) >= 5""")
 def thread_gate(spark, sf_dir):

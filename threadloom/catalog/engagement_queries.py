@@ -47,7 +47,7 @@ def topic_activity(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {t.COMMENTS}, {t.DEPTHS}
 SELECT thread_id, depth, round(avg(score), 6) AS avg_score, count(id) AS count
-FROM comments JOIN depths USING (comment_key) WHERE depth <= 8 GROUP BY thread_id, depth""")
+FROM comments JOIN all_depths USING (comment_key) GROUP BY thread_id, depth""")
 def depth_engagement(spark, sf_dir):
     rows = t.comments(spark, sf_dir).select("comment_key", "id", "thread_id", "parent_key", "score")
     return eng.depth_engagement(t.with_depth(rows)).withColumn("avg_score", F.round("avg_score", 6))
@@ -127,8 +127,8 @@ js AS (SELECT thread_id, string_agg(concat('{{"id":', cluster, ',"keywords":"',
   FROM ranked WHERE rk <= 6 GROUP BY thread_id),
 n AS (SELECT thread_id, count(*) AS clusters FROM summary GROUP BY thread_id),
 c AS (SELECT thread_id, count(*) AS comments FROM analysed GROUP BY thread_id)
-SELECT thread_id, concat('{{"clusters":', clusters, ',"comments":', comments, ',"topics":[', topics, ']}}') AS context
-FROM js JOIN n USING (thread_id) JOIN c USING (thread_id)""")
+SELECT thread_id, concat('{{"clusters":', coalesce(clusters, 0), ',"comments":', comments, ',"topics":[', coalesce(topics, ''), ']}}') AS context
+FROM c LEFT JOIN js USING (thread_id) LEFT JOIN n USING (thread_id)""")
 def topic_context(spark, sf_dir):
     rows = t.analysed_table(spark, sf_dir)
     return report.topic_context(given_summary(rows), rows)

@@ -157,10 +157,10 @@ def continuation_ids(spark, sf_dir):
 
 
 @query(f"""WITH {CONTINUATIONS} SELECT thread_id, CAST((rn - 1) // 2 AS INTEGER) AS batch,
-  string_agg(child_id, ',' ORDER BY rn) AS child_ids FROM ranked WHERE rn <= 4 GROUP BY ALL""")
+  string_agg(child_id, ',' ORDER BY rn) AS child_ids FROM ranked GROUP BY ALL""")
 def landed_continuation_batches(spark, sf_dir):
     ids = threads.continuation_ids(nodes(spark, sf_dir))
-    return ops.continuation_batches(ids, batch_size=2, max_batches=2).withColumn(
+    return ops.continuation_batches(ids, batch_size=2).withColumn(
         "child_ids", F.array_join("child_ids", ","))
 
 

@@ -33,6 +33,7 @@ comments AS (
     concat('t', CAST(floor(d.doc_id / {THREAD_SIZE}) AS BIGINT)) AS thread_id, d.source AS subreddit,
     CASE WHEN d.doc_id % 250 < 10 THEN NULL
          WHEN d.doc_id % 250 < 200 THEN d.doc_id - d.doc_id % 250 + CAST(floor((d.doc_id % 250 - 10) / 3) AS BIGINT)
+         WHEN d.doc_id % 250 = 247 THEN d.doc_id + 1 WHEN d.doc_id % 250 = 249 THEN -1 - d.doc_id
          ELSE d.doc_id - 1 END AS parent_key,
     CASE WHEN e.event_type = 'error' AND e.user_id % 5 = 0 THEN '[deleted]'
          WHEN e.event_type = 'signup' AND e.user_id % 5 = 0 THEN 'AutoModerator'
@@ -65,6 +66,7 @@ def comments(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFra
         F.col("source").alias("subreddit"),
         F.when(place < 10, F.lit(None).cast("long"))
         .when(place < 200, d - place + F.floor((place - 10) / 3))
+        .when(place == 247, d + 1).when(place == 249, -1 - d)  # a cycle of two, and a parent that is not there
         .otherwise(d - 1).alias("parent_key"),
         F.when((kind == "error") & person, "[deleted]")
         .when((kind == "signup") & person, "AutoModerator")
@@ -89,11 +91,14 @@ DEPTHS = """
 depths AS (
   SELECT comment_key, 0 AS depth FROM comments WHERE parent_key IS NULL
   UNION ALL
-  SELECT c.comment_key, p.depth + 1 FROM comments c JOIN depths p ON c.parent_key = p.comment_key)"""
+  SELECT c.comment_key, p.depth + 1 FROM comments c JOIN depths p ON c.parent_key = p.comment_key),
+all_depths AS (SELECT c.comment_key, d.depth, CASE WHEN d.depth IS NULL THEN
+    CASE WHEN c.comment_key % 250 = 249 THEN 'no_parent' ELSE 'cycle' END END AS reason
+  FROM comments c LEFT JOIN depths d USING (comment_key))"""
 
 
 def with_depth(rows: DataFrame) -> DataFrame:
-    return rows.join(ops.reply_depth(rows), "comment_key")
+    return rows.join(ops.reply_depth(rows).drop("reason"), "comment_key")
 
 
 PARENT_ID = "CASE WHEN parent_key IS NULL THEN concat('t3_', thread_id) ELSE concat('t1_c', parent_key) END"
@@ -193,6 +198,8 @@ SENTIMENT_LEXICON = (
     ("dans", -0.4, None, None), ("und", 0.1, None, None), ("the", 0.02, None, None),
     ("thth", None, 1.5, None), ("pour", None, 0.5, None), ("nicht", None, None, True),
     ("of", None, 1.3, None), ("not", None, None, True), ("is", None, None, True),
+    # listed twice, and scored words that also change the next one
+    ("rewh", 0.4, None, None), ("of", None, 1.1, None), ("and", 0.2, 1.5, None), ("to", -0.1, None, True),
 )
 EMOTION_LEXICON = (
     ("rewh", "joy"), ("rewh", "positive"), ("orre", "anger"), ("orre", "negative"), ("ononst", "trust"),
@@ -220,5 +227,7 @@ def _sql_values(rows) -> str:
 
 
 SENTIMENT_LEXICON_SQL = (
-    f"sentiment_lexicon(term, polarity, intensity, negates) AS (VALUES {_sql_values(SENTIMENT_LEXICON)})")
+    f"listed_terms(term, polarity, intensity, negates) AS (VALUES {_sql_values(SENTIMENT_LEXICON)}),\n"
+    "sentiment_lexicon AS (SELECT term, avg(polarity::DOUBLE) AS polarity, max(intensity::DOUBLE) AS intensity,\n"
+    "  coalesce(bool_or(negates), false) AS negates FROM listed_terms GROUP BY term)")
 EMOTION_LEXICON_SQL = f"emotion_lexicon(term, emotion) AS (VALUES {_sql_values(EMOTION_LEXICON)})"

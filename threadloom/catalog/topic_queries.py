@@ -76,8 +76,7 @@ VOCAB = f"""{t.TOKENS},
 tf AS (SELECT thread_id, cluster, comment_key, term, count(*) AS tf FROM tokens GROUP BY ALL),
 vocab AS (SELECT * FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY thread_id, cluster ORDER BY total DESC, term) AS INTEGER) AS vocab_rank
-  FROM (SELECT thread_id, cluster, term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM tf GROUP BY ALL))
-  WHERE vocab_rank <= 500)"""
+  FROM (SELECT thread_id, cluster, term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM tf GROUP BY ALL)))"""
 TFIDF = f"""{VOCAB},
 sizes AS (SELECT thread_id, cluster, count(*) AS n_docs FROM topical GROUP BY ALL),
 raw AS (SELECT tf.thread_id, tf.cluster, comment_key, term, n_docs,
@@ -229,7 +228,8 @@ def fitted_polarization(spark, sf_dir):
 SUMMARY = f"""{t.CAMPS}, {DIST}, {TFIDF}, {KEYWORDS}, {POLARIZATION},
 stats AS (SELECT thread_id, cluster, {STATS}, {POPULAR} AS popular FROM topical GROUP BY ALL),
 ends AS (SELECT thread_id, cluster, {CORE} AS core, {DISSENT} AS dissent FROM dist GROUP BY ALL),
-summary AS (SELECT s.thread_id, s.cluster::INTEGER AS cluster, keywords, upvotes, participants,
+summary AS (SELECT s.thread_id, s.cluster::INTEGER AS cluster, CAST(row_number() OVER (
+    PARTITION BY s.thread_id ORDER BY upvotes DESC NULLS LAST, s.cluster) AS INTEGER) AS rank, keywords, upvotes, participants,
     coalesce(round(raw, 2), 0.0) AS polarization, sentiment, popular, core, dissent
   FROM stats s LEFT JOIN keywords USING (thread_id, cluster) LEFT JOIN pol USING (thread_id, cluster)
   LEFT JOIN ends USING (thread_id, cluster))"""
@@ -271,13 +271,14 @@ scored AS (SELECT p.comment_key, greatest(-1.0, least(1.0, l.polarity::DOUBLE
     * CASE WHEN coalesce(m.negates, false) OR (m.term IS NOT NULL AND NOT coalesce(m.negates, false)
         AND coalesce(m2.negates, false)) THEN -0.5 ELSE 1.0 END)) AS v
   FROM placed p JOIN sentiment_lexicon l ON l.term = p.term AND l.polarity IS NOT NULL
-  LEFT JOIN sentiment_lexicon m ON m.term = p.prev AND m.polarity IS NULL
-  LEFT JOIN sentiment_lexicon m2 ON m2.term = p.prev2 AND m2.polarity IS NULL)
-SELECT comment_key, round(coalesce(avg(v), 0.0), 6) AS sentiment
+  LEFT JOIN sentiment_lexicon m ON m.term = p.prev AND (m.intensity IS NOT NULL OR m.negates)
+  LEFT JOIN sentiment_lexicon m2 ON m2.term = p.prev2 AND (m2.intensity IS NOT NULL OR m2.negates))
+SELECT comment_key, round(coalesce(avg(v), 0.0) + 1e-9, 6) AS sentiment
 FROM clean LEFT JOIN scored USING (comment_key) GROUP BY comment_key""")
 def comment_sentiment(spark, sf_dir):
+    # Means of few decimals may lie half-way; the sum's order must not decide how they round.
     return lex.comment_sentiment(t.clean(spark, sf_dir), t.sentiment_lexicon(spark)).withColumn(
-        "sentiment", F.round("sentiment", 6))
+        "sentiment", F.round(F.col("sentiment") + 1e-9, 6))
 
 
 EMOTIONS = f"""{t.EMOTION_LEXICON_SQL},

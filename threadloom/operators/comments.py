@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threadloom.functions import text
+from threadloom.plans.ordered import rank_rows
 from threadloom.session import cut_lineage
 
 
@@ -30,12 +31,13 @@ def preprocess(comments: DataFrame, min_words: int = 5) -> DataFrame:
 
 
 def reply_depth(comments: DataFrame, key: str = "comment_key", parent: str = "parent_key") -> DataFrame:
-    """(``key``, ``depth``) from parent pointers, 0 for roots.
+    """(``key``, ``depth``, ``reason``) from parent pointers, 0 for roots.
 
     Pointer doubling: each round a row's ancestor jumps to its ancestor's
     ancestor, so a chain of length n needs log2(n) joins, not n. Rows that have
-    reached their root leave the loop. A row whose parent is not in the table
-    hangs below no root and is left out, as is a cycle. Keys are unique.
+    reached their root leave the loop. A row that hangs below no root has a
+    null depth and a reason: ``no_parent`` if an ancestor is not in the table,
+    ``cycle`` if its ancestors come round. Keys are unique.
     """
     # hops: steps from the row up to `up`; up is null once the root is reached
     state = cut_lineage(comments.select(
@@ -43,6 +45,7 @@ def reply_depth(comments: DataFrame, key: str = "comment_key", parent: str = "pa
         F.when(F.col(parent).isNull(), 0).otherwise(1).alias("hops")))
     done = state.filter("up IS NULL")
     waiting = state.filter("up IS NOT NULL")
+    lost = state.limit(0).select("key")
     table = state
     # A pointer cycle never ends; every real chain does within these rounds.
     rounds = state.count().bit_length() + 1
@@ -53,14 +56,20 @@ def reply_depth(comments: DataFrame, key: str = "comment_key", parent: str = "pa
         # Nothing regroups the result, so Spark may split a hot parent at run
         # time (adaptive skew join).
         moved = cut_lineage(
-            waiting.join(above, "up")
+            waiting.join(above, "up", "left")
             .select("key", F.col("next_up").alias("up"),
                     (F.col("hops") + F.col("next_hops")).alias("hops")))
-        finished = moved.filter("up IS NULL")
+        lost = lost.unionByName(moved.filter("hops IS NULL").select("key"))
+        finished = moved.filter("up IS NULL AND hops IS NOT NULL")
         waiting = moved.filter("up IS NOT NULL")
         done = done.unionByName(finished)
         table = done.unionByName(waiting)
-    return done.select(F.col("key").alias(key), F.col("hops").alias("depth"))
+
+    def rootless(rows: DataFrame, reason: str) -> DataFrame:
+        return rows.select(F.col("key").alias(key), F.lit(None).cast("int").alias("depth"), F.lit(reason).alias("reason"))
+
+    found = done.select(F.col("key").alias(key), F.col("hops").alias("depth"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(rootless(lost, "no_parent")).unionByName(rootless(waiting, "cycle"))
 
 
 def reply_counts(comments: DataFrame, key: str = "comment_key", parent: str = "parent_key") -> DataFrame:
@@ -80,36 +89,47 @@ def reply_counts(comments: DataFrame, key: str = "comment_key", parent: str = "p
 def merge_expansions(base: DataFrame, expansions: DataFrame, dedupe: bool = False) -> DataFrame:
     """Append expanded comments, which carry their own depth (1 if absent).
 
-    Duplicates stay unless ``dedupe``; then a comment of the base wins.
+    Duplicates stay unless ``dedupe``; then a comment of the base wins, and of
+    two on one side the smaller by its columns. Comments without an id are no
+    duplicates of each other.
     """
     extra = expansions.withColumn("depth", F.coalesce(F.col("depth"), F.lit(1)).cast("int"))
     if not dedupe:
         return base.unionByName(extra, allowMissingColumns=True)
     both = base.withColumn("_rank", F.lit(0)).unionByName(
         extra.withColumn("_rank", F.lit(1)), allowMissingColumns=True)
-    columns = [F.col(c) for c in both.columns if c not in ("thread_id", "id")]
-    first = both.groupBy("thread_id", "id").agg(
-        F.min_by(F.struct(*columns), F.col("_rank")).alias("_row"))
-    return first.select("thread_id", "id", "_row.*").drop("_rank").select(*base.columns)
+    columns = ["_rank", *(c for c in both.columns if c not in ("thread_id", "id", "_rank"))]
+    first = both.filter("id IS NOT NULL").groupBy("thread_id", "id").agg(F.min(F.struct(*columns)).alias("_row"))
+    named = first.select("thread_id", "id", "_row.*").select(*base.columns)
+    return named.unionByName(both.filter("id IS NULL").select(*base.columns))
 
 
-def continuation_batches(ids: DataFrame, batch_size: int = 20, max_batches: int = 20) -> DataFrame:
+def continuation_batches(ids: DataFrame, batch_size: int = 20, max_batches: int | None = None) -> DataFrame:
     """Batches of continuation ids per thread, in walk order.
 
-    Only the first ``batch_size * max_batches`` ids of a thread are wanted, so
-    the rank filter runs before the shuffle as well (window group limit).
+    All ids are batched; with ``max_batches`` only the first batches of a
+    thread, and then the rank filter runs before the shuffle as well (window
+    group limit).
     """
-    order = Window.partitionBy("thread_id").orderBy("pos")
+    if max_batches is None:
+        ranked = rank_rows(ids, ["thread_id"], ["pos"], "rn")
+    else:
+        order = Window.partitionBy("thread_id").orderBy("pos")
+        ranked = ids.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= batch_size * max_batches)
     return (
-        ids.withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= batch_size * max_batches)
-        .withColumn("batch", F.floor((F.col("rn") - 1) / batch_size).cast("int"))
+        ranked.withColumn("batch", F.floor((F.col("rn") - 1) / batch_size).cast("int"))
         .groupBy("thread_id", "batch")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "child_id"))).alias("_ids"))
         .select("thread_id", "batch", F.col("_ids.child_id").alias("child_ids"))
     )
 
 
+def missing_continuations(ids: DataFrame, comments: DataFrame) -> DataFrame:
+    """(thread_id, child_id) of continuation ids that no comment came back for."""
+    back = comments.select("thread_id", F.col("id").alias("child_id")).distinct()
+    return ids.select("thread_id", "child_id").distinct().join(back, ["thread_id", "child_id"], "left_anti")
+
+
 def join_posts(comments: DataFrame, posts: DataFrame) -> DataFrame:
     """Copy post columns onto every comment of the thread.
 

@@ -8,10 +8,10 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threadloom.functions import text
+from threadloom.plans.ordered import rank_rows
 from threadloom.plans.skew import salted_join
 
 TOPIC = ["thread_id", "cluster"]
-MAX_FEATURES = 500
 
 
 def english_stop_words() -> list[str]:
@@ -40,11 +40,20 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy(*TOPIC, "comment_key", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def topic_vocabulary(tf: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """The ``max_features`` most frequent terms of a topic, with their document
-    frequency. The rank filter prunes before the shuffle (window group limit)."""
+def topic_vocabulary(tf: DataFrame, max_features: int | None = None, ranked: bool = True) -> DataFrame:
+    """All terms of a topic by frequency, with their document frequency.
+
+    With ``max_features`` only the most frequent; then the rank filter prunes
+    before the shuffle (window group limit). A vocabulary without a limit may
+    have any size, so its ranks, if wanted, come from blocks.
+    """
     totals = tf.groupBy(*TOPIC, "term").agg(
         F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    if max_features is None:
+        if not ranked:
+            return totals
+        ordered = rank_rows(totals.withColumn("_order", -F.col("total")), TOPIC, ["_order", "term"], "vocab_rank")
+        return ordered.drop("_order").withColumn("vocab_rank", F.col("vocab_rank").cast("int"))
     order = Window.partitionBy(*TOPIC).orderBy(F.col("total").desc(), F.col("term"))
     return totals.withColumn("vocab_rank", F.row_number().over(order)).filter(
         F.col("vocab_rank") <= max_features)
@@ -54,13 +63,13 @@ def topic_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*TOPIC).agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def tfidf(rows: DataFrame, stop_words=None, max_features: int = MAX_FEATURES) -> DataFrame:
+def tfidf(rows: DataFrame, stop_words=None, max_features: int | None = None) -> DataFrame:
     """(topic, comment_key, term, weight), L2-normalised per comment.
 
     weight = tf * (ln((1 + n) / (1 + df)) + 1)
     """
     tf = term_counts(topic_tokens(rows, stop_words))
-    vocab = topic_vocabulary(tf, max_features).join(topic_sizes(rows), TOPIC)
+    vocab = topic_vocabulary(tf, max_features, ranked=False).join(topic_sizes(rows), TOPIC)
     idf = vocab.select(
         *TOPIC, "term", "n_docs",
         (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -74,7 +83,7 @@ def tfidf(rows: DataFrame, stop_words=None, max_features: int = MAX_FEATURES) ->
     ).select(*TOPIC, "comment_key", "term", "n_docs", "weight")
 
 
-def term_weights(rows: DataFrame, stop_words=None, max_features: int = MAX_FEATURES) -> DataFrame:
+def term_weights(rows: DataFrame, stop_words=None, max_features: int | None = None) -> DataFrame:
     """Mean weight of each term over all comments of the topic."""
     return (
         tfidf(rows, stop_words, max_features)

@@ -19,7 +19,6 @@ from threadloom.session import cut_lineage
 TOPIC = ["thread_id", "cluster"]
 MIN_ROWS = 10
 RESTARTS = 10
-MAX_ROUNDS = 300
 TOLERANCE = 1e-4
 # Topics up to this size are fitted in one task; larger ones across tasks.
 FIT_ROWS = 20_000
@@ -68,14 +67,14 @@ def _fit_small(pdf: pd.DataFrame) -> pd.DataFrame:
     best, camps = np.inf, None
     for restart in range(RESTARTS):
         centres = _starts(keys, points, restart)
-        for _ in range(MAX_ROUNDS):
+        while True:  # each round lowers the sum of squares, so it settles
             labels = _squared(points, centres).argmin(axis=1)
             moved = np.stack([
                 points[labels == c].mean(axis=0) if (labels == c).any() else centres[c]
                 for c in (0, 1)])
             shift = ((moved - centres) ** 2).sum()
             centres = moved
-            if shift <= stop:
+            if not shift > stop:  # also when a vector is not a number
                 break
         dist = _squared(points, centres)
         inertia = dist.min(axis=1).sum()
@@ -162,7 +161,7 @@ def _fit_large(blocked: DataFrame) -> DataFrame:
 
     restart = [*TOPIC, "restart"]
     moving, still = centres, None
-    for _ in range(MAX_ROUNDS):
+    while True:
         totals = meet(moving, assign, sums).groupBy(*restart).agg(
             *[F.first(c).alias(c) for c in ("first", "second", "stop")],  # equal in all blocks
             F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
@@ -173,7 +172,7 @@ def _fit_large(blocked: DataFrame) -> DataFrame:
                  + F.pow(vectors.distance(F.col("second"), F.col("_second")), 2.0))
         step = cut_lineage(new.select(
             *restart, F.col("_first").alias("first"), F.col("_second").alias("second"), "stop",
-            (shift <= F.col("stop")).alias("settled")))
+            ((shift <= F.col("stop")) | F.isnan(shift)).alias("settled")))
         settled = step.filter("settled").drop("settled")
         still = settled if still is None else still.unionByName(settled)
         moving = step.filter("NOT settled").drop("settled")

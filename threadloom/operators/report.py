@@ -44,9 +44,11 @@ def topic_context(summary: DataFrame, analysed: DataFrame, k: int = 6) -> DataFr
             "rank", F.col("cluster").alias("id"), "keywords", "participants", "polarization"))).alias("_t")))
     topics = F.transform("_t", lambda t: t.dropFields("rank"))
     counts = analysed.groupBy("thread_id").agg(F.count(F.lit(1)).alias("comments")).join(
-        summary.groupBy("thread_id").agg(F.count(F.lit(1)).alias("clusters")), "thread_id")
-    return counts.join(first, "thread_id").select(
-        "thread_id", F.to_json(F.struct("clusters", "comments", topics.alias("topics"))).alias("context"))
+        summary.groupBy("thread_id").agg(F.count(F.lit(1)).alias("clusters")), "thread_id", "left")
+    shown = F.when(F.col("_t").isNull(), F.from_json(F.lit("[]"), "array<struct<id:int,keywords:string,participants:bigint,polarization:double>>")) \
+        .otherwise(topics)
+    return counts.join(first, "thread_id", "left").withColumn("clusters", F.coalesce("clusters", F.lit(0))).select(
+        "thread_id", F.to_json(F.struct("clusters", "comments", shown.alias("topics"))).alias("context"))
 
 
 # --- greedy text chunks ----------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from threadloom.functions import vectors
 from threadloom.operators import keywords as kw
@@ -31,14 +31,14 @@ def topic_centroids(analysed: DataFrame) -> DataFrame:
 def centroid_distances(analysed: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
     """(topic, comment_key, dist): how far each comment is from its centroid."""
     rows = topic_rows(analysed).filter(F.col("embedding").isNotNull()).select(
-        *TOPIC, "comment_key", "embedding", "body_clean")
+        *TOPIC, "comment_key", "embedding")
     if centroids is None:
         centroids = topic_centroids(analysed)
     counts = centroids.select(*TOPIC, F.col("n").alias("_n"))
     joined = salted_join(rows, centroids.select(*TOPIC, "centroid"), TOPIC, ["comment_key"],
                          counts=counts)
     return joined.withColumn("dist", vectors.distance(F.col("embedding"), F.col("centroid"))).select(
-        *TOPIC, "comment_key", "body_clean", "dist")
+        *TOPIC, "comment_key", "dist")
 
 
 def quotes(analysed: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
@@ -48,8 +48,12 @@ def quotes(analysed: DataFrame, centroids: DataFrame | None = None) -> DataFrame
     """
     dist = centroid_distances(analysed, centroids)
     ends = dist.groupBy(*TOPIC).agg(
-        F.min_by("body_clean", F.struct("dist", "comment_key")).alias("core"),
-        F.max_by("body_clean", F.struct(F.col("dist"), -F.col("comment_key"))).alias("dissent"))
+        F.min_by("comment_key", F.struct("dist", "comment_key")).alias("core"),
+        F.max_by("comment_key", F.struct(F.col("dist"), -F.col("comment_key"))).alias("dissent"))
+    texts = analysed.select("comment_key", "body_clean")
+    for end in ("core", "dissent"):
+        ends = ends.withColumnRenamed(end, "comment_key").join(texts, "comment_key").drop(
+            "comment_key").withColumnRenamed("body_clean", end)
     return ends.join(popular(analysed), TOPIC, "full")
 
 
@@ -73,7 +77,7 @@ def topic_stats(analysed: DataFrame) -> DataFrame:
 
 def topic_summary(analysed: DataFrame, polarization: DataFrame | None = None,
                   stop_words=None) -> DataFrame:
-    """One row per topic, ordered by upvotes inside the thread.
+    """One row per topic, with its ``rank`` by upvotes inside the thread.
 
     ``polarization`` is (thread_id, cluster, polarization); fitted when absent.
     """
@@ -88,10 +92,11 @@ def topic_summary(analysed: DataFrame, polarization: DataFrame | None = None,
         .withColumn("keywords", F.coalesce("keywords", F.lit("misc")))
         .withColumn("polarization", F.coalesce("polarization", F.lit(0.0)))
     )
-    return summary.select(
-        *TOPIC, "keywords", "upvotes", "participants", "polarization", "sentiment",
+    order = Window.partitionBy("thread_id").orderBy(F.col("upvotes").desc_nulls_last(), "cluster")
+    return summary.withColumn("rank", F.row_number().over(order)).select(
+        *TOPIC, "rank", "keywords", "upvotes", "participants", "polarization", "sentiment",
         "popular", "core", "dissent",
-    ).orderBy("thread_id", F.col("upvotes").desc(), "cluster")
+    ).orderBy("thread_id", "rank")
 
 
 def topic_drilldown(analysed: DataFrame, summary: DataFrame, cluster: int) -> DataFrame:

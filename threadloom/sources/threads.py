@@ -6,7 +6,9 @@ A document is ``[post listing, comment listing]``, one per file or row.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,33 +31,149 @@ def read_thread_documents(spark: SparkSession, path: str, one_per_line: bool = F
     return raw.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("payload"))
 
 
-def _listing(name: str) -> str:
-    return f"$[0].data.children[0].data.{name}"
+# --- values of a parsed document: what does not fit is null, the row stays -----
+
+_LONG = 1 << 63
+_scan_token = re.compile(r'[ \t\n\r]*([{}\[\],:"]|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null)').match
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _load(payload: str | None):
+    """The parsed text; ValueError when it is not JSON. Nests to any depth."""
+    if payload is None:
+        raise ValueError("null")
+    try:
+        return json.loads(payload, parse_constant=_no_constant)
+    except RecursionError:
+        return _load_deep(payload)
+
+
+def _load_deep(payload: str):
+    """The same with a list of open containers instead of recursion."""
+    root: list = []
+    open_ones: list = [root]   # containers that still get values
+    names: list = [None]       # the name that waits for a value in each of them
+    at, wanted = 0, "value"
+    while True:
+        if payload[at:].strip(" \t\n\r") == "" if at + 64 > len(payload) else False:
+            break
+        m = _scan_token(payload, at)
+        if m is None:
+            raise ValueError(f"not JSON at {at}")
+        token, at = m.group(1), m.end()
+        top = open_ones[-1]
+        if token == '"':
+            value, at = scanstring(payload, at)
+            if wanted in ("name", "name or end"):
+                names[-1], wanted = value, ":"
+                continue
+        elif token == ":" and wanted == ":":
+            wanted = "value"
+            continue
+        elif token == "," and wanted == ", or end" and len(open_ones) > 1:
+            wanted = "name" if isinstance(top, dict) else "value"
+            continue
+        elif token in "]}":
+            if wanted not in (", or end", "name or end", "value or end") or len(open_ones) == 1 \
+                    or (token == "}") != isinstance(top, dict):
+                raise ValueError(f"not JSON at {at}")
+            open_ones.pop()
+            names.pop()
+            wanted = ", or end"
+            continue
+        elif token in "{[":
+            value = {} if token == "{" else []
+        elif token in (":", ","):
+            raise ValueError(f"not JSON at {at}")
+        else:
+            value = _WORDS[token] if token in _WORDS else float(token) if re.search("[.eE]", token) else int(token)
+        if wanted not in ("value", "value or end") or (top is root and root):
+            raise ValueError(f"not JSON at {at}")
+        if isinstance(top, dict):
+            top[names[-1]] = value
+        else:
+            top.append(value)
+        wanted = ", or end"
+        if token in "{[":
+            open_ones.append(value)
+            names.append(None)
+            wanted = "name or end" if token == "{" else "value or end"
+    if len(open_ones) > 1 or not root:
+        raise ValueError("not JSON: it ends early")
+    return root[0]
+
+
+def _string(value) -> str | None:
+    """A string, or the text of a number."""
+    if isinstance(value, str):
+        return value
+    return str(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+
+
+def _whole(value) -> int | None:
+    """A whole number of 64 bits; the fraction of another number is dropped."""
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not abs(value) < _LONG:
+        return None
+    return int(value)
+
+
+def _real(value) -> float | None:
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not abs(value) < 1e300:
+        return None
+    return float(value)
+
+
+def _at(value, *path):
+    """The value at a path of names and places, or null."""
+    for step in path:
+        if isinstance(step, str) and isinstance(value, dict):
+            value = value.get(step)
+        elif isinstance(step, int) and isinstance(value, list) and step < len(value):
+            value = value[step]
+        else:
+            return None
+    return value
+
+
+HEADER = """
+    payload STRING, source STRING, reason STRING, thread_id STRING, title STRING, text STRING, author STRING,
+    score BIGINT, num_comments BIGINT, subreddit STRING, url STRING
+"""
 
 
-def _headers(documents: DataFrame) -> DataFrame:
-    parsed = documents.withColumn("_doc", text.once(F.try_parse_json("payload")))
+def _header(payload: str | None) -> tuple:
+    """Reason to reject, id and the other fields of the post."""
+    try:
+        doc = _load(payload)
+    except ValueError:
+        return ("not_json", None, "", "", "", 0, 0, "")
+    reason = "not_a_list" if not isinstance(doc, list) else "too_short" if _at(doc, 1) is None else None
+    post = _at(doc, 0, "data", "children", 0, "data")
+    text_of = lambda name: _string(_at(post, name)) or ""
+    number_of = lambda name: _whole(_at(post, name)) or 0
+    thread_id = _string(_at(post, "id"))
+    if reason is None and thread_id is None:
+        reason = "no_id"
+    return (reason, thread_id, text_of("title"), text_of("selftext"), text_of("author"), number_of("score"),
+            number_of("num_comments"), text_of("subreddit"))
 
-    def field(name, kind, default):
-        return F.coalesce(F.try_variant_get("_doc", _listing(name), kind), F.lit(default).cast(kind))
 
-    shape = F.schema_of_variant("_doc")
-    reason = (
-        F.when(F.col("_doc").isNull(), "not_json")
-        .when(~F.startswith(shape, F.lit("ARRAY")), "not_a_list")
-        .when(F.try_variant_get("_doc", "$[1]", "variant").isNull(), "too_short")
-    )
+def _headers(documents: DataFrame) -> DataFrame:
     source = F.col("source") if "source" in documents.columns else F.lit(None).cast("string")
-    return parsed.select(
-        "payload", source.alias("source"), reason.alias("reason"),
-        F.try_variant_get("_doc", _listing("id"), "string").alias("thread_id"),
-        field("title", "string", "").alias("title"),
-        field("selftext", "string", "").alias("text"),
-        field("author", "string", "").alias("author"),
-        field("score", "bigint", 0).alias("score"),
-        field("num_comments", "bigint", 0).alias("num_comments"),
-        field("subreddit", "string", "").alias("subreddit"),
-        source.alias("url"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [_header(p) for p in batch["payload"]]
+            frame = pd.DataFrame(rows, columns=[
+                "reason", "thread_id", "title", "text", "author", "score", "num_comments", "subreddit"])
+            yield frame.assign(payload=batch["payload"].to_numpy(), source=batch["source"].to_numpy(),
+                               url=batch["source"].to_numpy())
+
+    return documents.select("payload", source.alias("source")).mapInPandas(read, HEADER)
 
 
 def quarantine(documents: DataFrame, min_comments: int = 30) -> DataFrame:
@@ -85,23 +203,29 @@ def _children(holder) -> list:
         if isinstance(found, list) else []
 
 
+def _fields(data: dict, depth) -> tuple:
+    """Depth, id, parent, author, body, score, time and number of replies of a comment."""
+    below = _children(data.get("replies"))
+    replies = sum(c.get("kind") == "t1" for c in below) + sum(
+        _whole(c["data"].get("count")) or 0 for c in below if c.get("kind") == "more")
+    return (depth, _string(data.get("id")), _string(data.get("parent_id", "")), _string(data.get("author")),
+            _string(data.get("body")), _whole(data.get("score", 0)), _real(data.get("created_utc", 0)), _whole(replies))
+
+
 def _walk(payload: str) -> Iterator[tuple]:
     """Comments and continuation nodes in pre-order, with an explicit stack."""
-    stack = [(child, 0) for child in reversed(_children(json.loads(payload)[1]))]
+    stack = [(child, 0) for child in reversed(_children(_load(payload)[1]))]
     pos = 0
     while stack:
         child, depth = stack.pop()
         kind, data = child.get("kind"), child["data"]
         if kind == "t1":
-            below = _children(data.get("replies"))
-            replies = sum(c.get("kind") == "t1" for c in below) + sum(
-                c["data"].get("count", 0) for c in below if c.get("kind") == "more")
-            yield (pos, kind, depth, data.get("id"), data.get("parent_id", ""), data.get("author"),
-                   data.get("body"), data.get("score", 0), data.get("created_utc", 0), replies, None)
-            stack.extend((c, depth + 1) for c in reversed(below))
+            yield (pos, kind, *_fields(data, depth), None)
+            stack.extend((c, depth + 1) for c in reversed(_children(data.get("replies"))))
         elif kind == "more":
+            ids = data.get("children")
             yield (pos, kind, depth, None, None, None, None, None, None, None,
-                   data.get("children") or [])
+                   [x for x in map(_string, ids) if x is not None] if isinstance(ids, list) else [])
         pos += 1
 
 
@@ -109,8 +233,8 @@ def tree_nodes(documents: DataFrame) -> DataFrame:
     """Every comment and continuation node of accepted documents.
 
     ``documents``: thread_id, subreddit, payload. The tree nests to any depth
-    and lies inside one row, so it is walked where it is: one parse, one pass,
-    no shuffle and no pass per level.
+    and lies inside one row, so it is walked where it is, without a shuffle or
+    a pass per level. A field of the wrong type is null; its node stays.
     """
     names = ["pos", "kind", "depth", "id", "parent_id", "author", "body", "score",
              "created_utc", "replies_count", "children"]
@@ -155,33 +279,54 @@ def continuation_ids(nodes: DataFrame) -> DataFrame:
         .select("thread_id", F.struct("_node", "_i").alias("pos"), "child_id"))
 
 
+EXPANSION_SCHEMA = """
+    thread_id STRING, subreddit STRING, reason STRING, depth INT, id STRING, parent_id STRING, author STRING,
+    body STRING, score BIGINT, created_utc DOUBLE, replies_count BIGINT
+"""
+
+
+def _expansions(spark_rows: DataFrame) -> DataFrame:
+    """One row a comment, and one with a reason for each payload that is no list of nodes."""
+    names = ["thread_id", "subreddit", "reason", "depth", "id", "parent_id", "author", "body", "score", "created_utc",
+             "replies_count"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for thread_id, subreddit, payload in zip(batch["thread_id"], batch["subreddit"], batch["payload"]):
+                try:
+                    doc = _load(payload)
+                except ValueError:
+                    doc = None
+                if not isinstance(doc, list):
+                    rows.append((thread_id, subreddit, "not_json" if doc is None else "not_a_list", *[None] * 8))
+                    continue
+                for node in doc:
+                    if isinstance(node, dict) and node.get("kind") == "t1" and isinstance(node.get("data"), dict):
+                        depth = _whole(node["data"].get("depth"))
+                        fields = _fields(node["data"], 1 if depth is None or abs(depth) >= 1 << 31 else depth)
+                        rows.append((thread_id, subreddit, None, *fields))
+            frame = pd.DataFrame(rows, columns=names)
+            for column in ("score", "replies_count", "depth"):
+                frame[column] = frame[column].astype("Int64")
+            frame["created_utc"] = frame["created_utc"].astype("Float64")
+            yield frame
+
+    return spark_rows.select("thread_id", "subreddit", "payload").mapInPandas(read, EXPANSION_SCHEMA)
+
+
+def expansion_quarantine(spark_rows: DataFrame) -> DataFrame:
+    """(thread_id, reason) of landed continuation results that are no list of nodes."""
+    return _expansions(spark_rows).filter("reason IS NOT NULL").select("thread_id", "reason")
+
+
 def expansion_comments(spark_rows: DataFrame) -> DataFrame:
     """Comments of landed continuation results; nested nodes are not walked.
 
     Input: thread_id, subreddit, payload, where the payload is a list of nodes
     with their own depth (1 when absent).
     """
-    doc = F.try_parse_json("payload")
-    things = spark_rows.select(
-        "thread_id", "subreddit", F.explode(doc.cast("array<variant>")).alias("_n"))
-    comments = things.filter(F.try_variant_get("_n", "$.kind", "string") == "t1")
-
-    def field(name, kind, default=None):
-        got = F.try_variant_get("_n", f"$.data.{name}", kind)
-        return (got if default is None else F.coalesce(got, F.lit(default).cast(kind))).alias(name)
-
-    below = F.coalesce(
-        F.try_variant_get("_n", "$.data.replies.data.children", "array<variant>"), F.array())
-    visible = F.size(F.filter(below, lambda c: F.try_variant_get(c, "$.kind", "string") == "t1"))
-    hidden = F.aggregate(
-        F.filter(below, lambda c: F.try_variant_get(c, "$.kind", "string") == "more"),
-        F.lit(0).cast("long"),
-        lambda acc, c: acc + F.coalesce(F.try_variant_get(c, "$.data.count", "bigint"), F.lit(0)))
-    rows = comments.select(
-        field("id", "string"), "thread_id", "subreddit", field("parent_id", "string", ""),
-        field("author", "string"), field("body", "string"), field("score", "bigint", 0),
-        field("depth", "int", 1), (visible + hidden).cast("long").alias("replies_count"),
-        field("created_utc", "double", 0))
+    rows = _expansions(spark_rows).filter("reason IS NULL")
     return rows.select(
         "id", "thread_id", "subreddit", "parent_id",
         text.is_root(F.col("parent_id")).alias("is_root_comment"), "author", "body", "score",
