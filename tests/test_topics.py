@@ -330,3 +330,26 @@ def test_analysis_of_small_threads_and_reload(spark, tmp_path):
     result.save(str(tmp_path))
     again = Analysis.load(spark, str(tmp_path))
     assert again.summary.count() == len(kinds) and again.analysed.count() == 90
+
+
+def test_comments_without_a_vector_stay_as_noise(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"c{i}", "t", f"word{i} of a longer text here", 1, "u", 0) for i in range(30)]
+    df = spark.createDataFrame(
+        rows, "comment_key LONG, id STRING, thread_id STRING, body STRING, score LONG, author STRING, created_utc LONG")
+    lex = spark.createDataFrame(SENTIMENT, "term STRING, polarity DOUBLE, intensity DOUBLE, negates BOOLEAN")
+    vecs = spark.createDataFrame(
+        [(i, rng.normal(i % 2 * 10 - 5, 0.4, 6).tolist()) for i in range(24)], "comment_key LONG, embedding ARRAY<FLOAT>")
+    got = {r["comment_key"]: r for r in analyse(df, lex, embeddings=vecs).analysed.collect()}
+    assert sorted(got) == list(range(30))
+    assert all(got[i]["cluster"] == -1 and got[i]["x"] is None for i in range(24, 30))
+    assert {got[i]["cluster"] for i in range(24)} == {0, 1}
+
+
+def test_a_scored_word_also_changes_the_next_and_repeats_count_once(spark):
+    lex = spark.createDataFrame(
+        [("good", 0.5, None, None), ("very", 0.2, 1.5, None), ("bad", -0.4, None, None), ("bad", -0.8, None, None)],
+        "term STRING, polarity DOUBLE, intensity DOUBLE, negates BOOLEAN")
+    df = spark.createDataFrame([(1, "very good"), (2, "bad thing"), (3, "nothing here")], "comment_key LONG, body_clean STRING")
+    got = {r["comment_key"]: r["sentiment"] for r in lexicon.comment_sentiment(df, lex).collect()}
+    assert got == pytest.approx({1: (0.2 + 0.75) / 2, 2: -0.6, 3: 0.0})

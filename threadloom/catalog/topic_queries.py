@@ -95,6 +95,15 @@ def topic_tokens(spark, sf_dir):
     return tokens.groupBy("thread_id", "cluster", "comment_key", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {t.ANALYSED}, {t.TOKENS}
+SELECT {TOPIC}, term, count(*) AS n FROM tokens GROUP BY ALL""")
+def topic_terms(spark, sf_dir):
+    """The stop words as a table."""
+    words = spark.createDataFrame([(w,) for w in [*STOP, STOP[0]]], "term STRING")
+    tokens = kw.topic_tokens(ops.topic_rows(t.analysed(spark, sf_dir)), words)
+    return tokens.groupBy("thread_id", "cluster", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {t.ANALYSED}, {VOCAB} SELECT {TOPIC}, term, total, df, vocab_rank FROM vocab")
 def topic_vocab(spark, sf_dir):
     rows = ops.topic_rows(t.analysed(spark, sf_dir))
