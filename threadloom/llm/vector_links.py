@@ -86,15 +86,16 @@ def _read(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
     return rows.mapInArrow(read, schema).withColumn("no", F.monotonically_increasing_id())
 
 
-def _centres(big: DataFrame, points: DataFrame) -> DataFrame:
+def _centres(named: DataFrame) -> DataFrame:
     """(node, centres, n, spread): packed centres of the nodes to split.
 
-    Candidates are the old centre, the class farthest from it, and some drawn by
-    hash. A candidate becomes a centre if it is farther than half the radius
-    from those before it. ``spread`` > 0: too tight, deal by hash.
+    ``named``: the classes of these nodes with the node's size, radius and far.
+    Candidates are the class that names the node, the one farthest from its
+    centre, and some drawn by hash. A candidate becomes a centre if it is farther
+    than half the radius from those before it. ``spread`` > 0: too tight, or no
+    candidate is far enough from the first, so its classes are dealt by hash.
     """
     drawn = Window.partitionBy("node").orderBy(F.xxhash64("no"), "no")
-    named = points.join(big, "node")
     named = named.withColumn("first", (F.col("no") == F.col("node")) | (F.col("no") == F.col("far")))
     some = named.filter("not first").withColumn("k", F.row_number().over(drawn)).filter(F.col("k") <= CANDIDATES).drop("k")
     some = some.unionByName(named.filter("first"))
@@ -112,7 +113,7 @@ def _centres(big: DataFrame, points: DataFrame) -> DataFrame:
                 break
             chosen.append(k)
             gap = np.minimum(gap, np.linalg.norm(unit - unit[k], axis=1))
-        spread = wanted if radius <= TIGHT else 0
+        spread = wanted if radius <= TIGHT or len(chosen) == 1 else 0
         return pd.DataFrame({"node": [group["node"].iloc[0]], "centres": [unit[chosen].astype("<f8").tobytes()],
                              "n": [len(chosen)], "spread": [spread]})
 
@@ -163,9 +164,10 @@ def _grown(classes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         big = level.filter(F.col("size") > LEAF).select("node", "radius", "size", "far")
         if big.isEmpty():
             break
-        inside = points.join(big.select("node"), "node")
-        centres = written(_centres(big, inside), "centres")
-        dealt = written(_dealt(inside, centres), "dealt")
+        # The salts keep a label with a large share of the rows spread over many tasks.
+        inside = salted_join(points, big, ["node"], ["no"])
+        centres = written(_centres(inside), "centres")
+        dealt = written(_dealt(inside.select("no", "node", "vec", "copies"), centres), "dealt")
         children = dealt.groupBy("node", "k").agg(
             F.min("no").alias("child"), F.max("away").alias("radius"), F.count(F.lit(1)).alias("size"),
             F.sum("copies").alias("copies"), F.max_by("no", F.struct("away", "no")).alias("far"))
