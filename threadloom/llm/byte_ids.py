@@ -10,9 +10,10 @@ to tiktoken with the same vocabulary, which is several times faster.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +21,7 @@ import public_tokenizers
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Remembered pieces of a task, dropped all at once when full; and their longest.
-CACHE_PIECES, CACHE_CHARS = 800_000, 48
+CACHE_PIECES, CACHE_CHARS = 120_000, 48
 
 _odd_space = re.compile(r" (?:\s|$)").search
 _before_word = re.compile(r" (?=\S)").split
@@ -32,17 +33,26 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: str, ranks: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = Tokenizer.from_file(vocabulary)
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.vocabulary = vocabulary
+        with open(vocabulary, encoding="utf-8") as file:
+            added = [(t["content"], t["id"]) for t in json.load(file)["added_tokens"]]
+        self.specials = [content for content, _ in added]
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        last = max([*table.values(), *(i for _, i in added)])
         self.fast = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if last < 1 << 16 else "<u4")
+
+    @cached_property
+    def library(self):
+        """Loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return Tokenizer.from_file(self.vocabulary)
 
     def piece(self, text: str) -> bytes:
         ids = self.fast.encode_ordinary(text) if _latin(text) \

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadloom.llm.tables import packed, unpacked
+from threadloom.llm.tables import packed, sliced, unpacked
 from threadloom.plans.components import connected_components
 from threadloom.session import cut_lineage, written
 
@@ -105,7 +105,7 @@ def _marked(df: DataFrame, rules: NearCopyRules) -> DataFrame:
     size, symbols = rules.shingle, rules.symbols
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, hi, lo, sig = [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(text, size)

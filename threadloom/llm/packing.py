@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.byte_ids import RANKS, VOCABULARY, encoder
+from threadloom.llm.tables import sliced
 from threadloom.plans.ordered import rank_rows, running_total
 from threadloom.session import written
 
@@ -124,7 +125,7 @@ def _tokens(df: DataFrame, doc_id: str, text: str, vocabulary: str, ranks: str,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, ranks)
         end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [enc.encode(t) + end for t in batch.column("text").to_pylist()]
             n = [len(x) // enc.dtype.itemsize for x in ids]
             yield pa.RecordBatch.from_arrays(
@@ -198,7 +199,7 @@ def pack(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(vocabulary, ranks).dtype
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(7)]
             for row in batch.to_pylist():
                 ids, n = np.frombuffer(row["ids"], dtype).astype("<u4").tobytes(), row["n"]

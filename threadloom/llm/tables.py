@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space between words: space and the five ASCII controls.
@@ -40,3 +43,10 @@ def once(df: DataFrame, name: str, **values: Column) -> DataFrame:
     """
     made = F.struct(*(v.alias(k) for k, v in values.items()))
     return df.select("*", F.explode(F.array(made)).alias(name))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, so that a task holds Python objects of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
