@@ -36,8 +36,10 @@ from threadloom.plans.components import connected_components
 from threadloom.plans.skew import salted_join
 from threadloom.session import cut_lineage, written
 
-#: Classes of a leaf, candidates for centres in a node, and a node too tight to split by distance.
-LEAF, CANDIDATES, TIGHT = 512, 96, 1e-6
+#: Classes of a leaf, drawn candidates for centres of a node, and a radius too small to split by distance.
+LEAF, CANDIDATES, TIGHT = 512, 96, 0.05
+#: Centres of a node, if so many are far enough from each other.
+LEAST_CHILDREN = 8
 #: Bounds are loosened by this, as distances of rounded vectors are not exact.
 SLACK = 1e-7
 
@@ -87,13 +89,14 @@ def _read(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
 
 
 def _centres(named: DataFrame) -> DataFrame:
-    """(node, centres, n, spread): packed centres of the nodes to split.
+    """(node, centres, n, spread, half): packed centres of the nodes to split.
 
     ``named``: the classes of these nodes with the node's size, radius and far.
     Candidates are the class that names the node, the one farthest from its
     centre, and some drawn by hash. A candidate becomes a centre if it is farther
-    than half the radius from those before it. ``spread`` > 0: too tight, or no
-    candidate is far enough from the first, so its classes are dealt by hash.
+    than half the radius from those before it. ``spread`` > 0: too tight, so its
+    classes are dealt by hash. Classes farther than ``half`` from all centres
+    form a child of their own.
     """
     drawn = Window.partitionBy("node").orderBy(F.xxhash64("no"), "no")
     named = named.withColumn("first", (F.col("no") == F.col("node")) | (F.col("no") == F.col("far")))
@@ -101,24 +104,26 @@ def _centres(named: DataFrame) -> DataFrame:
     some = some.unionByName(named.filter("first"))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["first", "no"], ascending=[False, True])
+        # The drawn order keeps the centres where the classes are; the farthest points would be outliers.
+        group = group.assign(draw=[xxhash.xxh3_64_intdigest(int(n).to_bytes(8, "big")) for n in group["no"]])
+        group = group.sort_values(["first", "draw"], ascending=[False, True])
         unit = _scaled(np.stack([np.frombuffer(v, "<f8") for v in group["vec"]]))
         size, radius = int(group["size"].iloc[0]), float(group["radius"].iloc[0])
-        wanted = max(2, -(-2 * size // LEAF))
-        chosen = [0]
-        gap = np.linalg.norm(unit - unit[0], axis=1)
-        while len(chosen) < min(wanted, CANDIDATES):
-            k = int(gap.argmax())
-            if gap[k] <= radius / 2:
-                break
-            chosen.append(k)
-            gap = np.minimum(gap, np.linalg.norm(unit - unit[k], axis=1))
-        spread = wanted if radius <= TIGHT or len(chosen) == 1 else 0
+        wanted = max(LEAST_CHILDREN, -(-2 * size // LEAF))
+        chosen, gap = [0], np.linalg.norm(unit - unit[0], axis=1)
+        for k in range(1, len(unit)):
+            if gap[k] > radius / 2 and len(chosen) < wanted:
+                chosen.append(k)
+                gap = np.minimum(gap, np.linalg.norm(unit - unit[k], axis=1))
+        spread = wanted if radius <= TIGHT else 0
+        # A net that covers nearly all: what it leaves out becomes a child of its own, and the others' radii halve.
+        # Otherwise, in many dimensions, all go to their nearest centre.
+        half = radius / 2 if (gap > radius / 2).mean() <= 0.2 else np.inf
         return pd.DataFrame({"node": [group["node"].iloc[0]], "centres": [unit[chosen].astype("<f8").tobytes()],
-                             "n": [len(chosen)], "spread": [spread]})
+                             "n": [len(chosen)], "spread": [spread], "half": [half]})
 
     return some.select("node", "no", "first", "vec", "size", "radius").groupBy("node").applyInPandas(
-        choose, "node long, centres binary, n int, spread int")
+        choose, "node long, centres binary, n int, spread int, half double")
 
 
 def _dealt(points: DataFrame, centres: DataFrame) -> DataFrame:
@@ -127,21 +132,24 @@ def _dealt(points: DataFrame, centres: DataFrame) -> DataFrame:
         for batch in batches:
             held: dict[int, np.ndarray] = {}
             ks, aways = [], []
-            for no, node, vec, centre, n, spread in zip(*(
-                    batch.column(c).to_pylist() for c in ("no", "node", "vec", "centres", "n", "spread"))):
+            for no, node, vec, centre, n, spread, half in zip(*(
+                    batch.column(c).to_pylist() for c in ("no", "node", "vec", "centres", "n", "spread", "half"))):
                 if node not in held:
                     held[node] = np.frombuffer(centre, "<f8").reshape(n, -1)
                 unit = _scaled(np.frombuffer(vec, "<f8")[None])[0]
                 away = np.linalg.norm(held[node] - unit, axis=1)
                 k = int(away.argmin())
-                aways.append(float(away[k]))
-                ks.append(xxhash.xxh3_64_intdigest(no.to_bytes(8, "big")) % spread if spread else k)
+                if spread:  # measured from the first centre, as the rest of a net is
+                    ks.append(xxhash.xxh3_64_intdigest(no.to_bytes(8, "big")) % spread)
+                else:
+                    ks.append(k if away[k] <= half else n)
+                aways.append(float(away[0 if spread or away[k] > half else k]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("no"), batch.column("node"), batch.column("vec"), batch.column("copies"),
                  pa.array(ks, pa.int32()), pa.array(aways, pa.float64())], ["no", "node", "vec", "copies", "k", "away"])
 
     joined = points.join(centres, "node")
-    return joined.select("no", "node", "vec", "copies", "centres", "n", "spread").mapInArrow(
+    return joined.select("no", "node", "vec", "copies", "centres", "n", "spread", "half").mapInArrow(
         deal, "no long, node long, vec binary, copies long, k int, away double")
 
 
@@ -175,7 +183,7 @@ def _grown(classes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         points = written(salted_join(dealt, children.select("node", "k", "child"), ["node", "k"], ["no"]).select(
             "no", F.col("child").alias("node"), "vec", "copies"), "points")
         spread = children.join(centres, "node")
-        at = F.when(F.col("spread") > 0, 0).otherwise(F.col("k"))
+        at = F.when((F.col("spread") > 0) | (F.col("k") >= F.col("n")), 0).otherwise(F.col("k"))
         width = F.length("centres") / F.col("n")
         centre = F.substring("centres", (at * width + 1).cast("int"), width.cast("int"))
         grown = spread.select(F.col("node").alias("parent"), F.col("child").alias("node"), centre.alias("centre"), "radius",
