@@ -198,12 +198,16 @@ def judged(
 ) -> DataFrame:
     """Each row as ``row`` (its columns ``keep``, or all), counts ``q``, distances ``d``, and ``kept``.
 
-    The counts are written once, as the references and the verdicts both read them.
+    Both the references and the verdicts need the counts. With ``keep`` they are
+    written once in between; whole rows, with their texts, are counted twice
+    instead, as a copy of the corpus costs more than the second pass.
     """
     measures = measured(packed(df, text=text, lang=lang), rules)
-    if keep is not None:
+    if keep is None:
+        measures = measures.select("row", "lang", "q")
+    else:
         measures = measures.withColumn("row", F.struct(*(F.col(f"row.`{c}`") for c in keep)))
-    measures = written(measures.select("row", "lang", "q"), "quality")
+        measures = written(measures.select("row", "lang", "q"), "quality")
     references = language_references(measures, rules)
     out = once(
         measures, "d", q=F.col("q"),
