@@ -126,7 +126,7 @@ def train(labelled: DataFrame, most: int = TRAIN_URLS, seed: int = 7) -> Trained
     if len(set(labels)) < 2:
         return None
     spark = labelled.sparkSession
-    urls = features(with_parts(spark.createDataFrame(rows, "url string, label double").repartition(4, "url")))
+    urls = features(with_parts(spark.createDataFrame(rows, "url string, label double").coalesce(4)))
     share = sum(labels) / len(labels)
     suffixes = {r["suffix"]: ((r["blocked"] + PRIOR * share) / (r["n"] + PRIOR), r["n"])
                 for r in urls.groupBy("f.suffix").agg(F.sum("label").alias("blocked"), F.count(F.lit(1)).alias("n")).collect()}
