@@ -95,6 +95,18 @@ def test_odd_inputs(spark):
     assert P.replace_personal(df.limit(0)).count() == 0
 
 
+def test_values_beside_other_numbers(spark):
+    card, phone, local, iban = "4111 1111 1111 1111", "+1 (988) 555-2485", "415-555-2671", "BE68 5390 0754 7034"
+    alone = {v: run(spark, [v])[0][0] for v in (card, phone, local, "415-555-2672", iban)}
+    assert all(v != new for v, new in alone.items())
+    texts = [(card, "{} 123"), (card, "{} 12/27"), (card, "27 {}"), (card, "12 34 56 {}"), (card, "{} {} 99"), (local, "{} 2024"),
+             (local, "2024 {}"), (phone, "{} 2023"), (phone, "{} 2023 1234"), (iban, "{} 2024"), (iban, "{} B"), (iban, "{} THIS 12"),
+             (local, "1 2 3 4 5 6 7 8 9 0 {}"), (card, "{}, " * 60)]
+    out = run(spark, [f.replace("{}", v) for v, f in texts])
+    assert [t for t, _ in out] == [f.replace("{}", alone[v]) for v, f in texts]
+    assert run(spark, [f"{local} 415-555-2672"])[0][0] == f"{alone[local]} {alone['415-555-2672']}"
+
+
 def test_query_leaves_no_planted_value(spark):
     sf = "/root/testdata/sf0.01"
     source = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -11,8 +11,13 @@ The permutation works on pairs (x, y) with x in 0..a-1 and y in 0..b-1. A round
 replaces (x, y) by (y, x + F(y) mod its range); ten rounds are five of each half.
 
 Null text stays null, empty text and text without such values stays as it is,
-at any length. Candidates that fail validation (wrong check digit, month 13,
-octet 256) stay. Every row is returned, repeated ones alike.
+at any length. At each place every form is tried at every length that ends with
+a group of digits, and the first that is valid is taken; where none is (wrong
+check digit, month 13, octet 256), the search goes on with the next group. A
+card number in the length and grouping of its issuer goes before any other
+reading of its digits; no other one starts with the form of a date or SSN. Of a number with "+" the length that its country's plan
+fixes is taken, else the longest: there a number that follows in the next group
+cannot be told from the phone. Every row is returned, repeated ones alike.
 """
 
 from __future__ import annotations
@@ -42,13 +47,26 @@ CARD = r"\d(?:[ \-]?\d){12,18}(?![0-9])"
 PHONE_PLUS = r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4}(?![0-9])"
 PHONE_LOCAL = r"(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[.\-])[2-9]\d{2}[.\-]\d{4}(?![0-9])"
 
-#: In the order of trial at one place. None starts inside a word or number.
 FORMS = {
     "mail": MAIL, "cloud_key": CLOUD_KEY, "secret": SECRET, "iso_date": ISO_DATE, "ipv4": IPV4,
     "day_date": DAY_DATE, "ssn": SSN, "card": CARD, "iban": IBAN,
     "phone": f"{PHONE_PLUS}|{PHONE_LOCAL}",
 }
-ANY = r"(?<![A-Za-z0-9_.@+\-])(?:" + "|".join(FORMS.values()) + ")"
+#: Where a value may start, before it; none starts inside a word or number.
+PLACE = r"(?<![A-Za-z0-9_.@+\-])(?=" + "|".join(FORMS.values()) + ")"
+#: Places lie two characters apart, and no form but mail and secret has more than 46 characters.
+WINDOW = 24
+
+# The lengths of a form, longest first.
+CARDS = [rf"\d(?:[ \-]?\d){{{n}}}(?![0-9])" for n in range(18, 11, -1)]
+IBANS = [rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}{tail}(?![0-9A-Za-z])" for n in range(7, 1, -1) for tail in (" ?[A-Z0-9]{1,3}", "")]
+PHONES = [rf"\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .\-]?\d{{2,4}}){{{n}}}(?![0-9])" for n in range(4, 0, -1)]
+#: Length and grouping of the issuers.
+ISSUED = (r"^(?:(?:4\d|5[1-5]|2[2-7]|35|6\d)\d\d([ \-]?)\d{4}\1\d{4}\1\d{4}|3[47]\d\d([ \-]?)\d{6}\2\d{5}"
+          r"|3[0689]\d\d([ \-]?)\d{6}\3\d{4}|6\d{3}([ \-]?)\d{4}\4\d{4}\4\d{4}\4\d{1,3})$")
+#: Digits of a country code and a national number of fixed length, with or without the trunk 0.
+PLANNED = (r"^(?:1[2-9]\d\d[2-9]\d{6}|7\d{10}|(?:31|33|34|41|48|61|351|420|421)0?[1-9]\d{8}"
+           r"|(?:44|91)0?[1-9]\d{9}|(?:45|47|65)\d{8}|861\d{10})$")
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -250,17 +268,76 @@ def _secret(v: Column, key: str) -> Column:
     return _let(head, lambda h: F.concat(h, F.lit("secret_"), _digest(F.substring(v, F.length(h) + 1, F.length(v)), key, 16)))
 
 
-def _replaced(v: Column, key: str) -> Column:
-    """Struct (kind, pseudonym) of a candidate; the pseudonym is null if it is not a valid value."""
+def _made(kind: Column, v: Column, key: str) -> Column:
+    """The pseudonym of a candidate, null if it is not a valid value."""
     makers = {
         "mail": _mail, "cloud_key": lambda v, k: F.concat(F.lit("secret_"), _digest(v, k, 16)), "secret": _secret,
-        "iso_date": _iso_date, "ipv4": _ipv4, "day_date": _day_date, "ssn": _ssn, "card": _card, "iban": _iban, "phone": _phone}
-    kind, new = None, None
-    for name, form in FORMS.items():
-        fits = v.rlike(f"^(?:{form})$")
-        kind = F.when(fits, name) if kind is None else kind.when(fits, name)
-        new = F.when(fits, makers[name](v, key)) if new is None else new.when(fits, makers[name](v, key))
-    return F.struct(kind.alias("kind"), new.alias("pseudonym"))
+        "iso_date": _iso_date, "ipv4": _ipv4, "day_date": _day_date, "ssn": _ssn, "card": _card, "odd_card": _card,
+        "iban": _iban, "phone": _phone}
+    new = F.lit(None).cast("string")
+    for name, maker in makers.items():
+        new = F.when(kind == name, maker(v, key)).otherwise(new)
+    return new
+
+
+def _candidates(w: Column, rest: Column) -> Column:
+    """What may start at the start of ``w``, in the order of trial. ``rest`` is ``w`` up to the end of the text."""
+    def at(form: str, text: Column = w) -> Column:
+        return F.regexp_extract(text, f"^(?:{form})", 0)
+
+    def long(form: str) -> Column:
+        return _let(at(form), lambda v: F.when(F.length(v) < F.length(w), v).otherwise(at(form, rest)))
+
+    def some(kind: str, v: Column, when: Callable[[Column], Column] | None = None) -> Column:
+        v = v if when is None else _let(v, lambda x: F.when(when(x), x).otherwise(""))
+        return F.struct(F.lit(kind).alias("kind"), v.alias("v"))
+
+    phones, cards = [at(x) for x in PHONES], [at(x) for x in CARDS]
+    each = [some(k, long(FORMS[k])) for k in ("mail", "secret")]
+    each += [some(k, at(FORMS[k])) for k in ("cloud_key", "iso_date", "ipv4", "day_date", "ssn")]
+    each += [some("iban", at(x)) for x in IBANS]
+    each += [some("phone", x, lambda v: _digits(v).rlike(PLANNED)) for x in phones]
+    each += [some("phone", x) for x in [*phones, at(PHONE_LOCAL)]]
+    each += [some("card", x, lambda v: v.rlike(ISSUED)) for x in cards]
+    each += [some("odd_card", x, lambda v: ~v.rlike(f"^(?:{ISO_DATE}|{SSN})")) for x in cards]
+    return F.filter(F.array(*each), lambda c: c["v"] != "")
+
+
+def _values(key: str) -> Column:
+    """The valid values of ``pieces``, which start at the places: piece, piece after it, kind, pseudonym, text up to there."""
+    pieces = F.col("pieces")
+
+    def value(piece: Column, i: Column) -> Column:
+        w = F.array_join(F.slice(pieces, i + 1, WINDOW), "")
+        rest = F.array_join(F.slice(pieces, i + 1, F.size(pieces)), "")
+
+        def first(w: Column) -> Column:
+            tried = F.transform(_candidates(w, rest), lambda c: F.struct(
+                c["kind"].alias("kind"), c["v"].alias("v"), _made(c["kind"], c["v"], key).alias("new")))
+            return F.get(F.filter(tried, lambda c: c["new"].isNotNull()), F.lit(0))
+
+        def placed(c: Column) -> Column:
+            start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"))
+            end = F.aggregate(F.slice(pieces, i + 1, F.least(F.length(c["v"]), F.size(pieces))), start, lambda a, p: F.when(
+                a["chars"] < F.length(c["v"]),
+                F.struct((a["n"] + 1).alias("n"), (a["chars"] + F.length(p)).alias("chars"))).otherwise(a))
+            return _let(end, lambda e: F.struct(
+                i.alias("i"), (i + e["n"]).alias("next"), c["kind"].alias("kind"), c["new"].alias("pseudonym"),
+                F.substring(F.array_join(F.slice(pieces, i + 1, e["n"]), ""), F.length(c["v"]) + 1, e["chars"]).alias("tail")))
+
+        return _let(_let(w, first), lambda c: F.when(c.isNotNull(), placed(c)))
+
+    return F.filter(F.transform(pieces, value), lambda x: x.isNotNull())
+
+
+def _apart() -> Column:
+    """``values`` without overlaps: the first from the left, but an odd card gives way to what starts in it."""
+    values = F.col("values")
+    sure = F.filter(values, lambda x, k: (x["kind"] != "odd_card") | ~F.exists(
+        F.slice(values, k + 2, WINDOW), lambda y: (y["kind"] != "odd_card") & (y["i"] < x["next"])))
+    none = F.filter(values, lambda x: F.lit(False))
+    return F.aggregate(sure, none, lambda a, x: F.when(
+        (F.size(a) == 0) | (F.get(a, F.size(a) - 1)["next"] <= x["i"]), F.concat(a, F.array(x))).otherwise(a))
 
 
 def pseudonymised(df: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
@@ -268,16 +345,21 @@ def pseudonymised(df: DataFrame, text: str = "text", key: str | None = None) ->
     key = key if key is not None else df.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY)
     rows = packed(df, text=text)
     # Digits, @ and = are in every form; texts without them are not searched.
-    some = F.col("text").rlike("[0-9@=:]")
-    rows = rows.withColumn("seen", F.when(some, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    rows = rows.withColumn("new", F.transform("seen", lambda v: _replaced(v, key)))
-    parts = F.when(F.size("seen") > 0, F.split("text", ANY, -1))
-    filled = F.zip_with("new", "seen", lambda n, v: F.coalesce(n["pseudonym"], v))
-    joined = F.array_join(F.flatten(F.zip_with(
-        parts, filled, lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))), "")
-    none = F.array().cast("array<struct<kind:string,pseudonym:string>>")
-    return once(rows, "out", text=F.when(F.size("seen") > 0, joined).otherwise(F.col("text")), found=F.coalesce(
-        F.filter("new", lambda n: n["pseudonym"].isNotNull()), none)).select("row", "out")
+    some = F.col("text").rlike("[0-9@=:]") & F.col("text").rlike(PLACE)
+    rows = rows.withColumn("pieces", F.when(some, F.split("text", PLACE, -1)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("values", _values(key))
+    rows = rows.withColumn("taken", _apart())
+    pieces, taken = F.col("pieces"), F.col("taken")
+
+    def filled(x: Column, k: Column) -> Column:
+        before = F.when(k > 0, F.get(taken, k - 1)["next"]).otherwise(0)
+        return F.concat(F.array_join(F.slice(pieces, before + 1, x["i"] - before), ""), x["pseudonym"], x["tail"])
+
+    end = F.get(taken, F.size(taken) - 1)["next"]
+    joined = F.concat(F.array_join(F.transform(taken, filled), ""), F.array_join(F.slice(pieces, end + 1, F.size(pieces)), ""))
+    found = F.transform(taken, lambda x: F.struct(
+        F.when(x["kind"] == "odd_card", "card").otherwise(x["kind"]).alias("kind"), x["pseudonym"].alias("pseudonym")))
+    return once(rows, "out", text=F.when(F.size("taken") > 0, joined).otherwise(F.col("text")), found=found).select("row", "out")
 
 
 def replace_personal(df: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
