@@ -17,7 +17,9 @@ check digit, month 13, octet 256), the search goes on with the next group. A
 card number in the length and grouping of its issuer goes before any other
 reading of its digits; no other one starts with the form of a date or SSN. Of a number with "+" the length that its country's plan
 fixes is taken, else the longest: there a number that follows in the next group
-cannot be told from the phone. Every row is returned, repeated ones alike.
+cannot be told from the phone. A secret is what follows a key word, in any case
+and with any prefix (``DB_PASSWORD=``), up to a space, quote or angle bracket,
+however long; below six characters it stays. Every row is returned, repeated ones alike.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ DATE_BLOCK = (250, 292)  # days a block: dates stay within their block of 73,000
 
 MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 CLOUD_KEY = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
-SECRET = r"(?:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'<>]{6,200}"
+SECRET = r"(?i:[A-Z0-9_.\-]*(?:password|passwd|pwd|secret|token|api[_\-]?key))\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'<>]{6,}+"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}(?![0-9])(?!\.\d)"
 ISO_DATE = r"\d{4}-\d{2}-\d{2}(?![0-9\-])"
 DAY_DATE = r"\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)\d{4}(?![0-9])"
@@ -264,7 +266,7 @@ def _mail(v: Column, key: str) -> Column:
 
 
 def _secret(v: Column, key: str) -> Column:
-    head = F.regexp_extract(v, r"^(\w+[\w\-]*\s*[=:]\s*[\"']?)", 1)
+    head = F.regexp_extract(v, r"^([\w.\-]+\s*[=:]\s*[\"']?)", 1)
     return _let(head, lambda h: F.concat(h, F.lit("secret_"), _digest(F.substring(v, F.length(h) + 1, F.length(v)), key, 16)))
 
 
@@ -344,8 +346,8 @@ def pseudonymised(df: DataFrame, text: str = "text", key: str | None = None) ->
     """Each row as ``row``, its new text as ``out.text``, and ``out.found``: kinds and pseudonyms in order."""
     key = key if key is not None else df.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY)
     rows = packed(df, text=text)
-    # Digits, @ and = are in every form; texts without them are not searched.
-    some = F.col("text").rlike("[0-9@=:]") & F.col("text").rlike(PLACE)
+    # A digit, @, =, : or the start of a cloud key is in every form; texts without them are not searched.
+    some = F.col("text").rlike("[0-9@=:]|AKIA|ASIA") & F.col("text").rlike(PLACE)
     rows = rows.withColumn("pieces", F.when(some, F.split("text", PLACE, -1)).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("values", _values(key))
     rows = rows.withColumn("taken", _apart())
