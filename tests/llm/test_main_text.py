@@ -76,6 +76,21 @@ def test_templates_of_a_site_go_and_copies_stay(spark):
         assert out[i] == (main if i < 20 else f"Home News\n{main}")
 
 
+def test_recurrence_decides_before_marks(spark):
+    subtrees = M.Page("<nav>Home</nav><article><h1>T</h1><p>Long enough text</p><ul><li>a</ul></article>").subtrees
+    assert len(subtrees) == 2
+    rows = [(i, f"http://b.org/{i}", f"<nav>Home</nav><article><p>own text of page {i}</p><ul><li>Buy</ul></article>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in M.report(df).collect()} == {i: f"own text of page {i}" for i in range(6)}
+
+
+def test_a_dropped_parent_wins_over_an_article_in_it():
+    aside = "<aside class=related><article>teaser</article></aside>"
+    assert text(f"<div>The text of the page</div>{aside}") == "The text of the page"
+    assert text(f"<article>The text of the page{aside}</article>{aside}") == "The text of the page"
+    assert text("<form><article>Text</article></form><footer>f</footer>") == "Text"
+
+
 def test_odd_inputs(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://h/", None), (4, None, "<p>x"), (None, "http://h/", "<p>y"),
             (4, None, "<p>x"), (5, "no host", "<" * 2000), (6, "http://h/", "<p>" + "w " * 100_000)]

@@ -1,13 +1,15 @@
 """Main text of web pages by removing what a site repeats.
 
-Every container element's subtree is hashed. The hashes are counted per host in
-Spark, and a subtree that recurs under many different titles of a host is part
-of its template and deleted. Copies of one article share its title, so they do
-not make the article a template, nor does a subtree that holds half of a page's
-text ever become one. Elements whose tag, role or class says what they are
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) go as
-well, unless they hold the article. If a page marks its article, text outside
-of it goes.
+Every container element's subtree is hashed, whatever its tag or class says. The
+hashes are counted per host in Spark, and a subtree that recurs on many pages of
+a host is part of its template and deleted. Pages are told apart by the text the
+rules below leave of them: copies of one article count once, so they do not make
+it a template, nor does a subtree that holds half of that text ever become one.
+Only then marks are used. Elements whose tag, role or class says what they are
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) go, and if
+a page marks its article, text outside of it goes. An article inside such an
+element goes with it, unless it holds more than the rest of a page without any
+other article (a class named after a layout, broken markup).
 
 What is left is cut into blocks at block elements; character references are
 decoded, white space inside a block becomes one space, blocks are joined by a
@@ -32,8 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 from threadloom.llm.urls import with_parts
 from threadloom.session import written
 
-#: A template recurs under at least so many titles of its host, and so large a share of them.
-MIN_TITLES, MIN_SHARE = 5, 0.05
+#: A template recurs on at least so many pages of its host that differ in their own text, and so large a share of them.
+MIN_PAGES, MIN_SHARE = 5, 0.05
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -45,8 +47,6 @@ DROPPED = frozenset(
     "head script style noscript template iframe object svg canvas math audio video select textarea button form nav footer "
     "aside menu dialog title".split())
 CONTAINERS = frozenset("div section nav header footer aside form ul ol menu table figure center fieldset".split())
-#: Inside the article only these may be a template; lists and tables are content there.
-INNER = frozenset("div section nav header footer aside form".split())
 #: Elements that an equal or a sibling element ends.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
             "th": ("td", "th"), "option": ("option",)}
@@ -70,12 +70,12 @@ _raw_end = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
 
 class _Element:
-    __slots__ = ("tag", "first", "marks", "dropped", "header", "main", "heading", "holds_main", "in_main", "chars")
+    __slots__ = ("tag", "first", "marks", "dropped", "named", "header", "main", "heading", "holds_main", "in_main", "chars")
 
     def __init__(self, tag: str, first: int, in_main: bool):
         self.tag, self.first, self.in_main = tag, first, in_main
         self.marks: list[bytes] = []
-        self.dropped = self.header = self.main = self.heading = self.holds_main = False
+        self.dropped = self.named = self.header = self.main = self.heading = self.holds_main = False
         self.chars = 0
 
 
@@ -86,17 +86,35 @@ class Page:
         self.segments: list[tuple[int, str]] = []
         self.drop: list[bool] = []
         self.inside: list[bool] = []  # in the article
+        self.under: list[int] = []  # 1 in an article that a class or form drops, 2 one that a tag or role drops
         self.subtrees: list[tuple[int, int, int, int]] = []  # hash, first and last segment, characters
-        self.title = ""
         self.block = 0
         self.stack = [_Element("#page", 0, False)]
         self._read(html)
         while len(self.stack) > 1:
             self._close()
-        if any(i and not d for i, d in zip(self.inside, self.drop)):
-            self.drop = [d or not i for d, i in zip(self.drop, self.inside)]
-        kept = sum(len(t) for (_, t), d in zip(self.segments, self.drop) if not d)
-        self.subtrees = [s for s in self.subtrees if 2 * s[3] < kept and not all(self.drop[s[1]:s[2]])]
+        left = [not d for d in self._dropped(self.drop)]
+        kept = sum(len(t) for (_, t), k in zip(self.segments, left) if k)
+        self.subtrees = [s for s in self.subtrees if 2 * s[3] < kept or not any(left[s[1]:s[2]])]
+
+    def _dropped(self, drop: list[bool]) -> list[bool]:
+        """``drop`` and what the marks drop of the rest."""
+        size = [0, 0, 0]  # left by ``under``
+        marked = False
+        for (_, text), gone, inside, under in zip(self.segments, drop, self.inside, self.under):
+            if not gone:
+                size[under] += len(text.strip())
+                marked |= inside and not under
+        most = 0
+        if not marked:
+            if size[1] > size[0]:
+                most = 1
+            elif not size[0] and size[2]:
+                most = 2
+        drop = [d or u > most for d, u in zip(drop, self.under)]
+        if any(i and not d for i, d in zip(self.inside, drop)):
+            drop = [d or not i for d, i in zip(drop, self.inside)]
+        return drop
 
     def _read(self, html: str) -> None:
         at, last = 0, html.rfind(">")
@@ -118,8 +136,6 @@ class Page:
             attributes = m.group(3) or m.group(6) or ""
             if tag in RAW:
                 end = _raw_end[tag].search(html, at)
-                if tag == "title" and not self.title:
-                    self.title = " ".join(unescape(html[at:end.start() if end else len(html)]).split())
                 at = end.end() if end else len(html)
                 continue
             self._start(tag, attributes)
@@ -134,6 +150,7 @@ class Page:
         top.chars += len(text)
         self.segments.append((self.block, text))
         self.drop.append(False)
+        self.under.append(0)
         self.inside.append(top.in_main)
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -163,6 +180,7 @@ class Page:
         elif tag not in ("html", "body"):
             element.header = tag == "header" or "header" in names
             element.dropped = tag in DROPPED or role in ROLES or bool(names & NAMES) or about_comments
+            element.named = tag == "form" or not (tag in DROPPED or role in ROLES)
         if tag in ("h1", "h2"):
             element.heading = True
         self.stack.append(element)
@@ -195,11 +213,13 @@ class Page:
             self.block += 1
         first, last = e.first, len(self.segments)
         dropped = e.dropped or (e.header and not (e.in_main and e.heading))
-        if dropped and not e.holds_main:
+        if dropped and (e.in_main or not e.holds_main):
             self.drop[first:last] = [True] * (last - first)
+        elif dropped:
+            self.under[first:last] = [max(u, 1 if e.named else 2) for u in self.under[first:last]]
         body = b"\x1f".join([e.tag.encode("utf-8", "surrogatepass"), *e.marks])
         mark = xxhash.xxh3_64_intdigest(body)
-        if last > first and not e.holds_main and e.tag in (INNER if e.in_main else CONTAINERS):
+        if last > first and not e.main and e.tag in CONTAINERS:
             self.subtrees.append((mark - (1 << 63), first, last, e.chars))
         parent.marks.append(mark.to_bytes(8, "big"))
         parent.chars += e.chars
@@ -212,6 +232,7 @@ class Page:
         for mark, first, last, _ in self.subtrees:
             if mark in templates:
                 drop[first:last] = [True] * (last - first)
+        drop = self._dropped(drop)
         blocks: dict[int, list[str]] = {}
         for (block, text), gone in zip(self.segments, drop):
             if not gone:
@@ -220,49 +241,36 @@ class Page:
         return "\n".join(x for x in lines if x)
 
 
-def _title_key(page: Page) -> int:
-    return xxhash.xxh3_64_intdigest(page.title.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-PARSED = "text string, title long, marks array<long>"
-
-
 def _parsed(df: DataFrame) -> DataFrame:
-    """Text by the rules alone, and the hashes of the subtrees left in it that may be templates."""
+    """Host, key of host and page, hash of the text by the rules alone, and the hashes of the subtrees that may be templates."""
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, titles, marks = [], [], []
+            own, marks = [], []
             for html in batch.column("html").to_pylist():
                 page = Page(html or "")
-                texts.append(page.text())
-                titles.append(_title_key(page))
+                own.append(xxhash.xxh3_64_intdigest(page.text().encode("utf-8", "surrogatepass")) - (1 << 63))
                 marks.append(sorted({s[0] for s in page.subtrees}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), batch.column("host"),
-                 pa.array([h if m else None for h, m in zip(batch.column("html").to_pylist(), marks)], pa.string()),
-                 pa.array(texts, pa.string()), pa.array(titles, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
-                ["page_id", "url", "host", "html", "text", "title", "marks"])
+                [batch.column("host"), batch.column("key"), pa.array(own, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
+                ["host", "key", "own", "marks"])
 
-    rows = df.select("page_id", "url", F.col("u.host").alias("host"), "html")
-    return rows.mapInArrow(parse, f"page_id long, url string, host string, html string, {PARSED}")
+    return df.select("host", "key", "html").mapInArrow(parse, "host string, key binary, own long, marks array<long>")
 
 
-def _templates(pages: DataFrame, min_titles: int, min_share: float) -> DataFrame:
-    """(host, mark) of the subtrees that recur under many titles of their host."""
-    sites = pages.filter("host <> ''")
-    titles = sites.groupBy("host", "title").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(
-        F.count(F.lit(1)).alias("titles"))
-    seen = sites.select("host", "title", F.explode("marks").alias("mark")).distinct()
-    often = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("under"))
-    often = often.filter(F.col("under") >= min_titles).join(titles, "host")
-    return often.filter(F.col("under") >= min_share * F.col("titles")).select("host", "mark")
+def _templates(pages: DataFrame, min_pages: int) -> DataFrame:
+    """(host, mark) of the subtrees that recur on many pages of their host."""
+    seen = pages.select("host", "own", F.explode("marks").alias("mark")).distinct()
+    often = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages"))
+    hosts = pages.select("host", "own").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    often = often.filter(F.col("pages") >= min_pages).join(hosts, "host")
+    return often.filter(F.col("pages") >= MIN_SHARE * F.col("all")).select("host", "mark")
 
 
 def _cleared(df: DataFrame) -> DataFrame:
-    """The text again, without the subtrees in ``gone``."""
+    """The text without the subtrees in ``gone``."""
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(html).text(set(gone)) for html, gone in
+            texts = [Page(html or "").text(set(gone or ())) for html, gone in
                      zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
@@ -271,20 +279,19 @@ def _cleared(df: DataFrame) -> DataFrame:
 
 
 def extract(
-    df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
-    min_titles: int = MIN_TITLES, min_share: float = MIN_SHARE,
+    df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """(page_id, url, text) of every row."""
-    named = df.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"),
-                      F.col(f"`{html}`").alias("html"))
-    pages = written(_parsed(with_parts(named)).withColumn("no", F.monotonically_increasing_id()), "pages")
-    templates = _templates(pages.select("host", "title", "marks"), min_titles, min_share)
-    hits = pages.select("no", "host", F.explode("marks").alias("mark")).join(templates, ["host", "mark"])
-    gone = hits.groupBy("no").agg(F.collect_set("mark").alias("gone"))  # at most a page's own subtrees
-    plain = pages.filter(F.size("marks") == 0).select("page_id", "url", "text")
-    marked = pages.filter(F.size("marks") > 0).select("no", "page_id", "url", "html", "text").join(gone, "no", "left")
-    same = marked.filter("gone is null").select("page_id", "url", "text")
-    return plain.unionByName(same).unionByName(_cleared(marked.filter("gone is not null").select("page_id", "url", "html", "gone")))
+    """(page_id, url, text) of every row. Pages are parsed twice, as a copy of them costs more disk."""
+    named = with_parts(df.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"),
+                                 F.col(f"`{html}`").alias("html")))
+    # What goes depends on host and page alone.
+    key = F.unhex(F.md5(F.concat_ws("\n", "u.host", "html")))
+    pages = named.select("page_id", "url", "html", F.col("u.host").alias("host"), key.alias("key"))
+    parsed = written(_parsed(pages.filter("host <> ''")), "pages")
+    templates = _templates(parsed, min_pages)
+    marks = parsed.groupBy("host", "key").agg(F.first("marks").alias("marks")).select("host", "key", F.explode("marks").alias("mark"))
+    gone = marks.join(templates, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("gone"))  # at most a page's own subtrees
+    return _cleared(pages.join(gone, "key", "left").select("page_id", "url", "html", "gone"))
 
 
 def report(df: DataFrame, **options) -> DataFrame:
