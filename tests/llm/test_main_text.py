@@ -91,6 +91,15 @@ def test_a_dropped_parent_wins_over_an_article_in_it():
     assert text("<form><article>Text</article></form><footer>f</footer>") == "Text"
 
 
+def test_pages_are_counted_by_their_own_text(spark):
+    rows = []
+    for i in range(300):  # no titles; a notice on 2 per cent of the pages
+        notice = "<div>Section notice</div>" if i < 6 else ""
+        rows.append((i, "http://c.org/", f"<div>Menu</div>{notice}<div><p>what page {i} says of number {i}</p></div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in M.report(df).collect()} == {i: f"what page {i} says of number {i}" for i in range(300)}
+
+
 def test_odd_inputs(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://h/", None), (4, None, "<p>x"), (None, "http://h/", "<p>y"),
             (4, None, "<p>x"), (5, "no host", "<" * 2000), (6, "http://h/", "<p>" + "w " * 100_000)]

@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 from threadloom.llm.urls import with_parts
 from threadloom.session import written
 
-#: A template recurs on at least so many pages of its host that differ in their own text, and so large a share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.05
+#: A template recurs on at least so many pages of its host that differ in their own text.
+MIN_PAGES = 5
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -261,9 +261,7 @@ def _templates(pages: DataFrame, min_pages: int) -> DataFrame:
     """(host, mark) of the subtrees that recur on many pages of their host."""
     seen = pages.select("host", "own", F.explode("marks").alias("mark")).distinct()
     often = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages"))
-    hosts = pages.select("host", "own").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    often = often.filter(F.col("pages") >= min_pages).join(hosts, "host")
-    return often.filter(F.col("pages") >= MIN_SHARE * F.col("all")).select("host", "mark")
+    return often.filter(F.col("pages") >= min_pages).select("host", "mark")
 
 
 def _cleared(df: DataFrame) -> DataFrame:
