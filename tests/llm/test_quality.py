@@ -1,6 +1,7 @@
 """Quality rules against plain Python, and every odd input."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -92,3 +93,19 @@ def test_distance_is_jensen_shannon(spark):
 
     for i, t in enumerate(texts):
         assert out[i]["word_distance"] == pytest.approx(distance(shares([t]), shares(texts)))
+
+
+def test_other_languages_are_held_against_themselves(spark):
+    rng = random.Random(3)
+    italian = "il di che la e un per non sono con le si da come ma".split()
+
+    def words(common, start):
+        return " ".join(rng.choice(common) if rng.random() < 0.3 else f"{start}{rng.choice('aeiou')}{rng.choice('bcdfg')}o"
+                        + rng.choice("abcdefghil") for _ in range(150))
+
+    rows = [(i, words(italian, "v"), "it") for i in range(20)] + [(i, words(["и", "в", "не", "на"], "ж"), "ru") for i in range(20, 40)]
+    rows += [(i, words(quality.COMMON_WORDS["en"], "w"), "en") for i in range(40, 60)]
+    rows += [(60, words(italian, "v"), None), (61, "# $ % & " + " ".join(f"{k}%$#&|" for k in range(150)), "it")]
+    out = {r["doc_id"]: r for r in quality.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i]["kept"] for i in range(61)) and not out[61]["kept"]
+    assert all(out[i]["word_distance"] is not None for i in range(60)) and out[60]["word_distance"] is None

@@ -2,13 +2,14 @@
 
 Two histograms of a document are compared with those of its language by
 Jensen-Shannon distance (base 2, so 0 to 1): character classes, and common
-words. The references are sums over all documents of the corpus that pass the
-base rules and are long enough. Columns and SQL functions only.
+words. The references are sums over all documents of the corpus in that language
+that pass the base rules and are long enough. A language without a list of common
+words gets the most frequent words of these documents. Columns and SQL functions
+only.
 
 Null text counts as empty. Empty texts have no words and fail the base rules.
-A document in a language without a list of common words is held against every
-reference and judged by the nearest. Without any reference (an empty corpus,
-only short documents) the base rules alone decide. Equal rows are judged
+Documents without a language, or in one without a reference (only short
+documents), are judged by the base rules alone. Equal rows are judged
 alike; every row is returned.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.session import written
 from threadloom.llm.tables import SPACE, once, packed, unpacked, words_of
@@ -45,6 +46,7 @@ class QualityRules:
     min_words_common: int = 100
     max_class_distance: float = 0.28
     max_word_distance: float = 0.30
+    most_common: int = 32  # words of a language that has no list
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
 
 
@@ -83,9 +85,31 @@ def _without(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def measured(df: DataFrame, rules: QualityRules) -> DataFrame:
+def word_lists(df: DataFrame, rules: QualityRules) -> dict[str, list[str]]:
+    """The common words of every language: the listed ones, else the most frequent of the corpus.
+
+    ``df`` has ``text`` and ``lang``. The result has ``most_common`` words for each language without a list.
+    """
+    others = df.filter(F.col("lang").isNotNull() & ~F.col("lang").isin(list(rules.common_words)))
+    others = others.select("lang", words_of(F.col("text")).alias("words")).filter(F.size("words") >= rules.min_words_classes)
+    others = once(_repeated(others, rules.window), "m", n=F.size("words"), repeated=_covered(rules.window))
+    good = others.filter((F.col("m.n") >= rules.fewest_words) & (
+        100 * F.col("m.repeated") <= rules.most_repeated_percent * F.col("m.n")))
+    n = good.select("lang", F.explode("words").alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    # The k-th best of each hash part, then of the language: no task holds a language's vocabulary.
+    first = Window.partitionBy("lang", F.pmod(F.xxhash64("w"), F.lit(64))).orderBy(F.desc("n"), "w")
+    best = n.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rules.most_common)
+    last = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
+    best = best.withColumn("k", F.row_number().over(last)).filter(F.col("k") <= rules.most_common)
+    out = {lang: list(dict.fromkeys(words)) for lang, words in rules.common_words.items()}
+    for row in best.orderBy("lang", "k").collect():
+        out.setdefault(row["lang"], []).append(row["w"])
+    return out
+
+
+def measured(df: DataFrame, rules: QualityRules, lists: dict[str, list[str]] | None = None) -> DataFrame:
     """Add struct ``q``: the counts, character classes and common words of ``text``."""
-    bins = sorted({w for ws in rules.common_words.values() for w in ws})
+    bins = sorted({w for ws in (lists or rules.common_words).values() for w in ws})
     df = df.withColumn("body", F.coalesce("text", F.lit(""))).withColumn("words", words_of(F.col("text")))
     df = _repeated(df, rules.window)
     df = df.withColumn("common", F.sort_array(F.filter("words", lambda w: w.isin(bins))))
@@ -124,14 +148,16 @@ def measured(df: DataFrame, rules: QualityRules) -> DataFrame:
     )).drop("m")
 
 
-def language_references(df: DataFrame, rules: QualityRules) -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Shares of character classes and of common words, per listed language, over all rows.
+def language_references(
+    df: DataFrame, rules: QualityRules, lists: dict[str, list[str]] | None = None,
+) -> dict[str, tuple[list[float], dict[str, float]]]:
+    """Shares of character classes and of common words, per language, over all rows.
 
-    The result has a fixed size: languages times classes and list lengths.
-    ``df`` comes from :func:`measured`.
+    The result has a fixed size for each language: classes and list lengths.
+    ``df`` comes from :func:`measured` with the same ``lists``.
     """
-    usable = df.filter(~F.col("q.base_failed") & (F.col("q.n_words") >= rules.min_words_classes)
-                       & F.col("lang").isin(list(rules.common_words)))
+    lists = lists or rules.common_words
+    usable = df.filter(~F.col("q.base_failed") & (F.col("q.n_words") >= rules.min_words_classes) & F.col("lang").isNotNull())
     counts = F.concat(
         F.transform("q.classes", lambda n, k: F.struct(F.concat(F.lit("class "), k.cast("string")).alias("w"), n.alias("n"))),
         F.array(F.struct(F.lit("all words").alias("w"), F.col("q.n_words").alias("n"))),
@@ -144,7 +170,7 @@ def language_references(df: DataFrame, rules: QualityRules) -> dict[str, tuple[l
     for lang, n in sorted(by.items()):
         chars = [n[f"class {k}"] for k in range(len(CLASSES))]
         out[lang] = ([c / sum(chars) for c in chars],
-                     {w: n.get(f"word {w}", 0) / n["all words"] for w in dict.fromkeys(rules.common_words[lang])})
+                     {w: n.get(f"word {w}", 0) / n["all words"] for w in dict.fromkeys(lists.get(lang, ()))})
     return out
 
 
@@ -155,41 +181,36 @@ def _term(p: Column, q: Column) -> Column:
     return part(p) + part(q)
 
 
-def _class_distance(reference: list[float]) -> Column:
+def _class_distance(reference: Column) -> Column:
     total = F.greatest(F.col("q.n_chars"), F.lit(1)).cast("double")
-    terms = [_term(F.col("q.classes")[k] / total, F.lit(float(s))) for k, s in enumerate(reference)]
-    return F.sqrt(F.greatest(sum(terms[1:], terms[0]) / 2, F.lit(0.0)))
+    terms = [_term(F.col("q.classes")[k] / total, reference[k]) for k in range(len(CLASSES))]
+    return F.when(reference.isNotNull(), F.sqrt(F.greatest(sum(terms[1:], terms[0]) / 2, F.lit(0.0))))
 
 
-def _word_distance(shares: dict[str, float]) -> Column:
+def _word_distance(listed: Column) -> Column:
     total = F.greatest(F.col("q.n_words"), F.lit(1)).cast("double")
-    listed = F.create_map(*(x for w, s in shares.items() for x in (F.lit(w), F.lit(float(s)))))
-    seen = F.filter("q.common", lambda x: x["w"].isin(list(shares)))
+    seen = F.filter("q.common", lambda x: F.map_contains_key(listed, x["w"]))
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
 
     def add(a: Column, x: Column) -> Column:
-        p, q = x["n"] / total, F.element_at(listed, x["w"])
+        p, q = x["n"] / total, F.try_element_at(listed, x["w"])
         return F.struct((a["sum"] + _term(p, q)).alias("sum"), (a["p"] + p).alias("p"), (a["q"] + q).alias("q"))
 
-    listed_share = float(sum(shares.values()))
+    listed_share = F.aggregate(F.map_values(listed), F.lit(0.0), lambda a, x: a + x)
 
     def finish(a: Column) -> Column:
-        other = _term(F.greatest(1 - a["p"], F.lit(0.0)), F.lit(max(0.0, 1 - listed_share)))
-        unseen = F.greatest(F.lit(listed_share) - a["q"], F.lit(0.0))  # bins the text lacks add their whole share
+        other = _term(F.greatest(1 - a["p"], F.lit(0.0)), F.greatest(1 - listed_share, F.lit(0.0)))
+        unseen = F.greatest(listed_share - a["q"], F.lit(0.0))  # bins the text lacks add their whole share
         return F.sqrt(F.greatest((a["sum"] + other + unseen) / 2, F.lit(0.0)))
 
-    return F.aggregate(seen, start, add, finish)
+    return F.when(F.size(listed) > 0, F.aggregate(seen, start, add, finish))
 
 
-def _nearest(distances: dict[str, Column]) -> Column:
-    """The distance from the document's own language, else from the nearest one."""
-    if not distances:
-        return F.lit(None).cast("double")
-    each = list(distances.values())
-    out = F.least(*each) if len(each) > 1 else each[0]
-    for lang, d in distances.items():
-        out = F.when(F.col("lang") == lang, d).otherwise(out)
-    return out
+def _with_references(df: DataFrame, references: dict[str, tuple[list[float], dict[str, float]]]) -> DataFrame:
+    """Add ``classes`` and ``listed`` of the row's language, null where it has none; one small row a language."""
+    rows = df.sparkSession.createDataFrame(
+        [(k, c, w) for k, (c, w) in references.items()], "lang string, classes array<double>, listed map<string,double>")
+    return df.join(F.broadcast(rows), "lang", "left")
 
 
 def judged(
@@ -202,17 +223,18 @@ def judged(
     written once in between; whole rows, with their texts, are counted twice
     instead, as a copy of the corpus costs more than the second pass.
     """
-    measures = measured(packed(df, text=text, lang=lang), rules)
+    rows = packed(df, text=text, lang=lang)
+    lists = word_lists(rows.select("text", "lang"), rules)
+    measures = measured(rows, rules, lists)
     if keep is None:
         measures = measures.select("row", "lang", "q")
     else:
         measures = measures.withColumn("row", F.struct(*(F.col(f"row.`{c}`") for c in keep)))
         measures = written(measures.select("row", "lang", "q"), "quality")
-    references = language_references(measures, rules)
+    references = language_references(measures, rules, lists)
     out = once(
-        measures, "d", q=F.col("q"),
-        class_distance=_nearest({k: _class_distance(c) for k, (c, _) in references.items()}),
-        word_distance=_nearest({k: _word_distance(w) for k, (_, w) in references.items()}))
+        _with_references(measures, references), "d", q=F.col("q"),
+        class_distance=_class_distance(F.col("classes")), word_distance=_word_distance(F.col("listed")))
 
     def far(distance: str, most: float, guard: int) -> Column:
         beyond = F.coalesce(F.col(distance) > most, F.lit(False))
