@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from threadloom.llm import urls as U
 from threadloom.llm.queries import QUERIES
 
@@ -71,3 +73,10 @@ def test_trees_on_held_out_urls(spark):
 def test_one_label_alone_trains_nothing(spark):
     df = spark.createDataFrame([("http://a/", 0.0)] * 3, "url string, label double")
     assert U.train(df) is None
+
+
+def test_seed_words_are_whole_parts_of_a_host(spark):
+    hosts = ["alphabet.com", "tibet.org", "better.net", "crackers.com", "cheap-pills.net", "my.bet.com", "casino.com:80", "a-loan.org"]
+    df = U.with_parts(spark.createDataFrame([(f"http://{h}/",) for h in hosts], "url string"))
+    out = U.labelled_urls(df.withColumn("rule", F.lit(None).cast("string")), {}, U.SEED_WORDS).collect()
+    assert {r["url"] for r in out} == {f"http://{h}/" for h in hosts[4:]}

@@ -4,7 +4,8 @@ A rule names a host and the start of a path; it fits the host and all its
 subdomains, and the longest rule that fits wins. URLs without a rule are judged
 by boosted trees over length, depth, digits, entropy, parameters and statistics
 of the host's suffix. The trees are trained on labelled URLs: those a rule
-decides, and those whose host holds a word of a seed list (block). At most
+decides, and those whose host has a word of a seed list, or its plural, between dots and
+hyphens (block). At most
 ``TRAIN_URLS`` distinct labelled URLs are used, the first by hash; that bounded
 sample also gives the suffix statistics.
 
@@ -36,7 +37,7 @@ RULES = {
     "com/de/": "block",
 }
 
-# Words in a host that label a URL "block" for training.
+# Parts of a host that label a URL "block" for training.
 SEED_WORDS = "adult casino cheap pills porn xxx bet loan viagra replica warez crack".split()
 
 FEATURES = ("length", "host_length", "path_length", "depth", "host_parts", "hyphens", "digit_ratio", "host_digit_ratio",
@@ -138,7 +139,7 @@ def train(labelled: DataFrame, most: int = TRAIN_URLS, seed: int = 7) -> Trained
 
 def labelled_urls(urls: DataFrame, rules: dict[str, str], seeds: list[str]) -> DataFrame:
     """(url, label) of the rows of ``urls`` (url, u, rule) that a rule or a seed word decides."""
-    seeded = F.col("u.host").rlike("|".join(seeds)) if seeds else F.lit(False)
+    seeded = F.col("u.host").rlike(rf"(?:^|[.\-@])(?:{'|'.join(seeds)})s?(?:$|[.\-:])") if seeds else F.lit(False)
     blocked = F.col("rule").isin([r for r, v in rules.items() if v == "block"])
     label = F.when(seeded, 1.0).when(blocked, 1.0).when(F.col("rule").isNotNull(), 0.0)
     return urls.select("url", label.alias("label")).filter("label is not null and url is not null")
