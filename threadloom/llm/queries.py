@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import main_text, near_copies, packing, pseudonyms, quality, sentence_pieces, sharding, token_counts, urls, vector_links
+from threadloom.llm import (
+    main_text, near_copies, packing, pseudonyms, quality, ranked_search, sentence_pieces, sharding, source_divergence,
+    token_counts, urls, vector_links,
+)
+from threadloom.llm.oracles import ORACLE  # noqa: F401
 from threadloom.llm.tables import table
 
 
@@ -48,5 +52,12 @@ def op10_boosted_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(table(spark, sf_dir, "pages"))
 
 
+def op11_bag_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_count_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op")}
-ORACLE: dict[str, str] = {}
