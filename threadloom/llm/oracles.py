@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import ranked_search, source_divergence
+from threadloom.llm import ranked_search, source_divergence, warc
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -49,7 +49,22 @@ SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value
 FROM found QUALIFY part = 'pair' OR rank <= {source_divergence.TOP_TERMS}
 """
 
+# base32: four letters for each five hexadecimal digits
+LETTERS = " || ".join(
+    f"""substr('{warc.BASE32}', CAST((CAST('0x' || substr(sha1(body), {5 * g + 1}, 5) AS BIGINT) >> {15 - 5 * k}) & 31 AS BIGINT) + 1, 1)"""
+    for g in range(8) for k in range(4))
+
+ARCHIVES = f"""
+WITH page AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+first AS (SELECT body, min(page_id) AS first FROM page GROUP BY body)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {LETTERS} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM page JOIN first USING (body)
+"""
+
 ORACLE = {
+    "op13_boundary_chains": ARCHIVES,
     "op11_bag_classes": RANKED,
     "op12_count_bitmaps": AUDIT,
 }

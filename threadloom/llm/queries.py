@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import (
     main_text, near_copies, packing, pseudonyms, quality, ranked_search, sentence_pieces, sharding, source_divergence,
-    token_counts, urls, vector_links,
+    token_counts, urls, vector_links, warc,
 )
 from threadloom.llm.oracles import ORACLE  # noqa: F401
 from threadloom.llm.tables import table
@@ -60,4 +60,8 @@ def op12_count_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_boundary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op")}
