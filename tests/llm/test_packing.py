@@ -91,7 +91,29 @@ def test_counts_near_the_histogram(seed):
     assert (used * np.arange(1, window + 1)).sum() >= 0.6 * tokens
 
 
-def test_encoder_equals_library_on_random_text(library):
+def test_texts_cut_at_equal_and_other_places(spark, library):
+    rng = random.Random(4)
+    texts = ["a b c d e f g", "日本語 x", "word " * 9, ""]
+    rows = [(i, rng.choice(texts)) for i in range(300)]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, no long, h1 long, lengths string")
+    pieces = packing.pack(df, window=16).collect()
+    assert check(pieces, rows, library, 16) == 0
+    assert any(p["length"] < p["doc_tokens"] % 16 for p in pieces)
+
+
+def test_solver_settles():
+    counts = np.array([0, 900, 500, 40, 0, 7, 800, 650, 3])
+    combos = packing.combinations(np.flatnonzero(counts), 8)
+    held = np.where(combos > 0, 1, 0)
+    x = packing.solve_counts(combos, counts, 1e-6)
+    error = lambda v: ((np.bincount(combos.ravel(), (held * v[:, None]).ravel(), 9)[1:] - counts[1:]) ** 2).sum()
+    rng = np.random.default_rng(1)
+    assert all(error(x) <= error(np.maximum(x + rng.normal(0, s, len(x)), 0)) * 1.01 + 1 for s in (0.5, 5, 50) for _ in range(200))
+
+
+@pytest.mark.parametrize("part", [17, 1 << 18])
+def test_encoder_equals_library_on_random_text(library, monkeypatch, part):
+    monkeypatch.setattr(byte_ids, "PART_CHARS", part)
     rng = random.Random(3)
     enc = byte_ids.Encoder(public_tokenizers.path(byte_ids.VOCABULARY), public_tokenizers.path(byte_ids.RANKS))
     alphabet = "abcXYZ 0129  \n\t.,'!-éßñ日語 　 \x85\x1c'st're"

@@ -1,10 +1,10 @@
 """Token ids of a byte-level BPE vocabulary for whole texts, in Arrow batches.
 
-The pre-tokenizer of this vocabulary starts a piece at every space before a
-non-space, so the text between two such places is encoded by itself and frequent
-ones are remembered. Pieces outside the Latin blocks, and texts that hold the
-vocabulary's special token, go to the tokenizers library itself; other pieces
-to tiktoken with the same vocabulary, which is several times faster.
+Texts of Latin blocks are encoded whole by tiktoken with the same vocabulary,
+long ones in parts. The pre-tokenizer of this vocabulary starts a piece at every
+space before a non-space, so a text may be parted there. Pieces outside these
+blocks, and texts that hold the vocabulary's special token, go to the tokenizers
+library itself.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import base64
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -20,21 +21,21 @@ import public_tokenizers
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-#: Remembered pieces of a task, dropped all at once when full; and their longest.
-CACHE_PIECES, CACHE_CHARS = 120_000, 48
+#: Characters encoded at once.
+PART_CHARS = 1 << 18
 
-_odd_space = re.compile(r" (?:\s|$)").search
-_before_word = re.compile(r" (?=\S)").split
+_before_word = re.compile(r" (?=\S)").search
 _latin = re.compile("[\x00-ɏ‐-‧]*").fullmatch
+#: From a space before a non-space, or the start, up to the next such space, if a character beyond the blocks is there.
+_beyond = re.compile("(?: (?=\\S)|^)(?:(?! (?=\\S))[\x00-ɏ‐-‧])*[^\x00-ɏ‐-‧](?:(?! (?=\\S)).)*", re.DOTALL).finditer
 
 
-class Encoder(dict):
-    """Maps the rest of a piece after its space to the little-endian bytes of its ids."""
+class Encoder:
+    """The little-endian bytes of a text's ids."""
 
     def __init__(self, vocabulary: str, ranks: str):
         import tiktoken
 
-        super().__init__()
         self.vocabulary = vocabulary
         with open(vocabulary, encoding="utf-8") as file:
             added = [(t["content"], t["id"]) for t in json.load(file)["added_tokens"]]
@@ -54,28 +55,36 @@ class Encoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         return Tokenizer.from_file(self.vocabulary)
 
-    def piece(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if _latin(text) \
-            else self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
-
-    def __missing__(self, rest: str) -> bytes:
-        out = self.piece(" " + rest)
-        if len(rest) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[rest] = out
-        return out
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _by_ranks(self, text: str) -> bytes:
+        return np.array(self.fast.encode_ordinary(text), self.dtype).tobytes()
+
+    def _part(self, text: str) -> Iterator[bytes]:
+        if _latin(text):
+            yield self._by_ranks(text)
+            return
+        at = 0
+        for found in _beyond(text):
+            if found.start() > at:
+                yield self._by_ranks(text[at:found.start()])
+            yield self._by_library(found[0])
+            at = found.end()
+        if at < len(text):
+            yield self._by_ranks(text[at:])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text, packed as ``dtype``."""
         if not text:
             return b""
         if any(s in text for s in self.specials):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        pieces = _before_word(text) if _odd_space(text) else text.split(" ")
-        first = self.piece(pieces[0]) if pieces[0] else b""
-        return first + b"".join(map(self.__getitem__, pieces[1:]))
+            return self._by_library(text)
+        out, at = [], 0
+        while len(text) - at > PART_CHARS and (cut := _before_word(text, at + PART_CHARS)):
+            out += self._part(text[at:cut.start()])
+            at = cut.start()
+        return b"".join([*out, *self._part(text[at:])])
 
 
 @lru_cache(maxsize=1)

@@ -13,6 +13,10 @@ fill sequences whose sizes are powers of two. So no sequence is padded.
 Null and empty texts are one token, the end mark. Repeated rows are packed as
 often as they occur. Rows without an id are packed too. An empty table gives no
 pieces. Each token lies in exactly one piece.
+
+Ids are neither written nor shuffled: the pass that makes them returns the
+checksums of the whole windows and of the rest. Only rests that were cut are
+encoded once more, each different text once; a text is known by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,10 +36,8 @@ from threadloom.session import written
 
 WINDOW = 2048
 END_ID = 1
-ROUNDS = 300
-
-PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-          "sequence_id long, offset long")
+#: The solver ends when CHECK_ROUNDS rounds lessen the squared error by less than this share of it.
+SETTLED, CHECK_ROUNDS = 1e-3, 50
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -51,11 +53,12 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def solve_counts(combos: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def solve_counts(combos: np.ndarray, counts: np.ndarray, settled: float = SETTLED) -> np.ndarray:
     """Real repeat counts >= 0 that bring the used lengths near ``counts``.
 
     Multiplicative updates for least squares: no count turns negative and the
-    squared error never grows. ``counts`` is indexed by length; index 0 is free.
+    squared error never grows, so the rounds end when it no longer falls by
+    ``settled``. ``counts`` is indexed by length; index 0 is free.
     """
     size = len(counts)
     goal = counts.astype(float)
@@ -65,9 +68,14 @@ def solve_counts(combos: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -
     used = lambda x: np.bincount(combos.ravel(), (held * x[:, None]).ravel(), minlength=size)
     x = np.full(len(combos), max(goal.sum(), 1.0) / (2.5 * max(len(combos), 1)))
     top = gather(goal)
-    for _ in range(rounds):
-        x = x * (top / np.maximum(gather(used(x)), 1e-12))
-    return x
+    error = np.inf
+    while True:
+        for _ in range(CHECK_ROUNDS):
+            x = x * (top / np.maximum(gather(used(x)), 1e-12))
+        now = float(((used(x)[1:] - goal[1:]) ** 2).sum())
+        if now >= error * (1 - settled) or now <= 1e-9 * float((goal ** 2).sum()):
+            return x
+        error = now
 
 
 def rounded(combos: np.ndarray, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -120,19 +128,64 @@ def tail_bounds(total: int, window: int) -> list[int]:
     return out
 
 
-def _tokens(df: DataFrame, doc_id: str, text: str, vocabulary: str, ranks: str, end_id: int) -> DataFrame:
-    """(no, doc_id, n, ids): the packed ids of every row with the end mark."""
+def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text, h1, h2): the hashes name a text."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"),
+                     F.xxhash64(body).alias("h1"), F.xxhash64(body, F.lit(1)).alias("h2"))
+
+
+def _sums(ids: bytes, dtype: np.dtype, lengths: list[int]) -> list[int]:
+    """Checksums of consecutive pieces of some ids, as 32-bit numbers."""
+    wide = np.frombuffer(ids, dtype).astype("<u4").tobytes()
+    ends = np.cumsum([0, *lengths]) * 4
+    return [zlib.crc32(wide[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _summed(texts: DataFrame, window: int, vocabulary: str, ranks: str, end_id: int) -> DataFrame:
+    """(no, doc_id, h1, h2, n, crcs): checksums of all whole windows of a row, then of its rest."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary, ranks)
+        end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
+        for batch in sliced(batches, 256):
+            sizes, crcs = [], []
+            for body in batch.column("text").to_pylist():
+                ids = enc.encode(body) + end
+                n = len(ids) // width
+                sizes.append(n)
+                crcs.append(_sums(ids, enc.dtype, [window] * (n // window) + [n % window] * (n % window > 0)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("h1"), batch.column("h2"),
+                 pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n", "crcs"])
+
+    made = texts.mapInArrow(encode, "doc_id long, h1 long, h2 long, n long, crcs array<long>")
+    return made.withColumn("no", F.monotonically_increasing_id())
+
+
+def _cut_sums(texts: DataFrame, cuts: DataFrame, window: int, vocabulary: str, ranks: str, end_id: int) -> DataFrame:
+    """(h1, h2, lengths, cut_crcs) for the rests that are cut into pieces of these lengths.
+
+    Equal texts with equal cuts are one row. A text has fewer than ``window`` places to cut its rest at.
+    """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, ranks)
-        end = np.array([end_id], enc.dtype).tobytes()
-        for batch in sliced(batches):
-            ids = [enc.encode(t) + end for t in batch.column("text").to_pylist()]
-            n = [len(x) // enc.dtype.itemsize for x in ids]
+        end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
+        for batch in sliced(batches, 64):
+            rows: list[tuple] = []
+            for h1, h2, body, ways in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "text", "ways"))):
+                ids = enc.encode(body) + end
+                rest = ids[len(ids) // width // window * window * width:]
+                rows += [(h1, h2, way, _sums(rest, enc.dtype, way)) for way in ways]
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), lists, lists))],
+                ["h1", "h2", "lengths", "cut_crcs"])
 
-    rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n long, ids binary").withColumn("no", F.monotonically_increasing_id())
+    text_key = ["h1", "h2"]
+    ways = cuts.groupBy(*text_key, "lengths").agg(F.lit(1)).groupBy(*text_key).agg(F.collect_list("lengths").alias("ways"))
+    once = texts.select("text", *text_key).join(ways.select(*text_key), text_key, "left_semi").groupBy(*text_key).agg(
+        F.first("text").alias("text"))
+    return once.join(ways, text_key).mapInArrow(encode, "h1 long, h2 long, lengths array<long>, cut_crcs array<long>")
 
 
 def pack(
@@ -143,7 +196,8 @@ def pack(
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
     ranks = ranks or public_tokenizers.path(RANKS)
     spark = df.sparkSession
-    tokens = written(_tokens(df, doc_id, text, vocabulary, ranks, end_id), "tokens")
+    texts = _texts(df, doc_id, text)
+    tokens = written(_summed(texts, window, vocabulary, ranks, end_id), "tokens")
     sizes = tokens.select("no", F.floor(F.col("n") / window).cast("long").alias("whole"),
                           (F.col("n") % window).cast("int").alias("rest"))
 
@@ -170,11 +224,10 @@ def pack(
     fits = F.coalesce(F.col("k") < F.col("used"), F.lit(False))
     ranked = written(ranked.select("no", "rest", "k", F.when(fits, slot).alias("slot")), "ranked")
     filled = ranked.filter("slot is not null").select(
-        "no", (F.col("slot.sequence") + F.col("k") - F.col("slot.start") + first_filled).alias("sequence"), "slot.offset")
+        "no", "rest", (F.col("slot.sequence") + F.col("k") - F.col("slot.start") + first_filled).alias("sequence"), "slot.offset")
     residual = running_total(ranked.filter("slot is null").select("no", "rest"), [], ["no"],
                              F.col("rest").cast("long"), "upto")
-    residual = residual.select("no", (F.col("upto") - F.col("rest")).alias("position"))
-    placed = filled.withColumn("position", F.lit(None).cast("long")).unionByName(residual, allowMissingColumns=True)
+    residual = residual.select("no", "rest", (F.col("upto") - F.col("rest")).alias("position"))
 
     used = sum(length * (end - start) for length, start, end, _, _ in slots)
     total = int((counts * np.arange(window + 1)).sum()) - used
@@ -197,27 +250,34 @@ def pack(
             position += take
         return out
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder(vocabulary, ranks).dtype
-        for batch in sliced(batches):
-            out: list[list] = [[] for _ in range(7)]
-            for row in batch.to_pylist():
-                ids, n = np.frombuffer(row["ids"], dtype).astype("<u4").tobytes(), row["n"]
-                parts = [(window, row["window_sequence"] + k, 0) for k in range(n // window)]
-                rest = n % window
-                if rest and row["position"] is None:
-                    parts.append((rest, row["sequence"], row["offset"]))
-                elif rest:
-                    parts += cut(row["position"], rest)
-                start = 0
-                for length, sequence, offset in parts:
-                    crc = zlib.crc32(ids[4 * start:4 * (start + length)])
-                    for column, value in zip(out, (row["doc_id"], start, length, crc, n, sequence, offset)):
-                        column.append(value)
-                    start += length
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in out],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [cut(p, n) for p, n in zip(batch.column("position").to_pylist(), batch.column("rest").to_pylist())]
+            lists = [pa.array([[p[i] for p in f] for f in found], pa.list_(pa.int64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("no"), *lists], ["no", "lengths", "sequences", "offsets"])
+
+    residual = written(residual.select("no", "rest", "position").mapInArrow(
+        parts, "no long, lengths array<long>, sequences array<long>, offsets array<long>").join(
+        tokens.select("no", "h1", "h2"), "no"), "residual")
+    cuts = residual.filter(F.size("lengths") > 1)
+    cut_key = ["h1", "h2", "lengths"]
+    sums = _cut_sums(texts, cuts, window, vocabulary, ranks, end_id)
+    placed = filled.select(
+        "no", *(F.array(F.col(c).cast("long")).alias(n) for c, n in (("rest", "lengths"), ("sequence", "sequences"), ("offset", "offsets"))),
+    ).unionByName(residual.filter(F.size("lengths") == 1).drop("h1", "h2")).withColumn(
+        "cut_crcs", F.lit(None).cast("array<long>")).unionByName(cuts.join(sums, cut_key).drop("h1", "h2"))
 
-    whole = tokens.join(placed, "no", "left").join(long_ones, "no", "left")
-    return whole.select("doc_id", "n", "ids", "window_sequence", "sequence", "offset", "position").mapInArrow(pieces, PIECES)
+    whole = F.expr(f"n div {window}")
+    windows = tokens.filter(whole > 0).join(long_ones, "no").select(
+        "doc_id", "n", "window_sequence", F.posexplode(F.slice("crcs", F.lit(1), whole.cast("int")))).select(
+        "doc_id", (F.col("pos").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"),
+        F.col("col").alias("ids_crc32"), F.col("n").alias("doc_tokens"),
+        (F.col("window_sequence") + F.col("pos")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rows = tokens.select("no", "doc_id", "n", F.array(F.element_at("crcs", -1)).alias("one")).join(placed, "no")
+    before = F.aggregate(F.slice("lengths", F.lit(1), F.col("pos")), F.lit(0).cast("long"), lambda a, x: a + x)
+    rests = rows.select("*", F.posexplode(F.arrays_zip(
+        "lengths", "sequences", "offsets", F.coalesce("cut_crcs", "one").alias("crc")))).select(
+        "doc_id", (whole * window + before).alias("start"), F.col("col.lengths").alias("length"),
+        F.col("col.crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"),
+        F.col("col.sequences").alias("sequence_id"), F.col("col.offsets").alias("offset"))
+    return windows.unionByName(rests)
