@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from threadloom.llm.tables import sliced
 from threadloom.llm.terms import WORDS_AND_NUMBERS as TERMS
 from threadloom.plans.ordered import running_total
+from threadloom.plans.skew import salted_join
 from threadloom.session import written
 
 #: (item, term) pairs of a block of items; a block ends with the item that reaches it.
@@ -207,7 +208,8 @@ def _block(docs: DataFrame, pairs: list, limit: int, doc_id: str, text: str, tot
     top = written(
         found.withColumn("place", F.row_number().over(Window.partitionBy("item_no").orderBy(*order)))
         .filter(F.col("place") <= limit).drop("place", "first"), "best-classes")
-    members = marked.join(top.select(*same).distinct(), same).select("doc_id", *same)
+    # by hash alone, salted, so that a large class is cut down before it comes together; the last join verifies
+    members = salted_join(marked, top.select("hash").distinct(), ["hash"], ["doc_id"]).select("doc_id", *same)
     in_class = Window.partitionBy(*same).orderBy(F.asc_nulls_last("doc_id"))
     members = members.withColumn("place", F.row_number().over(in_class)).filter(F.col("place") <= limit)
     by_score = Window.partitionBy("item_no").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
