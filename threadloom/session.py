@@ -46,21 +46,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a written table, in the session's own folder below the shared one."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and freezes the rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def session_dir(spark: SparkSession) -> str:
+    """The folder of everything this session writes in between; see :func:`clear_scratch`."""
+    return f"{shared_dir(spark).rstrip('/')}/threadloom-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that several later steps read, and read it back.
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this session has written in between. Results read from it must have been saved before."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
-    Unlike a checkpoint it is columnar, so each reader scans only its columns.
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Freeze the rows in a written table: survives lost executors, computed once.
+
+    A checkpoint would compute the rows twice and keep the estimated size of
+    the plan behind it. In a loop of joins these estimates multiply from round
+    to round until the numbers themselves are too long to handle; a table has
+    its own size, by which small ones are also joined without a shuffle.
     """
+    return written(df, "cut")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back column by column."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
