@@ -95,52 +95,38 @@ def test_split_fit_reaches_the_same_inertia(spark):
 
 
 def brute_clusters(points):
-    """The clustering rule written plainly over all pairs."""
+    """The clustering rule written plainly, from the widest group down, over all pairs of rows."""
     n = len(points)
     dist = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
     core = np.array([np.sort(np.delete(dist[i], i))[clusters.MIN_SIZE - 1] for i in range(n)])
-    reach = np.maximum(dist, np.maximum(core[:, None], core[None]))
-    levels = []
-    for t in clusters.LADDER:
-        label = np.where(core <= t, np.arange(n), -1)
+    meet = np.maximum(dist, np.maximum(core[:, None], core[None]))
+    for k in range(n):  # the least distance at which two rows are in one group
+        meet = np.minimum(meet, np.maximum(meet[:, k, None], meet[None, k]))
+    per = lambda d: 1 / d if d > 0 else np.inf
+
+    def run(rows, birth):
+        """(best total, topics) of the run that begins below ``birth`` with these rows, and of the runs inside."""
+        own = 0.0
         while True:
-            best = label.copy()
-            for i in range(n):
-                if label[i] >= 0:
-                    near = (reach[i] <= t) & (label >= 0)
-                    near[i] = True
-                    best[i] = label[near].min()
-            if (best == label).all():
-                break
-            label = best
-        levels.append(label)
-
-    def groups(step):
-        return {h: frozenset(np.flatnonzero(levels[step] == h)) for h in set(levels[step]) - {-1}
-                if (levels[step] == h).sum() >= clusters.MIN_SIZE}
-
-    def best(step, members):
-        """(own mass of the run, total of its parts, chosen groups below)."""
-        mass = len(members) * (1 / clusters.LADDER[step] - (1 / clusters.LADDER[step - 1] if step else 0))
-        below = [m for m in groups(step + 1).values() if m <= members] if step + 1 < len(clusters.LADDER) else []
-        if not below:
-            return mass, 0.0, []
-        if len(below) == 1:
-            own, parts, chosen = best(step + 1, below[0])
-            return mass + own, parts, chosen
-        total, chosen = 0.0, []
-        for m in below:
-            own, parts, inner = best(step + 1, m)
-            total += max(own, parts)
-            chosen += [m] if own >= parts else inner
-        return mass, total, chosen
-
-    top = list(groups(0).values())
-    chosen = []
-    for m in top:
-        own, parts, inner = best(0, m)
-        chosen += [m] if len(top) > 1 and own >= parts else inner
-    return {frozenset(map(int, c)) for c in chosen}
+            inner = meet[np.ix_(rows, rows)]
+            t = inner[~np.eye(len(rows), dtype=bool)].max() if len(rows) > 1 else 0.0
+            label = np.array([np.flatnonzero((inner[i] < t) | (np.arange(len(rows)) == i))[0] for i in range(len(rows))])
+            parts = [rows[label == x] for x in set(label.tolist())]
+            large = [p for p in parts if len(p) >= clusters.MIN_SIZE]
+            left = len(rows) - (len(large[0]) if len(large) == 1 else 0)
+            own += left * (per(t) - per(birth)) if left else 0.0
+            if len(large) == 1:
+                own_rows, rows = rows, large[0]
+                first = own_rows if "first" not in locals() else first
+                continue
+            whole = rows if "first" not in locals() else first
+            below = [run(p, t) for p in large]
+            total = sum(b for b, _ in below)
+            if birth < np.inf and own >= total:
+                return own, [frozenset(map(int, whole))]
+            return max(own, total), [c for _, chosen in below for c in chosen]
+
+    return set(run(np.arange(n), np.inf)[1])
 
 
 def cluster_sets(df):
@@ -151,8 +137,8 @@ def cluster_sets(df):
     return found
 
 
-@pytest.mark.parametrize("block_rows", [2048, 23])
-def test_clusters_equal_brute_force(spark, block_rows):
+@pytest.mark.parametrize("block_rows, range_edges", [(2048, 200_000), (23, 200_000), (2048, 17), (40, 30)])
+def test_clusters_equal_brute_force(spark, block_rows, range_edges):
     rng = np.random.default_rng(7)
     centres = rng.normal(0, 0.6, (4, 5))
     points = np.round(np.vstack(
@@ -160,7 +146,7 @@ def test_clusters_equal_brute_force(spark, block_rows):
         + [rng.uniform(-1, 1, (20, 5)), np.repeat(centres[:1] + .4, 9, axis=0)]), 6)
     data = [("a", i, p.tolist()) for i, p in enumerate(points)] + [("b", 1000 + i, p.tolist()) for i, p in enumerate(points[:4])]
     df = spark.createDataFrame(data, "thread_id STRING, comment_key LONG, coords ARRAY<DOUBLE>").repartition(5)
-    out = clusters.density_clusters(df, block_rows)
+    out = clusters.density_clusters(df, block_rows, range_edges)
     assert out.count() == len(data)
     found = cluster_sets(out)
     assert {frozenset(v) for v in found.values()} == brute_clusters(points)
@@ -182,6 +168,26 @@ def test_planted_blobs_become_topics(spark):
         assert max(members.count(c) for c in set(members) - {-1}) >= 27
 
 
+@pytest.mark.parametrize("inside, gap", [(.70, .95), (.72, .95), (.004, .010)])
+def test_pairs_of_groups_at_any_distance_are_two_topics(spark, inside, gap):
+    # six corners whose next neighbours lie ``inside`` apart, and the same again at ``gap`` from them
+    ring = np.array([[np.cos(a), np.sin(a)] for a in np.arange(6) * np.pi / 3]) * inside
+    points = np.vstack([ring, ring + [ring[:, 0].max() * 2 + gap, 0]])
+    data = [("t", i, p.tolist()) for i, p in enumerate(points)]
+    df = spark.createDataFrame(data, "thread_id STRING, comment_key LONG, coords ARRAY<DOUBLE>")
+    assert sorted(map(sorted, cluster_sets(clusters.density_clusters(df)).values())) == [list(range(6)), list(range(6, 12))]
+
+
+def test_equal_distances_come_together_at_once(spark):
+    grid = [(float(x), float(y)) for x in range(6) for y in range(6)]
+    points = np.array(grid + [(x + 20, y) for x, y in grid] + [(100., 100.)])
+    data = [("t", i, p.tolist()) for i, p in enumerate(points)]
+    df = spark.createDataFrame(data, "thread_id STRING, comment_key LONG, coords ARRAY<DOUBLE>")
+    for block_rows, range_edges in ((2048, 200_000), (20, 10)):
+        found = cluster_sets(clusters.density_clusters(df, block_rows, range_edges))
+        assert {frozenset(v) for v in found.values()} == brute_clusters(points)
+
+
 def test_a_thread_without_structure_is_noise(spark):
     data = [("t", i, [0.5] * 5) for i in range(40)] + [("u", 100 + i, [float(i), 0., 0., 0., 0.]) for i in range(4)]
     df = spark.createDataFrame(data, "thread_id STRING, comment_key LONG, coords ARRAY<DOUBLE>")
