@@ -17,6 +17,8 @@ pieces. Each token lies in exactly one piece.
 Ids are neither written nor shuffled: the pass that makes them returns the
 checksums of the whole windows and of the rest. Only rests that were cut are
 encoded once more, each different text once; a text is known by two 64-bit hashes.
+Texts are shuffled for that only where the cut ones are too many for a broadcast
+join of Spark's own choice.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from threadloom.session import written
 WINDOW = 2048
 END_ID = 1
 #: The solver ends when CHECK_ROUNDS rounds lessen the squared error by less than this share of it.
-SETTLED, CHECK_ROUNDS = 1e-3, 50
+SETTLED, CHECK_ROUNDS = 0.02, 25
 
 
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
@@ -183,7 +185,9 @@ def _cut_sums(texts: DataFrame, cuts: DataFrame, window: int, vocabulary: str, r
 
     text_key = ["h1", "h2"]
     ways = cuts.groupBy(*text_key, "lengths").agg(F.lit(1)).groupBy(*text_key).agg(F.collect_list("lengths").alias("ways"))
-    once = texts.select("text", *text_key).join(ways.select(*text_key), text_key, "left_semi").groupBy(*text_key).agg(
+    # written, so that Spark knows its size: texts are shuffled only when these keys are too many to send to all tasks
+    keys = written(ways.select(*text_key), "cut-texts")
+    once = texts.select("text", *text_key).join(keys, text_key, "left_semi").groupBy(*text_key).agg(
         F.first("text").alias("text"))
     return once.join(ways, text_key).mapInArrow(encode, "h1 long, h2 long, lengths array<long>, cut_crcs array<long>")
 
