@@ -195,12 +195,12 @@ def test_a_thread_without_structure_is_noise(spark):
     assert clusters.density_clusters(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("fit_rows", [4096, 12])
-def test_projection_equals_numpy(spark, fit_rows):
+@pytest.mark.parametrize("block_rows", [4096, 12])
+def test_projection_equals_numpy(spark, block_rows):
     rng = np.random.default_rng(3)
     points = rng.normal(0, [4, 3, 2, 1, .5, .1], (40, 6)).astype("float32")
     df = vectors(spark, {("t", 0): points})
-    got = np.array([r["coords"] for r in vec.project(df, k=3, fit_rows=fit_rows).orderBy("comment_key").collect()])
+    got = np.array([r["coords"] for r in vec.project(df, k=3, block_rows=block_rows).orderBy("comment_key").collect()])
     unit = points.astype(float) / np.linalg.norm(points.astype(float), axis=1, keepdims=True)
     centred = unit - unit.mean(axis=0)
     want = centred @ np.linalg.svd(centred, full_matrices=False)[2][:3].T
