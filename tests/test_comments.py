@@ -1,5 +1,6 @@
 """Golden rows for cleaning, filters, the reply tree and expansion merge."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -93,6 +94,42 @@ def test_reply_depth_of_chain_star_orphan_and_cycle(spark):
     assert got == want
 
 
+def test_depths_of_random_forests_with_cycles(spark):
+    rng = random.Random(6)
+    keys = rng.sample(range(-500, 5000), 400)
+    parents = {k: rng.choice([*keys, None, None, 9999]) for k in keys}
+
+    def plain(k):
+        seen, depth = set(), 0
+        while parents[k] is not None:
+            if k in seen:
+                return None, "cycle"
+            seen.add(k)
+            k, depth = parents[k], depth + 1
+            if k not in parents:
+                return None, "no_parent"
+        return depth, None
+
+    got = {r["comment_key"]: (r["depth"], r["reason"]) for r in ops.reply_depth(tree(spark, list(parents.items()))).collect()}
+    assert got == {k: plain(k) for k in keys}
+
+
+def test_rounds_of_depths_become_smaller(spark, monkeypatch):
+    rows, keep = [], ops.cut_lineage
+
+    def counted(df):
+        out = keep(df)
+        rows.append(out.count() if "hops" in out.columns else None)
+        return out
+
+    monkeypatch.setattr(ops, "cut_lineage", counted)
+    pairs = [(i, i - 1 if i % 64 else None) for i in range(640)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000)]
+    got = {r["comment_key"]: r["depth"] for r in ops.reply_depth(tree(spark, pairs)).collect()}
+    assert all(got[i] == i % 64 for i in range(640)) and all(got[i] is None for i in range(1000, 1004))
+    rounds = [n for n in rows if n is not None][1:]
+    assert len(rounds) <= 10 and rounds[0] <= 634 and rounds[-1] < rounds[0] / 1.9 and sorted(rounds, reverse=True) == rounds
+
+
 def test_reply_counts_are_direct_only(spark):
     got = {r["comment_key"]: r["replies_count"]
            for r in ops.reply_counts(tree(spark, [(1, None), (2, 1), (3, 2), (4, 1)])).collect()}

@@ -45,7 +45,7 @@ def frame(spark, *payloads):
 
 
 def test_walk_depth_counts_and_defaults(spark):
-    rows = {r["id"]: r for r in threads.comment_records(threads.tree_nodes(threads.accepted(frame(spark, TREE)))).collect()}
+    rows = {r["id"]: r for r in threads.comment_records(threads.nodes_of(threads.parse(frame(spark, TREE)))).collect()}
     order = sorted(rows, key=lambda i: rows[i]["pos"])
     assert order == list("abcdefg")
     assert [rows[i]["depth"] for i in order] == [0, 1, 2, 0, 0, 1, 0]
@@ -58,7 +58,7 @@ def test_walk_depth_counts_and_defaults(spark):
 
 
 def test_continuation_ids_in_walk_order(spark):
-    ids = threads.continuation_ids(threads.tree_nodes(threads.accepted(frame(spark, TREE))))
+    ids = threads.continuation_ids(threads.nodes_of(threads.parse(frame(spark, TREE))))
     assert [r["child_id"] for r in ids.orderBy("pos").collect()] == ["m1", "m2", "m3", "m4", "m5"]
     assert ops.continuation_batches(ids).first()["child_ids"] == ["m1", "m2", "m3", "m4", "m5"]
 
@@ -69,7 +69,7 @@ def test_deep_tree(spark, levels):
     for i in range(levels):
         inner += '{"kind":"t1","data":{"id":"x%d","body":"b","replies":{"data":{"children":[' % i
         tail += "]}}}}"
-    rows = threads.comment_records(threads.tree_nodes(threads.accepted(frame(spark, head + inner + tail + "]}}]"))))
+    rows = threads.comment_records(threads.nodes_of(threads.parse(frame(spark, head + inner + tail + "]}}]"))))
     assert rows.agg(F.max("depth"), F.count("id")).first() == (levels - 1, levels)
     broken = frame(spark, head + inner + tail + "]}}")
     assert [r["reason"] for r in threads.quarantine(broken).collect()] == ["not_json"]
@@ -93,11 +93,29 @@ def test_the_deep_reader_reads_what_json_reads():
             threads._load_deep(bad)
 
 
+def test_half_surrogates_and_long_numbers(spark):
+    odd = thread(comment("a", body="x\ud800y", author="\udfff"), comment("b", body="pair \ud83d\ude00", score=1 << 70), title="\ud800t")
+    df = frame(spark, odd)
+    assert "\\ud800" in odd
+    rows = {r["id"]: r for r in threads.comment_records(threads.nodes_of(threads.parse(df))).collect()}
+    assert (rows["a"]["body"], rows["a"]["author"]) == ("x\ufffdy", "\ufffd")
+    assert (rows["b"]["body"], rows["b"]["score"]) == ("pair \U0001f600", None)
+    assert threads.post_headers(df).first()["title"] == "\ufffdt"
+    more_rows = spark.createDataFrame([("p", "s", json.dumps([comment("z", body="\udc00")]))], "thread_id STRING, subreddit STRING, payload STRING")
+    assert threads.expansion_comments(more_rows).first()["body"] == "\ufffd"
+
+
+def test_documents_are_read_by_one_python_node(spark):
+    records = threads.comment_records(threads.nodes_of(threads.parse(frame(spark, TREE))))
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Exchange" not in plan
+
+
 def test_wrong_types_leave_the_node(spark):
     odd = thread(comment("a", listing(more(["m"], None), {"kind": "more", "data": {"count": None, "children": [1, None, "n"]}}),
                          score=3.5, body=7, created_utc="soon", author=["x"]),
                  comment(None, "", score="4", parent_id=None), {"kind": "t1", "data": "x"}, {"kind": "more", "data": {"children": "y"}})
-    nodes = threads.tree_nodes(threads.accepted(frame(spark, odd)))
+    nodes = threads.nodes_of(threads.parse(frame(spark, odd)))
     rows = sorted(threads.comment_records(nodes).collect(), key=lambda r: r["pos"])
     assert [(r["id"], r["score"], r["body"], r["created_utc"], r["author"], r["replies_count"]) for r in rows] == [
         ("a", 3, "7", None, None, 0), (None, None, "body None", 60.0, "a", 0)]

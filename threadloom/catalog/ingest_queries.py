@@ -90,7 +90,7 @@ def landed(spark, sf_dir) -> DataFrame:
 
 
 def nodes(spark, sf_dir) -> DataFrame:
-    return threads.tree_nodes(threads.accepted(landed(spark, sf_dir), MIN_COMMENTS))
+    return threads.nodes_of(threads.parse(landed(spark, sf_dir), MIN_COMMENTS))
 
 
 CONV = f"""

@@ -34,42 +34,58 @@ def reply_depth(comments: DataFrame, key: str = "comment_key", parent: str = "pa
     """(``key``, ``depth``, ``reason``) from parent pointers, 0 for roots.
 
     Pointer doubling: each round a row's ancestor jumps to its ancestor's
-    ancestor, so a chain of length n needs log2(n) joins, not n. Rows that have
-    reached their root leave the loop. A row that hangs below no root has a
-    null depth and a reason: ``no_parent`` if an ancestor is not in the table,
-    ``cycle`` if its ancestors come round. Keys are unique.
+    ancestor, so a chain of length n needs log2(n) joins, not n. A row is
+    settled once its ancestor is. Only rows that are not settled take part in a
+    round, and of the settled ones those that such a row points to, so rounds
+    become smaller. A row also carries the smallest key on the way it has come:
+    the smallest row of a cycle meets itself there, and the others of the cycle
+    meet that one, so a cycle ends after as many rounds as it is long. A row
+    that hangs below no root has a null depth and a reason: ``no_parent`` if an
+    ancestor is not in the table, ``cycle`` if its ancestors come round. Keys
+    are unique.
     """
-    # hops: steps from the row up to `up`; up is null once the root is reached
+    up = F.col(parent)
+    itself = F.col(key) == up
+    settled = F.when(up.isNull(), 0).when(itself, -1)
     state = cut_lineage(comments.select(
-        F.col(key).alias("key"), F.col(parent).alias("up"),
-        F.when(F.col(parent).isNull(), 0).otherwise(1).alias("hops")))
-    done = state.filter("up IS NULL")
-    waiting = state.filter("up IS NOT NULL")
-    lost = state.limit(0).select("key")
-    table = state
-    # A pointer cycle never ends; every real chain does within these rounds.
-    rounds = state.count().bit_length() + 1
-    while rounds and not waiting.isEmpty():
-        rounds -= 1
-        above = table.select(F.col("key").alias("up"), F.col("up").alias("next_up"),
-                             F.col("hops").alias("next_hops"))
+        F.col(key).alias("key"), up.alias("up"), up.alias("least"), F.lit(1).alias("hops"),
+        settled.alias("depth"), F.when(itself, "cycle").alias("reason")))
+    columns = state.columns
+    waiting = state.filter("depth is null")
+    done = [state.filter("depth is not null").select("key", "depth", "reason")]
+    known = done[0]
+    while not waiting.isEmpty():
+        targets = waiting.select(F.col("up").alias("key")).distinct()
+        known = cut_lineage(known.join(targets, "key", "left_semi"))
+        above = known.select(F.col("key").alias("up"), F.lit(None).cast(state.schema["up"].dataType).alias("next"),
+                             F.lit(None).cast(state.schema["up"].dataType).alias("low"), F.lit(0).alias("more"),
+                             F.col("depth").alias("its_depth"), F.col("reason").alias("its_reason")).unionByName(
+            waiting.join(targets, "key", "left_semi").select(
+                F.col("key").alias("up"), F.col("up").alias("next"), F.col("least").alias("low"), F.col("hops").alias("more"),
+                F.lit(None).cast("int").alias("its_depth"), F.lit(None).cast("string").alias("its_reason")))
         # Nothing regroups the result, so Spark may split a hot parent at run
         # time (adaptive skew join).
-        moved = cut_lineage(
-            waiting.join(above, "up", "left")
-            .select("key", F.col("next_up").alias("up"),
-                    (F.col("hops") + F.col("next_hops")).alias("hops")))
-        lost = lost.unionByName(moved.filter("hops IS NULL").select("key"))
-        finished = moved.filter("up IS NULL AND hops IS NOT NULL")
-        waiting = moved.filter("up IS NOT NULL")
-        done = done.unionByName(finished)
-        table = done.unionByName(waiting)
-
-    def rootless(rows: DataFrame, reason: str) -> DataFrame:
-        return rows.select(F.col("key").alias(key), F.lit(None).cast("int").alias("depth"), F.lit(reason).alias("reason"))
-
-    found = done.select(F.col("key").alias(key), F.col("hops").alias("depth"), F.lit(None).cast("string").alias("reason"))
-    return found.unionByName(rootless(lost, "no_parent")).unionByName(rootless(waiting, "cycle"))
+        met = waiting.join(above, "up", "left").withColumn("low", F.least("least", "low"))
+        on_cycle = F.col("its_depth").isNull() & (F.col("low") == F.col("key"))
+        reason = F.when(F.col("more").isNull(), "no_parent").when(on_cycle, "cycle").otherwise(F.col("its_reason"))
+        moved = met.select(
+            "key", F.coalesce("next", "up").alias("up"), F.coalesce("low", "least").alias("least"),
+            (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
+            F.when(reason.isNotNull(), -1).otherwise(F.col("hops") + F.col("its_depth")).alias("depth"), reason.alias("reason"))
+        moved = cut_lineage(moved.select(*columns))
+        rings = moved.filter("reason = 'cycle' and least = key").select(F.col("key").alias("least"), F.lit(True).alias("_ring"))
+        if not rings.isEmpty():
+            moved = cut_lineage(moved.join(rings, "least", "left").select(
+                "key", "up", "least", "hops", F.when(F.col("_ring") & F.col("depth").isNull(), -1).otherwise(F.col("depth")).alias("depth"),
+                F.when(F.col("_ring") & F.col("depth").isNull(), "cycle").otherwise(F.col("reason")).alias("reason")))
+        found = moved.filter("depth is not null").select("key", "depth", "reason")
+        done.append(found)
+        known = known.unionByName(found)
+        waiting = moved.filter("depth is null")
+    out = done[0]
+    for found in done[1:]:
+        out = out.unionByName(found)
+    return out.select(F.col("key").alias(key), F.when(F.col("reason").isNull(), F.col("depth")).alias("depth"), "reason")
 
 
 def reply_counts(comments: DataFrame, key: str = "comment_key", parent: str = "parent_key") -> DataFrame:

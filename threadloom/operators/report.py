@@ -85,16 +85,42 @@ def _block_steps(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
         "cuts": cuts[:first]})
 
 
-def _block_entries(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow the open chunk through the blocks of one thread, in order."""
-    out, state, before = [], None, 0
-    for block, steps in pdf.sort_values(["_block", "below"]).groupby("_block"):
-        out.append((pdf["thread_id"].iloc[0], block, state, before))
-        at = 0 if state is None else int(np.searchsorted(steps["below"], state, side="right"))
-        if at < len(steps):
-            state = int(steps["exit"].iloc[at])
-            before += int(steps["cuts"].iloc[at])
-    return pd.DataFrame(out, columns=["thread_id", "_block", "open_since", "chunks_before"])
+def _composed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The step function of a block after an earlier one: what both do to the chunk open before."""
+    parts = [p.sort_values("below") for _, p in pdf.groupby("earlier", sort=False)]
+    first, then = sorted(parts, key=lambda p: not p["earlier"].iloc[0]) if len(parts) == 2 else (None, parts[0])
+    if first is not None:
+        at = np.searchsorted(then["below"].to_numpy(), first["exit"].to_numpy(), side="right")
+        cut = at < len(then)
+        at = np.minimum(at, len(then) - 1)
+        later = then[then["below"] > first["below"].iloc[-1]]
+        then = pd.DataFrame({
+            "below": np.concatenate([first["below"], later["below"]]),
+            "exit": np.concatenate([np.where(cut, then["exit"].to_numpy()[at], first["exit"]), later["exit"]]),
+            "cuts": np.concatenate([first["cuts"] + np.where(cut, then["cuts"].to_numpy()[at], 0), later["cuts"]])})
+    return then[["below", "exit", "cuts"]].assign(thread_id=pdf["thread_id"].iloc[0], no=pdf["no"].iloc[0])[
+        ["thread_id", "no", "below", "exit", "cuts"]]
+
+
+def _entries(steps: DataFrame) -> DataFrame:
+    """(thread_id, no, open_since, chunks_before): the state in which each block is entered.
+
+    A parallel scan: in each round a block's function is composed with that of
+    the block as far before as it already covers, so that twice as many blocks
+    are covered; a task never holds more than two functions. What a thread's
+    first blocks do to the state before its first text is the first step.
+    """
+    schema = "thread_id STRING, no BIGINT, below BIGINT, exit BIGINT, cuts BIGINT"
+    last = steps.agg(F.max("no")).first()[0] or 0
+    far = 1
+    while far <= last:
+        before = steps.withColumns({"no": F.col("no") + far, "earlier": F.lit(True)})
+        there = steps.select("thread_id", "no").distinct()
+        both = steps.withColumn("earlier", F.lit(False)).unionByName(before.join(there, ["thread_id", "no"], "left_semi"))
+        steps = cut_lineage(both.groupBy("thread_id", "no").applyInPandas(_composed, schema))
+        far *= 2
+    return steps.groupBy("thread_id", "no").agg(F.min(F.struct("below", "exit", "cuts")).alias("first")).select(
+        "thread_id", (F.col("no") + 1).alias("no"), F.col("first.exit").alias("open_since"), F.col("first.cuts").alias("chunks_before"))
 
 
 def _mark(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
@@ -114,10 +140,8 @@ def chunk_ids(texts: DataFrame, max_chars: int = 8000, partitions: int | None =
 
     Packing is sequential, yet a thread of any size is spread over tasks: each
     block of consecutive texts is first summarised as a step function of its
-    entry state, the summaries are followed block by block, and then every
-    block marks its own chunks. A thread has at most as many blocks as there
-    are shuffle partitions, so the middle step is bounded by that number.
-    Blank texts belong to no chunk.
+    entry state, the functions of neighbouring blocks are composed in rounds,
+    and then every block marks its own chunks. Blank texts belong to no chunk.
     """
     lengths = texts.filter(F.col("text").rlike(NOT_WHITESPACE)).select(
         "thread_id", "comment_key", F.length("text").cast("long").alias("len"))
@@ -131,8 +155,12 @@ def chunk_ids(texts: DataFrame, max_chars: int = 8000, partitions: int | None =
         .groupBy("thread_id", "_block").applyInPandas(
             lambda pdf: _block_steps(pdf, max_chars),
             "thread_id STRING, _block INT, below BIGINT, exit BIGINT, cuts BIGINT"))
-    entries = steps.groupBy("thread_id").applyInPandas(
-        _block_entries, "thread_id STRING, _block INT, open_since BIGINT, chunks_before BIGINT")
+    # blocks of a thread are numbered without gaps: the range bounds of equal (thread, key) rows are consecutive
+    numbers = blocks.join(F.broadcast(long_threads), "thread_id", "left_semi").select(
+        "thread_id", "_block", (F.row_number().over(Window.partitionBy("thread_id").orderBy("_block")) - 1).cast("long").alias("no"))
+    numbers = cut_lineage(numbers)
+    steps = cut_lineage(steps.join(numbers, ["thread_id", "_block"]).drop("_block"))
+    entries = cut_lineage(_entries(steps).join(numbers, ["thread_id", "no"]).drop("no"))
     return (
         ends.join(F.broadcast(entries), ["thread_id", "_block"], "left")
         .withColumn("chunks_before", F.coalesce("chunks_before", F.lit(0).cast("long")))

@@ -107,10 +107,13 @@ def _load_deep(payload: str):
     return root[0]
 
 
+_lone = re.compile("[\ud800-\udfff]")
+
+
 def _string(value) -> str | None:
-    """A string, or the text of a number."""
+    """A string, or the text of a number. Half a surrogate pair becomes the replacement character."""
     if isinstance(value, str):
-        return value
+        return value if value.isascii() else _lone.sub("\ufffd", value)
     return str(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
 
 
@@ -139,18 +142,15 @@ def _at(value, *path):
     return value
 
 
-HEADER = """
-    payload STRING, source STRING, reason STRING, thread_id STRING, title STRING, text STRING, author STRING,
-    score BIGINT, num_comments BIGINT, subreddit STRING, url STRING
-"""
+PARSED = NODE_SCHEMA.strip() + ", source STRING, reason STRING, title STRING, num_comments BIGINT"
 
 
 def _header(payload: str | None) -> tuple:
-    """Reason to reject, id and the other fields of the post."""
+    """The document; reason to reject, id and the other fields of the post."""
     try:
         doc = _load(payload)
     except ValueError:
-        return ("not_json", None, "", "", "", 0, 0, "")
+        return None, ("not_json", None, "", "", "", 0, 0, "")
     reason = "not_a_list" if not isinstance(doc, list) else "too_short" if _at(doc, 1) is None else None
     post = _at(doc, 0, "data", "children", 0, "data")
     text_of = lambda name: _string(_at(post, name)) or ""
@@ -158,41 +158,8 @@ def _header(payload: str | None) -> tuple:
     thread_id = _string(_at(post, "id"))
     if reason is None and thread_id is None:
         reason = "no_id"
-    return (reason, thread_id, text_of("title"), text_of("selftext"), text_of("author"), number_of("score"),
-            number_of("num_comments"), text_of("subreddit"))
-
-
-def _headers(documents: DataFrame) -> DataFrame:
-    source = F.col("source") if "source" in documents.columns else F.lit(None).cast("string")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [_header(p) for p in batch["payload"]]
-            frame = pd.DataFrame(rows, columns=[
-                "reason", "thread_id", "title", "text", "author", "score", "num_comments", "subreddit"])
-            yield frame.assign(payload=batch["payload"].to_numpy(), source=batch["source"].to_numpy(),
-                               url=batch["source"].to_numpy())
-
-    return documents.select("payload", source.alias("source")).mapInPandas(read, HEADER)
-
-
-def quarantine(documents: DataFrame, min_comments: int = 30) -> DataFrame:
-    """(source, thread_id, reason) of documents that are not analysed."""
-    reason = F.coalesce("reason", F.when(F.col("num_comments") < min_comments, "too_small"))
-    return _headers(documents).withColumn("reason", reason).filter(
-        F.col("reason").isNotNull()).select("source", "thread_id", "reason")
-
-
-def accepted(documents: DataFrame, min_comments: int = 30) -> DataFrame:
-    """Well-formed documents of large enough threads, with their header."""
-    return _headers(documents).filter(
-        F.col("reason").isNull() & (F.col("num_comments") >= min_comments)).drop("reason")
-
-
-def post_headers(documents: DataFrame, min_comments: int = 0) -> DataFrame:
-    """One row per thread, with defaults for absent fields."""
-    columns = [c.split()[0] for c in schemas.POST.strip().split(",")]
-    return accepted(documents, min_comments).select(*columns)
+    return doc, (reason, thread_id, text_of("title"), text_of("selftext"), text_of("author"), number_of("score"),
+                 number_of("num_comments"), text_of("subreddit"))
 
 
 def _children(holder) -> list:
@@ -212,9 +179,9 @@ def _fields(data: dict, depth) -> tuple:
             _string(data.get("body")), _whole(data.get("score", 0)), _real(data.get("created_utc", 0)), _whole(replies))
 
 
-def _walk(payload: str) -> Iterator[tuple]:
+def _walk(doc: list) -> Iterator[tuple]:
     """Comments and continuation nodes in pre-order, with an explicit stack."""
-    stack = [(child, 0) for child in reversed(_children(_load(payload)[1]))]
+    stack = [(child, 0) for child in reversed(_children(doc[1]))]
     pos = 0
     while stack:
         child, depth = stack.pop()
@@ -229,37 +196,75 @@ def _walk(payload: str) -> Iterator[tuple]:
         pos += 1
 
 
-def tree_nodes(documents: DataFrame) -> DataFrame:
-    """Every comment and continuation node of accepted documents.
+def parse(documents: DataFrame, min_comments: int = 30) -> DataFrame:
+    """All rows of the documents, each read and walked once: posts, comments and continuation nodes.
 
-    ``documents``: thread_id, subreddit, payload. The tree nests to any depth
-    and lies inside one row, so it is walked where it is, without a shuffle or
-    a pass per level. A field of the wrong type is null; its node stays.
+    A document gives one row of kind ``post``, with a reason if it is not
+    analysed; an accepted one also its nodes. The tree nests to any depth and
+    lies inside one row, so it is walked where it is, without a shuffle or a
+    pass per level. A field of the wrong type is null; its node stays.
     """
-    names = ["pos", "kind", "depth", "id", "parent_id", "author", "body", "score",
-             "created_utc", "replies_count", "children"]
+    names = [c.split()[0] for c in PARSED.split(",")]
+    node_names = ["thread_id", "subreddit", "pos", "kind", "depth", "id", "parent_id", "author", "body", "score", "created_utc",
+                  "replies_count", "children"]
+    numbers = {"pos": "Int64", "depth": "Int32", "score": "Int64", "num_comments": "Int64", "replies_count": "Int64",
+               "created_utc": "Float64"}
 
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
         for batch in batches:
-            for thread_id, subreddit, payload in zip(
-                    batch["thread_id"], batch["subreddit"], batch["payload"]):
-                for node in _walk(payload):
-                    rows.append((thread_id, subreddit, *node))
-                    if len(rows) == NODES_PER_BATCH:
+            for payload, source in zip(batch["payload"], batch["source"]):
+                doc, (reason, thread_id, title, body, author, score, comments, subreddit) = _header(payload)
+                if reason is None and comments < min_comments:
+                    reason = "too_small"
+                rows.append({"kind": "post", "source": source, "reason": reason, "thread_id": thread_id, "title": title, "body": body,
+                             "author": author, "score": score, "num_comments": comments, "subreddit": subreddit})
+                for node in _walk(doc) if reason is None else ():
+                    rows.append(dict(zip(node_names, (thread_id, subreddit, *node))))
+                    if len(rows) >= NODES_PER_BATCH:
                         yield _frame(rows)
                         rows = []
         if rows:
             yield _frame(rows)
 
-    def _frame(rows):
-        frame = pd.DataFrame(rows, columns=["thread_id", "subreddit", *names])
-        for column in ("score", "replies_count"):
-            frame[column] = frame[column].astype("Int64")
-        frame["created_utc"] = frame["created_utc"].astype("Float64")
-        return frame
+    def _frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=numbers.get(n, object)) for n in names})
+
+    source = F.col("source") if "source" in documents.columns else F.lit(None)
+    return documents.select("payload", source.cast("string").alias("source")).mapInPandas(read, PARSED)
+
+
+def nodes_of(parsed: DataFrame) -> DataFrame:
+    """Comments and continuation nodes of parsed documents."""
+    return parsed.filter("kind <> 'post'").select(*(c.split()[0] for c in NODE_SCHEMA.strip().split(",")))
+
+
+def posts_of(parsed: DataFrame) -> DataFrame:
+    """Headers of all documents, with the reason of those that are not analysed."""
+    return parsed.filter("kind = 'post'").select(
+        "source", "reason", "thread_id", "title", F.col("body").alias("text"), "author", "score", "num_comments", "subreddit",
+        F.col("source").alias("url"))
+
+
+def tree_nodes(documents: DataFrame) -> DataFrame:
+    """Every comment and continuation node of documents, whatever the size of their threads."""
+    return nodes_of(parse(documents, min_comments=-(1 << 62)))
+
 
-    return documents.select("thread_id", "subreddit", "payload").mapInPandas(flatten, NODE_SCHEMA)
+def quarantine(documents: DataFrame, min_comments: int = 30) -> DataFrame:
+    """(source, thread_id, reason) of documents that are not analysed."""
+    return posts_of(parse(documents, min_comments)).filter("reason is not null").select("source", "thread_id", "reason")
+
+
+def accepted(documents: DataFrame, min_comments: int = 30) -> DataFrame:
+    """Headers of well-formed documents of large enough threads."""
+    return posts_of(parse(documents, min_comments)).filter("reason is null").drop("reason")
+
+
+def post_headers(documents: DataFrame, min_comments: int = 0) -> DataFrame:
+    """One row per thread, with defaults for absent fields."""
+    columns = [c.split()[0] for c in schemas.POST.strip().split(",")]
+    return accepted(documents, min_comments).select(*columns)
 
 
 def comment_records(nodes: DataFrame) -> DataFrame:
