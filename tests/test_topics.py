@@ -94,6 +94,23 @@ def test_split_fit_reaches_the_same_inertia(spark):
     assert inertia(11) == pytest.approx(inertia(20_000), rel=1e-6)
 
 
+def test_equal_inertia_is_decided_alike_at_every_size(spark):
+    # a square: both ways to halve it are equally good
+    corners = np.array([[0, 0], [0, 1], [1, 0], [1, 1]], float)
+    df = vectors(spark, {("a", 0): np.repeat(corners, 10, axis=0), ("b", 1): np.repeat(corners * 2, 6, axis=0)})
+    one, many = ({(r["thread_id"], r["comment_key"]): r["camp"] for r in pol.two_camps(df, n).collect()} for n in (20_000, 7))
+    assert one == many
+
+
+def test_vectors_stay_where_they_are(spark):
+    df = vectors(spark, {("a", 0): np.random.default_rng(1).normal(0, 1, (60, 3))})
+    packed = pol.packed_blocks(df.withColumn("_block", F.col("comment_key").cast("int") % 4))
+    states = packed.select("thread_id", "cluster").distinct().withColumn("restart", F.lit(0))
+    met = pol.meet(packed, states, lambda topic, keys, points, states: None, "thread_id STRING")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def brute_clusters(points):
     """The clustering rule written plainly, from the widest group down, over all pairs of rows."""
     n = len(points)

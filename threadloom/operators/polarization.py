@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, functions as F
 from threadloom.functions import vectors
 from threadloom.plans.skew import salted_join
 from threadloom.plans.tiles import BLOCK_ROWS, to_tiles, with_blocks
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, written
 
 TOPIC = ["thread_id", "cluster"]
 MIN_ROWS = 10
 RESTARTS = 10
 TOLERANCE = 1e-4
-# Topics up to this size are fitted in one task; larger ones across tasks.
+# Rows of a block. A topic of one block is fitted in one task; the others do the
+# same steps with sums over their blocks.
 FIT_ROWS = 20_000
 
 
@@ -78,56 +79,76 @@ def _fit_small(pdf: pd.DataFrame) -> pd.DataFrame:
                 break
         dist = _squared(points, centres)
         inertia = dist.min(axis=1).sum()
-        if inertia < best * (1 - 1e-12):
+        if inertia < best or camps is None:  # of equal ones the first restart
             best, camps = inertia, dist.argmin(axis=1)
     return pdf[[*TOPIC, "comment_key"]].assign(camp=camps.astype("int32"))
 
 
+def packed_blocks(blocked: DataFrame) -> DataFrame:
+    """(topic, _block, keys, points): a row for each block, its keys and vectors as bytes, written once."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("comment_key")
+        return pdf[[*TOPIC, "_block"]].head(1).assign(
+            keys=[pdf["comment_key"].to_numpy("int64").tobytes()], points=[_matrix(pdf["embedding"]).tobytes()])
+
+    return written(blocked.groupBy(*TOPIC, "_block").applyInPandas(
+        pack, "thread_id STRING, cluster INT, _block INT, keys BINARY, points BINARY"), "packed-vectors")
+
+
+def meet(packed: DataFrame, centres: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn(topic, keys, points, states)`` for each block, with the states of its topic's restarts.
+
+    The states are written, so that Spark knows their size and sends them to
+    the blocks; only when they are too many for that do blocks move.
+    """
+    own = [c for c in centres.columns if c not in TOPIC]
+    states = written(centres.groupBy(*TOPIC).agg(F.array_sort(F.collect_list(F.struct(*own))).alias("states")), "states")
+
+    def each(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                keys = np.frombuffer(row.keys, "int64")
+                points = np.frombuffer(row.points, float).reshape(len(keys), -1)
+                yield fn((row.thread_id, row.cluster), keys, points, row.states)
+
+    return packed.join(states, TOPIC).mapInPandas(each, schema)
+
+
 def _fit_large(blocked: DataFrame) -> DataFrame:
     """The same fit with a topic's rows spread over many tasks.
 
-    A block of rows meets all restarts' centres and returns only sums, so a
-    round shuffles a few vectors per block. One round serves every topic.
+    Vectors lie in packed blocks that stay where they are; in a round a block
+    meets all restarts' centres and returns only sums. One round serves every
+    topic, and restarts whose centres have settled leave it.
     """
-    rows = cut_lineage(blocked)
-    by_block = [*TOPIC, "_block"]
-    blocks = rows.select(*by_block).distinct()
+    packed = packed_blocks(blocked)
     draws = "thread_id STRING, cluster INT, restart INT, wait DOUBLE, centre ARRAY<DOUBLE>"
+    names = [*TOPIC, "restart", "wait", "centre"]
 
-    def draw_first(pdf):
-        points, keys = _matrix(pdf["embedding"]), pdf["comment_key"].to_numpy()
-        out = []
-        for restart in range(RESTARTS):
-            wait = _race(keys, restart, 0)
-            i = int(np.argmin(wait))
-            out.append((*pdf.loc[0, TOPIC], restart, float(wait[i]), points[i].tolist()))
-        return pd.DataFrame(out, columns=[*TOPIC, "restart", "wait", "centre"])
+    def draw_first(topic, keys, points, states):
+        waits = [(state["restart"], _race(keys, state["restart"], 0)) for state in states]
+        return pd.DataFrame([(*topic, r, float(w.min()), points[int(np.argmin(w))].tolist()) for r, w in waits], columns=names)
 
-    def draw_second(pdf, start):
-        points, keys = _matrix(pdf["embedding"]), pdf["comment_key"].to_numpy()
+    def draw_second(topic, keys, points, states):
         out = []
-        for restart, centre in zip(start["restart"], start["first"]):
-            weight = _squared(points, np.asarray(centre)[None])[:, 0]
+        for state in states:
+            weight = _squared(points, np.asarray(state["first"])[None])[:, 0]
             with np.errstate(divide="ignore", invalid="ignore"):
-                wait = np.where(weight > 0, _race(keys, restart, 1) / weight, np.inf)
+                wait = np.where(weight > 0, _race(keys, state["restart"], 1) / weight, np.inf)
             i = int(np.argmin(wait))
-            out.append((*pdf.loc[0, TOPIC], int(restart), float(wait[i]), points[i].tolist()))
-        return pd.DataFrame(out, columns=[*TOPIC, "restart", "wait", "centre"])
+            out.append((*topic, state["restart"], float(wait[i]), points[i].tolist()))
+        return pd.DataFrame(out, columns=names)
 
     def earliest(drawn, name):
         return drawn.groupBy(*TOPIC, "restart").agg(F.min_by("centre", "wait").alias(name))
 
-    def meet(centres, fn, schema):
-        sent = centres.join(blocks, TOPIC).withColumnsRenamed({c: f"to_{c}" for c in by_block})
-        return rows.groupBy(*by_block).cogroup(
-            sent.groupBy(*[f"to_{c}" for c in by_block])).applyInPandas(fn, schema)
-
-    first = cut_lineage(earliest(rows.groupBy(*by_block).applyInPandas(draw_first, draws), "first"))
-    second = earliest(meet(first, draw_second, draws), "second")
+    restarts = packed.select(*TOPIC).distinct().withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(RESTARTS - 1))))
+    first = cut_lineage(earliest(meet(packed, restarts, draw_first, draws), "first"))
+    second = earliest(meet(packed, first, draw_second, draws), "second")
     centres = cut_lineage(first.join(second, [*TOPIC, "restart"]))
 
     spread = (  # mean variance per dimension, for the stopping rule
-        rows.groupBy(*TOPIC).agg(
+        blocked.groupBy(*TOPIC).agg(
             vectors.mean_vector("embedding").alias("_mean"),
             F.avg(vectors.dot(F.col("embedding"), F.col("embedding"))).alias("_sq"),
             F.max(F.size("embedding")).alias("_d"))
@@ -138,22 +159,20 @@ def _fit_large(blocked: DataFrame) -> DataFrame:
     sums = ("thread_id STRING, cluster INT, restart INT, first ARRAY<DOUBLE>, second ARRAY<DOUBLE>, stop DOUBLE, "
             "n0 BIGINT, n1 BIGINT, total0 ARRAY<DOUBLE>, total1 ARRAY<DOUBLE>, inertia DOUBLE")
 
-    def assign(pdf, state):
-        points = _matrix(pdf["embedding"])
+    def assign(topic, keys, points, states):
         out = []
-        for row in state.itertuples():
-            dist = _squared(points, np.stack([row.first, row.second]))
+        for state in states:
+            dist = _squared(points, np.array([state["first"], state["second"]], float))
             near = dist.argmin(axis=1) == 0
-            out.append((*pdf.loc[0, TOPIC], row.restart, row.first, row.second, row.stop,
+            out.append((*topic, state["restart"], state["first"], state["second"], state["stop"],
                         int(near.sum()), int((~near).sum()), points[near].sum(axis=0).tolist(),
                         points[~near].sum(axis=0).tolist(), float(dist.min(axis=1).sum())))
         return pd.DataFrame(out, columns=[
             *TOPIC, "restart", "first", "second", "stop", "n0", "n1", "total0", "total1", "inertia"])
 
-    def label(pdf, state):
-        row = state.iloc[0]
-        labels = _squared(_matrix(pdf["embedding"]), np.stack([row["first"], row["second"]])).argmin(axis=1)
-        return pdf[[*TOPIC, "comment_key"]].assign(camp=labels.astype("int32"))
+    def label(topic, keys, points, states):
+        labels = _squared(points, np.array([states[0]["first"], states[0]["second"]], float)).argmin(axis=1)
+        return pd.DataFrame({"thread_id": topic[0], "cluster": topic[1], "comment_key": keys, "camp": labels.astype("int32")})
 
     def moved(old, total, n):
         mean = F.transform(total, lambda v: v / F.col(n))
@@ -162,7 +181,7 @@ def _fit_large(blocked: DataFrame) -> DataFrame:
     restart = [*TOPIC, "restart"]
     moving, still = centres, None
     while True:
-        totals = meet(moving, assign, sums).groupBy(*restart).agg(
+        totals = meet(packed, moving, assign, sums).groupBy(*restart).agg(
             *[F.first(c).alias(c) for c in ("first", "second", "stop")],  # equal in all blocks
             F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
             vectors.sum_vector("total0").alias("total0"), vectors.sum_vector("total1").alias("total1"))
@@ -179,10 +198,10 @@ def _fit_large(blocked: DataFrame) -> DataFrame:
         if moving.isEmpty():
             break
     ends = cut_lineage(still.unionByName(moving))
-    inertia = meet(ends, assign, sums).groupBy(*restart).agg(F.sum("inertia").alias("inertia"))
+    inertia = meet(packed, ends, assign, sums).groupBy(*restart).agg(F.sum("inertia").alias("inertia"))
     best = inertia.groupBy(*TOPIC).agg(
         F.min_by("restart", F.struct("inertia", "restart")).alias("restart"))
-    return meet(ends.join(best, [*TOPIC, "restart"]), label,
+    return meet(packed, ends.join(best, [*TOPIC, "restart"]), label,
                 "thread_id STRING, cluster INT, comment_key BIGINT, camp INT")
 
 
