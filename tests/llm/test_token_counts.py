@@ -55,13 +55,42 @@ def test_random_texts(library, monkeypatch):
     assert tokens.count_all(texts).tolist() == [count(library, t) for t in texts]
 
 
+def test_every_code_point(library):
+    tokens = C.Counter(public_tokenizers.path(C.VOCABULARY))
+    points = [*range(0x20000), *range(0x20000, 0x110000, 97)]
+    texts = [f"a{chr(c)}b {chr(c)}9 !{chr(c)}" for c in points if not 0xD800 <= c < 0xE000]
+    got = tokens.count_all(texts)
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, g, w in zip(texts, got.tolist(), want) if g != w] == []
+
+
+def test_words_run_without_merges(library, monkeypatch):
+    rng = random.Random(9)
+    tokens = C.Counter(public_tokenizers.path(C.VOCABULARY))
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(1, 30))) for _ in range(20_000)]
+    want = [len(e.ids) for e in library.encode_batch(words, add_special_tokens=False)]
+    assert tokens.count_all(words).tolist() == want
+    monkeypatch.setattr(C.Merges, "alone", None)  # all that the words need is compiled
+    assert tokens.count_all(words).tolist() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(C, "TABLE_STATES", 500)  # a full table is dropped between slices
+    monkeypatch.setattr(C, "SLICE_CHARS", 2000)
+    assert tokens.count_all(words).tolist() == want and len(tokens.merges.places) < 10_000
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, n_tokens long, n_bytes long")
+    assert tuple(C.report(df).first()) == (1, 3, 2, False)
+
+
 def test_scan_equals_the_pattern():
     rng = random.Random(2)
+    tokens = C.Counter(public_tokenizers.path(C.VOCABULARY))
     pattern = regex.compile(C.PATTERN)
     for _ in range(300):
         text = "".join(rng.choice("'strevlmd x9!é ") for _ in range(rng.randrange(0, 400)))
         points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-        assert np.flatnonzero(C.word_starts(C.classes_of(points))).tolist() == [m.start() for m in pattern.finditer(text)]
+        assert np.flatnonzero(C.word_starts(tokens.classes_of(points))).tolist() == [m.start() for m in pattern.finditer(text)]
 
 
 def test_short_and_long_agenda_agree(monkeypatch):
