@@ -54,6 +54,7 @@ def check(spark, rows):
 @pytest.fixture
 def small_leaves(monkeypatch):
     monkeypatch.setattr(V, "LEAF", 8)
+    monkeypatch.setattr(V, "SMALL", 4)
 
 
 def test_query_equals_brute_force(spark):
@@ -74,6 +75,21 @@ def test_deep_trees(spark, small_leaves):
     check(spark, rows)
 
 
+def test_a_large_label_of_groups_is_pruned(spark):
+    """At the sizes of production: 50 groups of 100 in 64 dimensions, and as many vectors without groups."""
+    rng = np.random.default_rng(5)
+    grouped = [(1000 * g + i, (c + rng.normal(size=64) * 0.02).tolist(), 1)
+               for g, c in enumerate(rng.normal(size=(50, 64))) for i in range(100)]
+    check(spark, grouped)
+    loose = [(10**6 + i, rng.normal(size=64).tolist(), 1) for i in range(1500)]
+    share = {}
+    for name, rows in (("grouped", grouped), ("loose", loose)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+        levels, pairs = V.traversed(df)
+        share[name] = V.compared_share(levels, pairs)
+    assert share["grouped"] < 0.05 and 0.9 < share["loose"] <= 1
+
+
 def test_copies_and_tight_groups(spark, small_leaves):
     rng = np.random.default_rng(2)
     base = rng.normal(size=5)

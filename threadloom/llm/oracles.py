@@ -63,7 +63,21 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {LETTERS} AS payl
 FROM page JOIN first USING (body)
 """
 
+VECTORS = """
+WITH RECURSIVE usable AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND NOT list_contains([x IS NULL OR NOT isfinite(x) FOR x IN embedding], true)
+    AND list_max([abs(x) FOR x IN embedding]) > 0),
+linked AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM usable a JOIN usable b
+  ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+part(id, least) USING KEY (id) AS (SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT n.id, min(o.least) FROM recurring.part n JOIN linked ON u = n.id JOIN recurring.part o ON o.id = w
+  WHERE o.least < n.least GROUP BY n.id)
+SELECT e.vec_id, count(w) AS n_links, p.least AS component_id, e.vec_id = p.least AS kept
+FROM embeddings e JOIN part p ON p.id = e.vec_id LEFT JOIN linked ON u = e.vec_id GROUP BY ALL
+"""
+
 ORACLE = {
+    "op1_cover_tree_links": VECTORS,
     "op13_boundary_chains": ARCHIVES,
     "op11_bag_classes": RANKED,
     "op12_count_bitmaps": AUDIT,

@@ -1,10 +1,14 @@
 """Links between embeddings by a dual traversal of cover trees.
 
 Equal vectors of a label are one class. The classes of a label are the root of a
-tree: a node with more than ``LEAF`` classes is split around centres that lie
-farther apart than half its radius, so the radii halve from level to level; each
-class goes to its nearest centre, and the radius that a child really covers is
-kept. All labels grow level by level in the same Spark jobs.
+tree with nested levels on a ladder of halving radii (2, 1, 1/2, ...). A node is
+split at the largest radius of the ladder below its own at which centres farther
+apart than this radius, its own centre first, cover drawn classes of it with few
+centres; each class goes to its nearest centre, what none covers is a child of
+its own, and the radius that a child really covers is kept. A node that no radius
+parts in this way (in many dimensions, vectors without groups), or whose classes
+all link with each other, is a leaf; it is dealt into blocks of ``LEAF`` classes.
+All labels grow level by level in the same Spark jobs.
 
 Pairs of nodes then descend together, from every root paired with itself. A pair
 whose centres are farther apart than both radii and the threshold holds no link
@@ -12,7 +16,9 @@ and is dropped; one that lies wholly within the threshold links all with all and
 is only counted; the others are replaced by the pairs of their children. Pairs of
 leaves that are left are compared exactly, in double precision. A node pair is
 one row, a leaf one packed block, and a pair of leaves gives counts and a
-spanning forest, so pairs of vectors never become rows.
+spanning forest, so pairs of vectors never become rows. Where no node can be
+parted all pairs of a label's blocks are compared: the work is then that of all
+pairs, as for any exact method on such vectors.
 
 Vectors that are null, empty, zero, or hold null or non-finite numbers, and rows
 without a label, link with nothing. Vectors of different length do not link.
@@ -29,17 +35,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.llm.tables import packed
 from threadloom.plans.components import connected_components
 from threadloom.plans.skew import salted_join
 from threadloom.session import cut_lineage, written
 
-#: Classes of a leaf, drawn candidates for centres of a node, and a radius too small to split by distance.
-LEAF, CANDIDATES, TIGHT = 512, 96, 0.05
-#: Centres of a node, if so many are far enough from each other.
-LEAST_CHILDREN = 8
+#: Classes of a leaf's block; a node of so few is not split; classes of a node that are drawn to find centres.
+LEAF, SMALL, CANDIDATES = 512, 32, 1024
+#: Most centres of a node, and drawn classes that a centre must stand for on average.
+CHILDREN, COVERED = 256, 4
 #: Bounds are loosened by this, as distances of rounded vectors are not exact.
 SLACK = 1e-7
 
@@ -88,39 +94,53 @@ def _read(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
     return rows.mapInArrow(read, schema).withColumn("no", F.monotonically_increasing_id())
 
 
-def _centres(named: DataFrame) -> DataFrame:
+def net(unit: np.ndarray, radius: float, most: int) -> list[int] | None:
+    """Places of centres farther than ``radius`` apart that cover all rows, in row order; None if more than ``most``."""
+    chosen, gap = [0], np.linalg.norm(unit - unit[0], axis=1)
+    while (k := int((gap > radius).argmax())) or gap[0] > radius:
+        if len(chosen) == most:
+            return None
+        chosen.append(k)
+        gap = np.minimum(gap, np.linalg.norm(unit - unit[k], axis=1))
+    return chosen
+
+
+def centres_of(unit: np.ndarray, radius: float, least: float) -> tuple[list[int], float]:
+    """Centres and their radius of the ladder; radius 0 where no radius down to ``least`` parts the node."""
+    step = 2.0 ** np.ceil(np.log2(max(radius, 1e-300)) - 1)
+    while step >= least:
+        chosen = net(unit, step, max(2, min(CHILDREN, len(unit) // COVERED)))
+        if chosen is None:
+            break
+        if len(chosen) > 1:
+            return chosen, step
+        step /= 2
+    return [0], 0.0
+
+
+def _centres(named: DataFrame, near: float) -> DataFrame:
     """(node, centres, n, spread, half): packed centres of the nodes to split.
 
-    ``named``: the classes of these nodes with the node's size, radius and far.
-    Candidates are the class that names the node, the one farthest from its
-    centre, and some drawn by hash. A candidate becomes a centre if it is farther
-    than half the radius from those before it. ``spread`` > 0: too tight, so its
-    classes are dealt by hash. Classes farther than ``half`` from all centres
-    form a child of their own.
+    ``named``: the classes of these nodes with the node's size and radius.
+    The first is the class that names the node, then some drawn by hash.
+    ``spread`` > 0: no radius parts the node, so its classes are dealt into that
+    many blocks. Classes farther than ``half`` from all centres form a child of
+    their own.
     """
     drawn = Window.partitionBy("node").orderBy(F.xxhash64("no"), "no")
-    named = named.withColumn("first", (F.col("no") == F.col("node")) | (F.col("no") == F.col("far")))
+    named = named.withColumn("first", F.col("no") == F.col("node"))
     some = named.filter("not first").withColumn("k", F.row_number().over(drawn)).filter(F.col("k") <= CANDIDATES).drop("k")
     some = some.unionByName(named.filter("first"))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        # The drawn order keeps the centres where the classes are; the farthest points would be outliers.
         group = group.assign(draw=[xxhash.xxh3_64_intdigest(int(n).to_bytes(8, "big")) for n in group["no"]])
         group = group.sort_values(["first", "draw"], ascending=[False, True])
         unit = _scaled(np.stack([np.frombuffer(v, "<f8") for v in group["vec"]]))
-        size, radius = int(group["size"].iloc[0]), float(group["radius"].iloc[0])
-        wanted = max(LEAST_CHILDREN, -(-2 * size // LEAF))
-        chosen, gap = [0], np.linalg.norm(unit - unit[0], axis=1)
-        for k in range(1, len(unit)):
-            if gap[k] > radius / 2 and len(chosen) < wanted:
-                chosen.append(k)
-                gap = np.minimum(gap, np.linalg.norm(unit - unit[k], axis=1))
-        spread = wanted if radius <= TIGHT else 0
-        # A net that covers nearly all: what it leaves out becomes a child of its own, and the others' radii halve.
-        # Otherwise, in many dimensions, all go to their nearest centre.
-        half = radius / 2 if (gap > radius / 2).mean() <= 0.2 else np.inf
+        size = int(group["size"].iloc[0])
+        chosen, step = centres_of(unit, float(group["radius"].iloc[0]), near / 4)
         return pd.DataFrame({"node": [group["node"].iloc[0]], "centres": [unit[chosen].astype("<f8").tobytes()],
-                             "n": [len(chosen)], "spread": [spread], "half": [half]})
+                             "n": [len(chosen)], "spread": [0 if step else -(-3 * size // (2 * LEAF))],
+                             "half": [step or np.inf]})
 
     return some.select("node", "no", "first", "vec", "size", "radius").groupBy("node").applyInPandas(
         choose, "node long, centres binary, n int, spread int, half double")
@@ -153,32 +173,39 @@ def _dealt(points: DataFrame, centres: DataFrame) -> DataFrame:
         deal, "no long, node long, vec binary, copies long, k int, away double")
 
 
-def _grown(classes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The levels, each (parent, node, centre, radius, copies), and (no, path) of every class.
+def _grown(classes: DataFrame, near: float) -> tuple[list[DataFrame], DataFrame]:
+    """The levels, each (parent, node, centre, radius, size, copies, open), and (no, level, node) of every class.
 
     A node is named by its smallest class. The centre of a node is one of its
     centres' unit vectors; a leaf stays in all later levels as its own child.
+    An open node is still to be split: its classes need not all link, and they
+    are not what was left when no radius parted a larger one, unless these are
+    too many for a block.
     """
+    def open_when(parted: Column) -> Column:
+        return ((F.col("size") > SMALL) & parted & (F.col("radius") > near / 2)) | (F.col("size") > LEAF)
+
     roots = classes.groupBy("label", "dim").agg(F.min("no").alias("node"), F.count(F.lit(1)).alias("size"), F.sum("copies").alias("copies"))
     points = salted_join(classes, roots.select("label", "dim", "node"), ["label", "dim"], ["no"]).select("no", "node", "vec", "copies")
     points = written(points, "points")
     first = points.filter("no = node").select("node", F.col("vec").alias("centre"))
     level = roots.join(first, "node").select(
-        F.col("node").alias("parent"), "node", "centre", F.lit(2.0).alias("radius"), "size", "copies", F.lit(-1).cast("long").alias("far"))
+        F.col("node").alias("parent"), "node", "centre", F.lit(2.0).alias("radius"), "size", "copies").withColumn(
+        "open", open_when(F.lit(True)))
     levels = [written(level, "level")]
     paths = [points.select("no", F.lit(0).alias("level"), "node")]
     while True:
         level = levels[-1]
-        big = level.filter(F.col("size") > LEAF).select("node", "radius", "size", "far")
+        big = level.filter("open").select("node", "radius", "size")
         if big.isEmpty():
             break
         # The salts keep a label with a large share of the rows spread over many tasks.
         inside = salted_join(points, big, ["node"], ["no"])
-        centres = written(_centres(inside), "centres")
+        centres = written(_centres(inside, near), "centres")
         dealt = written(_dealt(inside.select("no", "node", "vec", "copies"), centres), "dealt")
         children = dealt.groupBy("node", "k").agg(
             F.min("no").alias("child"), F.max("away").alias("radius"), F.count(F.lit(1)).alias("size"),
-            F.sum("copies").alias("copies"), F.max_by("no", F.struct("away", "no")).alias("far"))
+            F.sum("copies").alias("copies"))
         children = written(children, "children")
         points = written(salted_join(dealt, children.select("node", "k", "child"), ["node", "k"], ["no"]).select(
             "no", F.col("child").alias("node"), "vec", "copies"), "points")
@@ -187,8 +214,8 @@ def _grown(classes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         width = F.length("centres") / F.col("n")
         centre = F.substring("centres", (at * width + 1).cast("int"), width.cast("int"))
         grown = spread.select(F.col("node").alias("parent"), F.col("child").alias("node"), centre.alias("centre"), "radius",
-                              "size", "copies", "far")
-        same = level.filter(F.col("size") <= LEAF).withColumn("parent", F.col("node"))
+                              "size", "copies", open_when(F.col("spread") == 0).alias("open"))
+        same = level.filter("not open").withColumn("parent", F.col("node"))
         levels.append(written(grown.unionByName(same), "level"))
         stays = paths[-1].join(big.select("node"), "node", "left_anti")
         paths.append(written(points.select("no", "node").unionByName(stays.select("no", "node")).select(
@@ -304,15 +331,42 @@ def _full_links(full: DataFrame, levels: list[DataFrame], path: DataFrame, class
     return inner.unionByName(between)
 
 
+def compared_share(levels: list[DataFrame], leaf_pairs: DataFrame) -> float:
+    """How many pairs of vectors of equal label are left to compare after the traversal, as a share of all."""
+    def pairs(of: str) -> Column:
+        return F.col(of) * (F.col(of) - 1) / 2
+
+    every = levels[0].agg(F.sum(pairs("size"))).first()[0] or 0.0
+    sizes = levels[-1].select("node", "size")
+    left = leaf_pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").agg(
+        F.sum(F.when(F.col("a") == F.col("b"), pairs("size_a")).otherwise(F.col("size_a") * F.col("size_b")))).first()[0] or 0.0
+    return left / every if every else 0.0
+
+
+KEY = ["label", "dim", "hi", "lo"]
+
+
+def _classes(df: DataFrame, vec_id: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """All rows, and the classes of equal vectors of a label, named by their smallest row."""
+    rows = written(_read(df, vec_id, vector, label), "vectors")
+    owners = rows.filter("vec is not null").groupBy(*KEY).agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("copies"))
+    return rows, written(rows.select("no", "vec").join(owners, "no"), "classes")
+
+
+def traversed(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
+              rules: LinkRules = LinkRules()) -> tuple[list[DataFrame], DataFrame]:
+    """The levels of the trees and the leaf pairs that the traversal leaves, to see what it prunes."""
+    levels, _ = _grown(_classes(df, vec_id, vector, label)[1], rules.distance)
+    return levels, _descended(levels, rules)[0]
+
+
 def report(
     df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", rules: LinkRules = LinkRules(),
 ) -> DataFrame:
     """Links, component and whether the row stands for it, for every vector."""
-    rows = written(_read(df, vec_id, vector, label), "vectors")
-    key = ["label", "dim", "hi", "lo"]
-    owners = rows.filter("vec is not null").groupBy(*key).agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("copies"))
-    classes = written(rows.select("no", "vec").join(owners, "no"), "classes")
-    levels, path = _grown(classes)
+    rows, classes = _classes(df, vec_id, vector, label)
+    key = KEY
+    levels, path = _grown(classes, rules.distance)
     path = written(path, "path")
     leaf_pairs, full = _descended(levels, rules)
     found = written(_compared(leaf_pairs, _leaf_members(levels, path, classes), rules).unionByName(
@@ -322,8 +376,8 @@ def report(
     parts = parts.select(F.col("node").alias("no"), F.col("label").alias("part"))
     known = classes.select(*key, "no", "copies").join(counts, "no", "left").join(parts, "no", "left").select(
         *key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("part", "no").alias("part"))
-    placed = rows.select("vec_id", *key).filter("dim is not null").join(known, key)
+    placed = rows.select("vec_id", F.col("no").alias("row"), *key).filter("dim is not null").join(known, key)
     heads = placed.groupBy("part").agg(F.min("vec_id").alias("component_id"))
-    linked = placed.join(heads, "part").select("vec_id", "n_links", "component_id")
+    linked = salted_join(placed, heads, ["part"], ["row"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("dim is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
