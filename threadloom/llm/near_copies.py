@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.llm.tables import packed, sliced, unpacked
 from threadloom.plans.components import connected_components
+from threadloom.plans.skew import salted_join
 from threadloom.session import cut_lineage, written
 
 CHUNK = 4
@@ -197,7 +198,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearCopyRules, every:
     blocks = F.lit(1 + ends.distinct().count() // BLOCK_TEXTS)
     block = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
     tiled = pairs.select(F.least(block("a"), block("b")).alias("lo"), F.greatest(block("a"), block("b")).alias("hi"), "a", "b")
-    needed = tiled.select("lo", "hi", F.explode(F.array("a", "b")).alias("no")).distinct()
+    # written, so that Spark knows its size: texts that no pair needs are shuffled only if it is too large to broadcast
+    needed = written(tiled.select("lo", "hi", F.explode(F.array("a", "b")).alias("no")).distinct(), "needed")
     rows = needed.join(texts, "no").select("lo", "hi", F.col("no").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = rows.unionByName(tiled.withColumn("text", F.lit(None).cast("string")))
     rows = rows.repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.col("b").asc_nulls_first(), "a")
@@ -392,7 +394,7 @@ def grouped(
     heads = placed.groupBy("part").agg(
         F.min("id").alias("component_id"),
         F.min(F.struct(F.col("id").isNull().alias("late"), "id", "no")).alias("head"))
-    placed = placed.join(heads, "part").select("no", "component_id", (F.col("no") == F.col("head.no")).alias("first"))
+    placed = salted_join(placed, heads, ["part"], ["no"]).select("no", "component_id", (F.col("no") == F.col("head.no")).alias("first"))
     out = marks.select("row", "id", "no", "n").join(placed, "no", "left")
     return out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))) \
         .withColumn("first", F.coalesce("first", F.lit(True)))
