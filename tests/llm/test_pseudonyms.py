@@ -1,6 +1,7 @@
 """Pseudonyms: format kept, equal values linked, different ones apart, invalid ones left."""
 
 import datetime as dt
+import random
 import re
 
 import pytest
@@ -92,7 +93,7 @@ def test_odd_inputs(spark):
     rows = P.replace_personal(df, key="k")
     assert rows.columns == df.columns
     assert {(r["row"], r["out"]) for r in rows.collect()} == {("r", 5)} and rows.count() == 2
-    assert P.replace_personal(df.limit(0)).count() == 0
+    assert P.replace_personal(df.limit(0), key="k").count() == 0
 
 
 def test_values_beside_other_numbers(spark):
@@ -119,6 +120,60 @@ def test_secrets_in_any_case_with_prefix_and_to_their_end(spark):
     assert len({re.search(marker, new)[0] for new, _ in out[:-2]}) == 1
 
 
+def with_check(digits):
+    return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+
+def test_pseudonyms_are_valid_by_the_rule_that_admits_them(spark):
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choices("0123456789", k=n))
+    issued = [("4", 16), ("53", 16), ("25", 16), ("35", 16), ("62", 16), ("34", 15), ("37", 15), ("36", 14), ("30", 14), ("6011", 19)]
+    cards = [with_check(head + some(n - 1 - len(head))) for head, n in issued for _ in range(40)]
+    plans = [("1", lambda: rng.choice("23456789") + some(2) + rng.choice("23456789") + some(6)), ("7", lambda: some(10)),
+             ("34", lambda: "6" + some(8)), ("33", lambda: "0" + rng.choice("123456789") + some(8)), ("351", lambda: "9" + some(8)),
+             ("44", lambda: "7" + some(9)), ("91", lambda: "9" + some(9)), ("45", lambda: rng.choice("23456789") + some(7)),
+             ("86", lambda: "1" + some(10))]
+    phones = [f"+{code}{sep}{made()}" for code, made in plans for sep in ("", " ") for _ in range(30)]
+    days = [f"{rng.randrange(1900, 2090)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}" for _ in range(150)]
+    nets = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(150)]
+    numbers = [f"{rng.choice([*range(1, 666), *range(667, 900)]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10_000):04}" for _ in range(150)]
+    groups = {"card": cards, "phone": phones, "iso_date": days, "ipv4": nets, "ssn": numbers}
+    values = [(kind, v) for kind, held in groups.items() for v in held]
+    out = run(spark, [v for _, v in values])
+    new = {}
+    for (kind, v), (text, found) in zip(values, out):
+        assert [k for k, _ in found] == [kind] and text == found[0][1], (kind, v, text)
+        new.setdefault(kind, {})[v] = text
+    again = run(spark, [t for t, _ in out])  # a pseudonym is a value of its form
+    assert [[k for k, _ in found] for _, found in again] == [[k] for k, _ in values]
+    for kind, moved in new.items():
+        assert len(set(moved.values())) == len(set(moved))
+    python = re.compile(P.ISSUED)
+    assert all(luhn(c) and python.match(c) and c[:2] == old[:2] for old, c in new["card"].items())
+    plan = re.compile(P.PLANNED)
+    assert all(plan.match(re.sub(r"\D", "", p)) for p in new["phone"].values())
+    assert all(p.startswith(old[:2]) for old, p in new["phone"].items())
+
+
+def test_prose_about_secrets_stays(spark):
+    stay = ["Password: required for access", "the token: sentence continues", "Secret: nothing, really", "Token: expired.",
+            "my password: (forgotten)", "api key: optional", "pwd: semi-colon"]
+    assert run(spark, stay) == [(t, []) for t in stay]
+    go = ["Password: hunter22", "password: correctHorse", "token: abc/def+ghi", "secret = whatever", "API_KEY=abcdefgh", "pwd: p@ssword"]
+    assert all([k for k, _ in found] == ["secret"] for _, found in run(spark, go))
+
+
+def test_a_key_is_needed(spark):
+    df = spark.createDataFrame([(1, "10.0.0.1")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        P.report(df)
+    spark.conf.set(P.KEY_SETTING, "k")
+    try:
+        assert P.report(df).first()["text"] == run(spark, ["10.0.0.1"])[0][0]
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
+
+
 def test_query_leaves_no_planted_value(spark):
     sf = "/root/testdata/sf0.01"
     source = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal numbers and dates, by a keyed Feistel network.
 
-A validated value is moved within the set of all values of its format by a keyed
-permutation: a card number stays a card number with a right check digit, a date
-stays a real date. Equal values have equal pseudonyms in every document and
+A validated value is moved by a keyed permutation within the values that the rule
+which admitted it admits: a card number stays one of its issuer with a right check
+digit, a phone number one of its country's plan, a date a real date. Equal values have equal pseudonyms in every document and
 different values of a format have different ones. Mail addresses and secrets
 have no numeric range; they become keyed digests in the form of an address or a
 marker. Columns and SQL functions only.
@@ -19,7 +19,8 @@ reading of its digits; no other one starts with the form of a date or SSN. Of a
 fixes is taken, else the longest: there a number that follows in the next group
 cannot be told from the phone. A secret is what follows a key word, in any case
 and with any prefix (``DB_PASSWORD=``), up to a space, quote or angle bracket,
-however long; below six characters it stays. Every row is returned, repeated ones alike.
+however long; below six characters it stays, and so does a plain word after a
+colon. There is no key but the one that is set or passed. Every row is returned, repeated ones alike.
 """
 
 from __future__ import annotations
@@ -31,15 +32,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadloom.llm.tables import once, packed
 
 ROUNDS = 10
-#: The session setting that names the key. Without it a fixed key is used, good for trials only.
+#: The session setting that names the key; without it and without an argument there is an error.
 KEY_SETTING = "threadloom.pii.key"
-DEFAULT_KEY = "set threadloom.pii.key"
 
 DATE_BLOCK = (250, 292)  # days a block: dates stay within their block of 73,000 days from 1900-01-01
 
 MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 CLOUD_KEY = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
-SECRET = r"(?i:[A-Z0-9_.\-]*(?:password|passwd|pwd|secret|token|api[_\-]?key))\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'<>]{6,}+"
+# After a colon, plain words are prose: a secret has a digit, a change of case or a mark inside.
+SECRET = (r"(?i:[A-Z0-9_.\-]*(?:password|passwd|pwd|secret|token|api[_\-]?key))\s{0,3}(?:=\s{0,3}[\"']?"
+          r"|:\s{0,3}[\"']?(?=[^\s\"'<>]*(?:\d|[a-z][A-Z]|[^A-Za-z\s\"'<>.,;:!?()\-])))[^\s\"'<>]{6,}+")
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}(?![0-9])(?!\.\d)"
 ISO_DATE = r"\d{4}-\d{2}-\d{2}(?![0-9\-])"
 DAY_DATE = r"\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)\d{4}(?![0-9])"
@@ -70,6 +72,10 @@ ISSUED = (r"^(?:(?:4\d|5[1-5]|2[2-7]|35|6\d)\d\d([ \-]?)\d{4}\1\d{4}\1\d{4}|3[47
 PLANNED = (r"^(?:1[2-9]\d\d[2-9]\d{6}|7\d{10}|(?:31|33|34|41|48|61|351|420|421)0?[1-9]\d{8}"
            r"|(?:44|91)0?[1-9]\d{9}|(?:45|47|65)\d{8}|861\d{10})$")
 
+#: The country code in the digits of a number that fits its country's plan.
+PLAN_CODE = (r"^(1(?=[2-9]\d\d[2-9]\d{6}$)|7(?=\d{10}$)|(?:31|33|34|41|48|61|351|420|421)(?=0?[1-9]\d{8}$)"
+             r"|(?:44|91)(?=0?[1-9]\d{9}$)|(?:45|47|65)(?=\d{8}$)|86(?=1\d{10}$))")
+
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then(value)`` with the value worked out once."""
@@ -108,6 +114,23 @@ def _permuted_digits(digits: Column, tweak: str, key: str) -> Column:
     return _let(digits, of)
 
 
+def _permuted_national(digits: Column, tweak: str, key: str) -> Column:
+    """Another number of as many digits with as many zeros before them, the next digit from 1 to 9."""
+    def of(d: Column) -> Column:
+        n = F.length(d)
+        h = F.floor(n / 2).cast("int")
+        least = _ten(h - 1)
+        left, right = F.substring(d, F.lit(1), h).cast("long") - least, F.substring(d, h + 1, n).cast("long")
+        return _let(feistel(left, right, least * 9, _ten(n - h), tweak, key), lambda s: F.concat(
+            (s["x"] + least).cast("string"), F.lpad(s["y"].cast("string"), n - h, F.lit("0"))))
+
+    def past(zeros: Column) -> Column:
+        rest = F.substring(digits, F.length(zeros) + 1, F.length(digits))
+        return F.when(F.length(rest) >= 2, F.concat(zeros, _let(rest, of))).otherwise(digits)
+
+    return _let(F.regexp_extract(digits, "^(0*)", 1), past)
+
+
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
@@ -135,9 +158,9 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(v: Column, key: str) -> Column:
-    """First digit kept, check digit made anew."""
+    """The first two digits, which name the issuer, are kept, and the check digit is made anew."""
     def made(d: Column) -> Column:
-        body = F.concat(F.substring(d, 1, 1), _permuted_digits(F.substring(d, F.lit(2), F.length(d) - 2), "card", key))
+        body = F.concat(F.substring(d, 1, 2), _permuted_digits(F.substring(d, F.lit(3), F.length(d) - 3), "card", key))
         return _let(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
 
     return _let(_digits(v), lambda d: F.when((_luhn(d) % 10 == 0) & (d.cast("decimal(20,0)") > 0), _refilled(v, made(d))))
@@ -238,8 +261,13 @@ def _iban(v: Column, key: str) -> Column:
 
 
 def _phone(v: Column, key: str) -> Column:
-    """National digits permuted; North American numbers keep area and exchange from 200 up."""
-    code = F.when(v.startswith("+"), F.regexp_extract(v, r"^\+(\d{1,3}?)(?:[ .\-(]|(?<=\+1))", 1)).otherwise("")
+    """National digits permuted within what the country's plan admits; zeros before them stay.
+
+    North American numbers keep area and exchange from 200 up, Chinese ones their first digit.
+    """
+    planned = F.regexp_extract(_digits(v), PLAN_CODE, 1)
+    parted = F.regexp_extract(v, r"^\+(\d{1,3}?)(?:[ .\-(]|(?<=\+1))", 1)
+    code = F.when(v.startswith("+"), F.when(planned != "", planned).otherwise(parted)).otherwise("")
 
     def made(c: Column) -> Column:
         skip = F.length(c)
@@ -249,7 +277,9 @@ def _phone(v: Column, key: str) -> Column:
             area, rest = F.substring(d, 1, 3).cast("long") - 200, F.substring(d, 4, 7).cast("long") - 2_000_000
             moved = _let(feistel(area, rest, F.lit(800).cast("long"), F.lit(8_000_000).cast("long"), "phone", key),
                          lambda s: F.concat((s["x"] + 200).cast("string"), (s["y"] + 2_000_000).cast("string")))
-            new = F.when(american, moved).otherwise(_permuted_digits(d, "phone", key))
+            chinese = (c == "86") & d.rlike(r"^1\d{10}$")
+            new = F.when(american, moved).when(chinese, F.concat(F.lit("1"), _permuted_digits(F.substring(d, 2, 10), "phone", key)))
+            new = new.otherwise(_permuted_national(d, "phone", key))
             return F.when(F.length(d).between(6, 15), _refilled(v, F.concat(c, new)))
 
         return _let(F.substring(_digits(v), skip + 1, F.length(v)), of)
@@ -344,7 +374,9 @@ def _apart() -> Column:
 
 def pseudonymised(df: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """Each row as ``row``, its new text as ``out.text``, and ``out.found``: kinds and pseudonyms in order."""
-    key = key if key is not None else df.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY)
+    key = key if key is not None else df.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING}, or pass a key: who knows it can undo the pseudonyms")
     rows = packed(df, text=text)
     # A digit, @, =, : or the start of a cloud key is in every form; texts without them are not searched.
     some = F.col("text").rlike("[0-9@=:]|AKIA|ASIA") & F.col("text").rlike(PLACE)
