@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import near_copies, packing, pseudonyms, quality
+from threadloom.llm.queries import TRIAL_KEY
 from threadloom.llm.tables import table
 from threadloom.session import written
 
@@ -26,7 +27,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal numbers and dates under pseudonyms."""
-    return pseudonyms.replace_personal(docs)
+    return pseudonyms.replace_personal(docs, key=spark.conf.get(pseudonyms.KEY_SETTING, TRIAL_KEY))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
