@@ -100,6 +100,39 @@ def test_pages_are_counted_by_their_own_text(spark):
     assert {r["page_id"]: r["text"] for r in M.report(df).collect()} == {i: f"what page {i} says of number {i}" for i in range(300)}
 
 
+def test_a_class_never_drops_the_text_of_a_page():
+    body = "<h1>T</h1><p>The whole text of the page, which is long enough.</p>"
+    want = "T\nThe whole text of the page, which is long enough."
+    assert text(f'<div class="layout has-sidebar">{body}</div>') == want
+    assert text(f'<section class="no-comments">{body}</section>') == want
+    assert text(f'<div class="post social-studies">{body}</div><div>1 May</div>') == f"{want}\n1 May"
+    assert text(f'<div class="sidebar-layout">{body}<div class="ad-box">Buy</div></div><div class="share-bar">Share</div>') == want
+    assert text(f'<div class="sidebar">Links</div>{body}') == want
+    assert text(f'<div class="promo">{body}</div><article>The article</article>') == "The article"
+
+
+def test_near_copies_keep_their_text(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(1000)) for _ in range(n))
+    long, part = words(60), words(30)
+    rows = [(i, "http://d.org/", f"<div><p>edition {i}</p><p>{long}</p><section><p>{part}</p></section></div>") for i in range(5)]
+    rows += [(10 + i, "http://d.org/", f"<div>Menu</div><div><p>{words(40)}</p></div>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in M.report(df).collect()}
+    assert all(got[i] == f"edition {i}\n{long}\n{part}" for i in range(5))
+    assert not any("Menu" in got[10 + i] for i in range(9))
+
+
+def test_deep_markup_is_read_in_a_time_that_grows_with_it():
+    import time
+
+    for piece, end in (("<div>", "</div>"), ("<div>", "</i>"), ("<nav>", "</nav>"), ("<i>", "<hr>"), ("<form><article>", "</b>")):
+        n = 1_000_000 // (len(piece) + len(end))
+        start = time.process_time()
+        M.Page(piece * n + "x" + end * n)
+        assert time.process_time() - start < 15, piece
+
+
 def test_odd_inputs(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://h/", None), (4, None, "<p>x"), (None, "http://h/", "<p>y"),
             (4, None, "<p>x"), (5, "no host", "<" * 2000), (6, "http://h/", "<p>" + "w " * 100_000)]

@@ -3,13 +3,18 @@
 Every container element's subtree is hashed, whatever its tag or class says. The
 hashes are counted per host in Spark, and a subtree that recurs on many pages of
 a host is part of its template and deleted. Pages are told apart by the text the
-rules below leave of them: copies of one article count once, so they do not make
-it a template, nor does a subtree that holds half of that text ever become one.
+rules below leave of them: copies of one article count once. Near copies are
+told by the smallest hashes of their words' triples: a subtree is no
+template if fewer than half of its pages differ in it. So neither makes an article
+a template, nor does a subtree that holds half of that text ever become one.
 Only then marks are used. Elements whose tag, role or class says what they are
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) go, and if
 a page marks its article, text outside of it goes. An article inside such an
 element goes with it, unless it holds more than the rest of a page without any
-other article (a class named after a layout, broken markup).
+other article (a class named after a layout, broken markup). A class names what it
+says as a whole or as a part of a compound, not after "has" or "no"; where no
+article is marked, an element that only its class names and that holds more than
+half of what the page has left is its text, whatever the class says.
 
 What is left is cut into blocks at block elements; character references are
 decoded, white space inside a block becomes one space, blocks are joined by a
@@ -24,8 +29,9 @@ in no site. Repeated rows are all returned; pages of any length are read whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -60,6 +66,8 @@ NAMES = frozenset(
     "breadcrumb breadcrumbs footer masthead topbar toolbar share sharing social related recommended widget pagination "
     "comment comments respond reply replies disqus".split())
 COMMENT_NAMES = frozenset("comment comments respond reply replies disqus".split())
+# Words that begin the name of a state, not of a part.
+STATES = frozenset("has no not with without is show hide hidden js".split())
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -70,12 +78,12 @@ _raw_end = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 
 
 class _Element:
-    __slots__ = ("tag", "first", "marks", "dropped", "named", "header", "main", "heading", "holds_main", "in_main", "chars")
+    __slots__ = ("tag", "first", "marks", "dropped", "named", "header", "main", "heading", "holds_main", "in_main", "chars", "classed")
 
     def __init__(self, tag: str, first: int, in_main: bool):
         self.tag, self.first, self.in_main = tag, first, in_main
         self.marks: list[bytes] = []
-        self.dropped = self.named = self.header = self.main = self.heading = self.holds_main = False
+        self.dropped = self.named = self.header = self.main = self.heading = self.holds_main = self.classed = False
         self.chars = 0
 
 
@@ -84,38 +92,68 @@ class Page:
 
     def __init__(self, html: str):
         self.segments: list[tuple[int, str]] = []
-        self.drop: list[bool] = []
+        self.gone: list[tuple[int, int]] = []  # first and last segment of what marks drop
         self.inside: list[bool] = []  # in the article
-        self.under: list[int] = []  # 1 in an article that a class or form drops, 2 one that a tag or role drops
+        self.under: tuple[list, list] = ([], [])  # what holds an article and a class or form drops, or a tag or role
+        self.classed: list[tuple[int, int]] = []  # what only a class drops, without an article
         self.subtrees: list[tuple[int, int, int, int]] = []  # hash, first and last segment, characters
         self.block = 0
         self.stack = [_Element("#page", 0, False)]
+        self.open: dict[str, int] = {}
         self._read(html)
         while len(self.stack) > 1:
             self._close()
-        left = [not d for d in self._dropped(self.drop)]
-        kept = sum(len(t) for (_, t), k in zip(self.segments, left) if k)
-        self.subtrees = [s for s in self.subtrees if 2 * s[3] < kept or not any(left[s[1]:s[2]])]
-
-    def _dropped(self, drop: list[bool]) -> list[bool]:
-        """``drop`` and what the marks drop of the rest."""
+        kept = self._sums(not d for d in self._dropped([]))
+        half = self._lengths(kept)
+        self.subtrees = [s for s in self.subtrees if 2 * s[3] < half[-1] or kept[s[1]] == kept[s[2]]]
+
+    def _sums(self, flags: Iterable) -> list[int]:
+        return [0, *accumulate(map(int, flags))]
+
+    def _lengths(self, kept: list[int]) -> list[int]:
+        """Characters left before each segment, from the running number of segments left."""
+        return [0, *accumulate(len(t) if b > a else 0 for (_, t), a, b in zip(self.segments, kept, kept[1:]))]
+
+    def _covered(self, spans: Iterable[tuple[int, int]]) -> list[bool]:
+        """Which segments lie in a span."""
+        change = [0] * (len(self.segments) + 1)
+        for first, last in spans:
+            change[first] += 1
+            change[last] -= 1
+        return [n > 0 for n in accumulate(change[:-1])]
+
+    def _dropped(self, templates: list[tuple[int, int]]) -> list[bool]:
+        """What the templates drop, and the marks of the rest."""
+        drop = self._covered([*self.gone, *templates])
+        under = [2 if t else int(c) for c, t in zip(self._covered(self.under[0]), self._covered(self.under[1]))]
+        if self.classed:
+            drop = self._without_classed(drop)
         size = [0, 0, 0]  # left by ``under``
         marked = False
-        for (_, text), gone, inside, under in zip(self.segments, drop, self.inside, self.under):
+        for (_, text), gone, inside, level in zip(self.segments, drop, self.inside, under):
             if not gone:
-                size[under] += len(text.strip())
-                marked |= inside and not under
+                size[level] += len(text.strip())
+                marked |= inside and not level
         most = 0
         if not marked:
             if size[1] > size[0]:
                 most = 1
             elif not size[0] and size[2]:
                 most = 2
-        drop = [d or u > most for d, u in zip(drop, self.under)]
+        drop = [d or u > most for d, u in zip(drop, under)]
         if any(i and not d for i, d in zip(self.inside, drop)):
             drop = [d or not i for d, i in zip(drop, self.inside)]
         return drop
 
+    def _without_classed(self, drop: list[bool]) -> list[bool]:
+        """``drop`` and what a class drops, but for elements that hold more than half of the text that is left."""
+        if any(i and not d for i, d in zip(self.inside, drop)):
+            gone = self._covered(self.classed)
+        else:
+            here = [0, *accumulate(0 if d else len(t.strip()) for (_, t), d in zip(self.segments, drop))]
+            gone = self._covered(s for s in self.classed if 2 * (here[s[1]] - here[s[0]]) <= here[-1])
+        return [d or g for d, g in zip(drop, gone)]
+
     def _read(self, html: str) -> None:
         at, last = 0, html.rfind(">")
         while True:
@@ -149,8 +187,6 @@ class Page:
         top.marks.append(text.strip().encode("utf-8", "surrogatepass"))
         top.chars += len(text)
         self.segments.append((self.block, text))
-        self.drop.append(False)
-        self.under.append(0)
         self.inside.append(top.in_main)
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -172,7 +208,10 @@ class Page:
                 if m.group(1).lower() == "role":
                     role = value.strip()
                 else:
-                    names.update(_words(value))
+                    for word in value.split():
+                        parts = _words(word)
+                        if parts and parts[0] not in STATES:
+                            names.update(parts)
             element.marks.append(" ".join(sorted(names)).encode("utf-8", "surrogatepass"))
         about_comments = bool(names & COMMENT_NAMES)
         if (tag in ("article", "main") or role in ("main", "article")) and not about_comments:
@@ -181,12 +220,16 @@ class Page:
             element.header = tag == "header" or "header" in names
             element.dropped = tag in DROPPED or role in ROLES or bool(names & NAMES) or about_comments
             element.named = tag == "form" or not (tag in DROPPED or role in ROLES)
+            element.classed = element.dropped and not (tag in DROPPED or role in ROLES or about_comments)
         if tag in ("h1", "h2"):
             element.heading = True
         self.stack.append(element)
+        self.open[tag] = self.open.get(tag, 0) + 1
 
     def _end_implied(self, tag: str, ended: tuple[str, ...]) -> None:
         """Close the nearest open element of ``ended``, not beyond a fence of another kind."""
+        if not any(self.open.get(t) for t in ended):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in ended:
                 while len(self.stack) > i:
@@ -198,6 +241,8 @@ class Page:
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self.block += 1
+        if not self.open.get(tag):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
                 while len(self.stack) > i:
@@ -208,15 +253,18 @@ class Page:
 
     def _close(self) -> None:
         e = self.stack.pop()
+        self.open[e.tag] -= 1
         parent = self.stack[-1]
         if e.tag in BLOCKS:
             self.block += 1
         first, last = e.first, len(self.segments)
         dropped = e.dropped or (e.header and not (e.in_main and e.heading))
-        if dropped and (e.in_main or not e.holds_main):
-            self.drop[first:last] = [True] * (last - first)
+        if dropped and e.classed and not e.in_main and not e.holds_main and last > first:
+            self.classed.append((first, last))
+        elif dropped and (e.in_main or not e.holds_main):
+            self.gone.append((first, last))
         elif dropped:
-            self.under[first:last] = [max(u, 1 if e.named else 2) for u in self.under[first:last]]
+            self.under[0 if e.named else 1].append((first, last))
         body = b"\x1f".join([e.tag.encode("utf-8", "surrogatepass"), *e.marks])
         mark = xxhash.xxh3_64_intdigest(body)
         if last > first and not e.main and e.tag in CONTAINERS:
@@ -228,11 +276,7 @@ class Page:
 
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
         """The blocks that are left without the subtrees of ``templates``."""
-        drop = list(self.drop)
-        for mark, first, last, _ in self.subtrees:
-            if mark in templates:
-                drop[first:last] = [True] * (last - first)
-        drop = self._dropped(drop)
+        drop = self._dropped([s[1:3] for s in self.subtrees if s[0] in templates])
         blocks: dict[int, list[str]] = {}
         for (block, text), gone in zip(self.segments, drop):
             if not gone:
@@ -245,23 +289,35 @@ def _parsed(df: DataFrame) -> DataFrame:
     """Host, key of host and page, hash of the text by the rules alone, and the hashes of the subtrees that may be templates."""
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, marks = [], []
+            own, kinds, marks = [], [], []
             for html in batch.column("html").to_pylist():
                 page = Page(html or "")
-                own.append(xxhash.xxh3_64_intdigest(page.text().encode("utf-8", "surrogatepass")) - (1 << 63))
+                left = page.text()
+                own.append(xxhash.xxh3_64_intdigest(left.encode("utf-8", "surrogatepass")) - (1 << 63))
+                kinds.append(sketch(left))
                 marks.append(sorted({s[0] for s in page.subtrees}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host"), batch.column("key"), pa.array(own, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
-                ["host", "key", "own", "marks"])
+                [batch.column("host"), batch.column("key"), pa.array(own, pa.int64()), pa.array(kinds, pa.int64()),
+                 pa.array(marks, pa.list_(pa.int64()))], ["host", "key", "own", "kind", "marks"])
+
+    return df.select("host", "key", "html").mapInArrow(parse, "host string, key binary, own long, kind long, marks array<long>")
+
 
-    return df.select("host", "key", "html").mapInArrow(parse, "host string, key binary, own long, marks array<long>")
+def sketch(text: str) -> int:
+    """The smallest of three hashes of three words in a row: mostly equal for near copies, which share most such triples."""
+    words = text.split()
+    triples = (" ".join(words[i:i + 3]).encode("utf-8", "surrogatepass") for i in range(max(1, len(words) - 2)))
+    made = [xxhash.xxh3_128_intdigest(t) for t in triples]
+    least = [min((h >> shift) & (1 << 42) - 1 for h in made) for shift in (0, 42, 84)]
+    return xxhash.xxh3_64_intdigest(repr(least).encode()) - (1 << 63)
 
 
 def _templates(pages: DataFrame, min_pages: int) -> DataFrame:
-    """(host, mark) of the subtrees that recur on many pages of their host."""
-    seen = pages.select("host", "own", F.explode("marks").alias("mark")).distinct()
-    often = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages"))
-    return often.filter(F.col("pages") >= min_pages).select("host", "mark")
+    """(host, mark) of the subtrees that recur on many pages of their host that differ in their own text."""
+    seen = pages.select("host", "own", "kind", F.explode("marks").alias("mark")).distinct()
+    often = seen.groupBy("host", "mark", "kind").agg(F.count(F.lit(1)).alias("pages"))
+    often = often.groupBy("host", "mark").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("kinds"))
+    return often.filter((F.col("kinds") >= min_pages) & (2 * F.col("kinds") >= F.col("pages"))).select("host", "mark")
 
 
 def _cleared(df: DataFrame) -> DataFrame:
