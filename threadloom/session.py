@@ -73,6 +73,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return written(df, "cut")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint. Unlike a written table it keeps the estimated size of its plan.
+
+    For a result that is read once or twice, outside of loops, and whose joins
+    are to be planned alike at every size.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several later steps read, and read it back column by column."""
     path = scratch_path(df.sparkSession, name)
