@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadloom.llm.tables import packed, sliced, unpacked
 from threadloom.plans.components import connected_components
 from threadloom.plans.skew import salted_join
-from threadloom.session import cut_lineage, written
+from threadloom.session import checkpointed, written
 
 CHUNK = 4
 #: Symbols of the longer signature; how many may differ is 0.2 of all plus 4.75 standard deviations.
@@ -193,13 +193,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearCopyRules, every:
     whose ends are joined by links of the same tile is passed over.
     """
     size = rules.shingle
-    pairs = cut_lineage(pairs)
+    pairs = checkpointed(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("no"))
     blocks = F.lit(1 + ends.distinct().count() // BLOCK_TEXTS)
     block = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
     tiled = pairs.select(F.least(block("a"), block("b")).alias("lo"), F.greatest(block("a"), block("b")).alias("hi"), "a", "b")
-    # written, so that Spark knows its size: texts that no pair needs are shuffled only if it is too large to broadcast
-    needed = written(tiled.select("lo", "hi", F.explode(F.array("a", "b")).alias("no")).distinct(), "needed")
+    needed = tiled.select("lo", "hi", F.explode(F.array("a", "b")).alias("no")).distinct()
     rows = needed.join(texts, "no").select("lo", "hi", F.col("no").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = rows.unionByName(tiled.withColumn("text", F.lit(None).cast("string")))
     rows = rows.repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.col("b").asc_nulls_first(), "a")
@@ -355,7 +354,7 @@ def _components(classes: DataFrame, texts: DataFrame, rules: NearCopyRules) -> D
     ranked = buckets.join(degree, "no", "left")
     middle = _star(ranked, -F.coalesce("degree", F.lit(0))).join(first, ["a", "b"], "left_anti")
     second = written(_confirmed(_within(middle, classes, rules), texts, rules), "links")
-    parts = cut_lineage(_labels(first.unionByName(second)))
+    parts = checkpointed(_labels(first.unionByName(second)))
 
     opened = written(_open_buckets(buckets, parts), "opened")
     last = written(_tiled(opened, classes, texts, rules), "links")
