@@ -199,6 +199,22 @@ def polarization_bands(spark, sf_dir):
     return pol.bands(scored)
 
 
+# Topics of few rows, and of equal ones, beside others.
+GUARDED = t.CAMPS.replace("vecs AS (SELECT thread_id, cluster, comment_key, CAST(embedding AS DOUBLE[]) AS embedding,", """\
+vecs AS (SELECT thread_id, comment_key % 20 AS cluster, comment_key,
+  CASE WHEN comment_key % 20 = 7 THEN [1.0, 2.0]::DOUBLE[] ELSE CAST(embedding AS DOUBLE[])[1:2] END AS embedding,""")
+
+
+@query(f"""WITH {GUARDED}, {POLARIZATION}
+SELECT thread_id, cluster::INTEGER AS cluster, round(raw, 6) AS polarization_raw FROM pol""")
+def guarded_polarization(spark, sf_dir):
+    part = F.col("comment_key") % 20
+    vector = F.when(part == 7, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.slice("embedding", 1, 2).cast("array<double>"))
+    rows = t.camps(t.analysed_table(spark, sf_dir)).withColumn("cluster", part.cast("int")).withColumn("embedding", vector)
+    return pol.polarization_from_camps(rows).select(
+        "thread_id", "cluster", F.round("polarization_raw", 6).alias("polarization_raw"))
+
+
 @query()
 def two_camps(spark, sf_dir):
     return pol.two_camps(t.vecs(t.analysed_table(spark, sf_dir)))
@@ -254,6 +270,13 @@ def topic_summary(spark, sf_dir):
     return given_summary(t.analysed_table(spark, sf_dir))
 
 
+@query(f"WITH {SUMMARY} SELECT * FROM summary".replace("WHERE cluster <> -1)", "WHERE cluster <> -1 AND thread_id <> 't0')"))
+def noise_thread_summary(spark, sf_dir):
+    """A thread of noise alone has no row, the others have theirs."""
+    noise = F.when(F.col("thread_id") == "t0", -1).otherwise(F.col("cluster"))
+    return given_summary(t.analysed_table(spark, sf_dir).withColumn("cluster", noise))
+
+
 @query(f"""WITH {SUMMARY} SELECT a.thread_id, a.comment_key, a.cluster::INTEGER AS cluster, a.score, a.body_clean,
   s.keywords AS topic_keywords, s.upvotes AS topic_upvotes, s.participants AS topic_participants,
   s.polarization AS topic_polarization
