@@ -192,3 +192,32 @@ def test_stream_equals_batch_on_closed_bins(spark, tmp_path):
     closed = eng.activity_timeline(on_time).filter(F.unix_timestamp("bin") + 1800 <= 20000 - 3600)
     got = sorted((r["thread_id"], r["bin"], r["count"], r["avg_score"]) for r in spark.read.parquet(out).collect())
     assert got == sorted((r["thread_id"], r["bin"], r["count"], r["avg_score"]) for r in closed.collect()) and len(got) == 3
+
+
+def test_late_rows_come_out_by_themselves(spark, tmp_path):
+    schema = "id STRING, thread_id STRING, score LONG, created_utc LONG"
+    batches = [
+        [("a", "t", 1, 100), ("b", "t", 3, 1700), ("c", "u", 5, 2000), ("n", "u", None, 2100)],
+        [("d", "t", 7, 9000), ("e", "t", 2, 0)],
+        [("h", "t", 6, 9100)],
+        [("f", "t", 9, 200), ("i", "u", 1, 2200), ("j", "u", 8, 9200)],  # f and i are late
+        [("g", "t", 4, 20000)],
+    ]
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"b{i}"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+              .parquet(str(tmp_path / "in")))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = str(tmp_path / "out")
+        activity.run_available(activity.timeline_with_late_rows(stream), out, str(tmp_path / "state"))
+    finally:
+        spark.conf.unset(name)
+    rows = spark.read.parquet(out).collect()
+    assert {(r["thread_id"], r["id"], r["score"], r["created_utc"]) for r in rows if r["late"]} == {("t", "f", 9, 200.0), ("u", "i", 1, 2200.0)}
+    # bins and late rows together are the batch table of the closed bins
+    on_time = spark.createDataFrame([r for b in batches for r in b if r[0] not in "fi"], schema)
+    closed = eng.activity_timeline(on_time).filter(F.unix_timestamp("bin") + 1800 <= 20000 - 3600)
+    got = sorted((r["thread_id"], r["bin"], r["count"], r["avg_score"]) for r in rows if not r["late"])
+    assert got == sorted((r["thread_id"], r["bin"], r["count"], r["avg_score"]) for r in closed.collect()) and len(got) == 4
