@@ -173,6 +173,17 @@ def test_result_is_typed_and_pruned_by_bucket(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_second_save_leaves_other_threads(spark, tmp_path):
+    frame_of = lambda rows: spark.createDataFrame(rows, "thread_id STRING, n INT")
+    path = str(tmp_path / "r")
+    sink.save_threads(frame_of([("a", 1), ("a", 2), ("b", 3)]), path, 2)
+    sink.save_threads(frame_of([("c", 4), ("a", 5), ("d", 6)]), path, 2)
+    assert sorted(map(tuple, sink.read_result(spark, path).collect())) == [("a", 5), ("b", 3), ("c", 4), ("d", 6)]
+    sink.save_threads(frame_of([]), path, 2)
+    assert sink.read_result(spark, path).count() == 4
+    assert [r["n"] for r in sink.read_thread(spark, path, "b", 2).collect()] == [3]
+
+
 def test_stream_equals_batch_on_closed_bins(spark, tmp_path):
     schema = "id STRING, thread_id STRING, score LONG, created_utc LONG"
     batches = [
