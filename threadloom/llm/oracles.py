@@ -76,8 +76,27 @@ SELECT e.vec_id, count(w) AS n_links, p.least AS component_id, e.vec_id = p.leas
 FROM embeddings e JOIN part p ON p.id = e.vec_id LEFT JOIN linked ON u = e.vec_id GROUP BY ALL
 """
 
+COPIES = rf"""
+WITH RECURSIVE worded AS (SELECT doc_id,
+    regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)] END) AS shingles FROM worded),
+sized AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM sets),
+held AS MATERIALIZED (SELECT doc_id, hash(shingle) AS h, shingle FROM (SELECT doc_id, unnest(shingles) AS shingle FROM sets)),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM held a JOIN held b
+  ON a.h = b.h AND a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS MATERIALIZED (SELECT a, b FROM common JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS MATERIALIZED (SELECT a AS u, b AS w FROM linked UNION ALL SELECT b, a FROM linked),
+part(id, least) USING KEY (id) AS (SELECT doc_id, doc_id FROM documents
+  UNION SELECT n.id, min(o.least) FROM recurring.part n JOIN ways ON u = n.id JOIN recurring.part o ON o.id = w
+  WHERE o.least < n.least GROUP BY n.id)
+SELECT doc_id, n AS n_shingles, least AS component_id, doc_id = least AS kept FROM sized JOIN part ON id = doc_id
+"""
+
 ORACLE = {
     "op1_cover_tree_links": VECTORS,
+    "op4_multi_index_minhash": COPIES,
     "op13_boundary_chains": ARCHIVES,
     "op11_bag_classes": RANKED,
     "op12_count_bitmaps": AUDIT,
