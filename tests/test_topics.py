@@ -187,9 +187,9 @@ def test_planted_blobs_become_topics(spark):
 
 @pytest.mark.parametrize("inside, gap", [(.70, .95), (.72, .95), (.004, .010)])
 def test_pairs_of_groups_at_any_distance_are_two_topics(spark, inside, gap):
-    # six corners whose next neighbours lie ``inside`` apart, and the same again at ``gap`` from them
-    ring = np.array([[np.cos(a), np.sin(a)] for a in np.arange(6) * np.pi / 3]) * inside
-    points = np.vstack([ring, ring + [ring[:, 0].max() * 2 + gap, 0]])
+    # six points of equal distances ``inside``, and the same again ``gap`` away
+    corners = np.hstack([np.eye(6) * inside / np.sqrt(2), np.zeros((6, 1))])
+    points = np.vstack([corners, corners + np.eye(7)[6] * gap])
     data = [("t", i, p.tolist()) for i, p in enumerate(points)]
     df = spark.createDataFrame(data, "thread_id STRING, comment_key LONG, coords ARRAY<DOUBLE>")
     assert sorted(map(sorted, cluster_sets(clusters.density_clusters(df)).values())) == [list(range(6)), list(range(6, 12))]
