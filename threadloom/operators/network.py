@@ -10,6 +10,7 @@ from threadloom.operators.topics import topic_centroids
 from threadloom.plans.ordered import rank_rows
 from threadloom.plans.skew import salted_join
 from threadloom.plans.tiles import BLOCK_ROWS, to_tiles, with_blocks
+from threadloom.session import written
 
 MIN_SIMILARITY = 0.45
 
@@ -51,6 +52,7 @@ def topic_network_edges(analysed: DataFrame, min_sim: float = MIN_SIMILARITY) ->
 
 def topic_network_nodes(summary: DataFrame) -> DataFrame:
     """Nodes on the unit circle in summary order (upvotes descending)."""
+    summary = written(summary, "summary")  # read twice
     ordered = rank_rows(
         summary.withColumn("_down", -F.col("upvotes")), ["thread_id"], ["_down", "cluster"], "rank")
     sizes = summary.groupBy("thread_id").agg(F.count(F.lit(1)).alias("topics"))
