@@ -8,6 +8,7 @@ from threadloom.functions import vectors
 from threadloom.operators import keywords as kw
 from threadloom.operators import polarization as pol
 from threadloom.plans.skew import salted_join
+from threadloom.session import written
 
 NOISE = -1
 TOPIC = ["thread_id", "cluster"]
@@ -88,7 +89,7 @@ def topic_summary(analysed: DataFrame, polarization: DataFrame | None = None,
     summary = (
         stats.join(words, TOPIC, "left")
         .join(polarization.select(*TOPIC, "polarization"), TOPIC, "left")
-        .join(quotes(analysed), TOPIC, "left")
+        .join(quotes(analysed, written(topic_centroids(analysed), "centroids")), TOPIC, "left")
         .withColumn("keywords", F.coalesce("keywords", F.lit("misc")))
         .withColumn("polarization", F.coalesce("polarization", F.lit(0.0)))
     )
