@@ -376,3 +376,37 @@ def test_a_scored_word_also_changes_the_next_and_repeats_count_once(spark):
     df = spark.createDataFrame([(1, "very good"), (2, "bad thing"), (3, "nothing here")], "comment_key LONG, body_clean STRING")
     got = {r["comment_key"]: r["sentiment"] for r in lexicon.comment_sentiment(df, lex).collect()}
     assert got == pytest.approx({1: (0.2 + 0.75) / 2, 2: -0.6, 3: 0.0})
+
+
+def counted(spark, df, column):
+    """The rows with an accumulator that counts how often each is made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        made.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(seen, "string").asNondeterministic()(column)), made
+
+
+def given_summaries(spark):
+    return spark.createDataFrame(
+        [(f"t{i % 3}", i, "a, b", 10 * i, i + 1, 2.5) for i in range(12)],
+        "thread_id STRING, cluster INT, keywords STRING, upvotes LONG, participants LONG, polarization DOUBLE")
+
+
+def test_nodes_make_the_summary_once(spark):
+    summary, made = counted(spark, given_summaries(spark), "thread_id")
+    assert len(network.topic_network_nodes(summary).collect()) == 12 and made.value == 12
+
+
+def test_context_makes_the_summary_once(spark):
+    summary, made = counted(spark, given_summaries(spark), "thread_id")
+    assert len(report.topic_context(summary, given_summaries(spark)).collect()) == 3 and made.value == 12
+
+
+def test_weights_read_the_texts_once(spark):
+    rows = spark.createDataFrame([(f"t{i % 2}", 1, i, f"red blue word{i}") for i in range(8)],
+                                 "thread_id STRING, cluster INT, comment_key LONG, body_clean STRING")
+    rows, made = counted(spark, rows, "body_clean")
+    assert len(keywords.term_weights(rows).collect()) == 12 and made.value == 8
