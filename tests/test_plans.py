@@ -120,3 +120,19 @@ def test_topic_sample_stops_at_the_first_text_that_does_not_fit(spark):
     df = spark.createDataFrame(data, "thread_id STRING, cluster INT, comment_key LONG, body_clean STRING")
     got = {r["cluster"]: r["text"] for r in report.topic_sample(df, n=60, max_chars=100).collect()}
     assert got == {0: "a" * 50, 1: "z" * 200}
+
+
+def test_shuffles_do_not_stay_beside_a_written_table(spark):
+    import time
+
+    from threadloom import session
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, held = disk.getAllFiles().size(), spark.conf.get(session.DROP_SHUFFLES, None)
+    df = spark.range(50_000).repartition(6).groupBy((F.col("id") % 997).alias("k")).agg(F.sum("id").alias("s"))
+    table = session.written(df, "kept")
+    until = time.time() + 10
+    while disk.getAllFiles().size() > before and time.time() < until:
+        time.sleep(.1)
+    assert disk.getAllFiles().size() <= before and spark.conf.get(session.DROP_SHUFFLES, None) == held
+    assert table.count() == 997 == session.written(df, "again").count()  # the same frame may be written twice
