@@ -136,3 +136,26 @@ def test_shuffles_do_not_stay_beside_a_written_table(spark):
         time.sleep(.1)
     assert disk.getAllFiles().size() <= before and spark.conf.get(session.DROP_SHUFFLES, None) == held
     assert table.count() == 997 == session.written(df, "again").count()  # the same frame may be written twice
+
+
+def test_tables_of_a_step_go_once_its_result_is_written(spark):
+    from pathlib import Path
+
+    from threadloom import session
+
+    files = lambda table: [Path(f.removeprefix("file:")) for f in table.inputFiles()]
+    df = spark.range(10)
+    with session.passing(spark) as lasting:
+        a, b = session.written(df, "a"), session.written(df, "b")
+        with session.passing(spark, opened=False) as inner:
+            c0 = session.written(df, "c0")
+            c = inner(c0.union(a), "c")
+        held = {name: files(table) for name, table in (("a", a), ("b", b), ("c0", c0), ("c", c))}
+        session.spent(a)
+        assert {name: any(f.exists() for f in at) for name, at in held.items()} == {"a": False, "b": True, "c0": False, "c": True}
+        out = lasting(b.union(c), "out")
+    assert out.count() == 30 and not any(f.exists() for at in held.values() for f in at)
+    with session.passing(spark, opened=False) as lasting:
+        kept = session.written(df, "kept")
+        session.spent(kept)
+    assert lasting is session.written and kept.count() == 10
