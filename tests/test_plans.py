@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import report
-from threadloom.plans import ordered, skew, tiles
+from threadloom.plans import components, ordered, skew, tiles
 from threadloom.plans.components import connected_components
 
 
@@ -82,6 +82,38 @@ def test_connected_components(spark):
     assert got["s", 500] == 500 and got["r", 5] == 0 and len(got) == 31 + 21 + 1 + 6
 
 
+def test_small_tables_of_the_rounds_are_few_files(spark, monkeypatch):
+    # Few links dealt over many partitions, which Spark is kept from joining again.
+    held, keep = [], components.cut_lineage
+
+    def counted(df):
+        held.append(keep(df))
+        return held[-1]
+
+    monkeypatch.setattr(components, "cut_lineage", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components.connected_components(spark.range(60).selectExpr("id AS u", "id + 1 AS v"), [], most=60)
+        found = {(r["node"], r["label"]) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {(i, 0) for i in range(61)}
+    assert len(held) > 3 and all(len(df.inputFiles()) == 1 for df in held)
+
+
+def test_blocks_in_order_share_a_file(spark, monkeypatch):
+    held, keep = [], ordered.cut_lineage
+
+    def counted(df):
+        held.append(keep(df))
+        return held[-1]
+
+    monkeypatch.setattr(ordered, "cut_lineage", counted)
+    got = ordered.rank_rows(spark.range(1000), [], ["id"], partitions=8, rows=1000)
+    assert sorted(map(tuple, got.collect())) == [(i, i + 1) for i in range(1000)]
+    assert held[0].select("_block").distinct().count() == 8 and len(held[0].inputFiles()) == 1
+
+
 def packed(texts, limit):
     out, current, used = [], [], 0
     for value in texts:

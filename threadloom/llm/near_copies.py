@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadloom.llm.tables import packed, sliced, unpacked
 from threadloom.plans.components import connected_components
 from threadloom.plans.skew import salted_join
-from threadloom.session import checkpointed, written
+from threadloom.session import checkpointed, few_files, written
 
 CHUNK = 4
 #: Symbols of the longer signature; how many may differ is 0.2 of all plus 4.75 standard deviations.
@@ -43,6 +43,8 @@ FINE = 144
 TILE_ROWS = 1024
 #: Texts of a block when links are confirmed; draws that choose the first partner in a bucket.
 BLOCK_TEXTS, DRAWS = 512, 6
+#: Rows of a task that writes a table, at least: signatures, texts that are compared, whole documents.
+CLASS_ROWS, COMPARED_ROWS, DOCUMENT_ROWS = 10_000, 2_000, 5_000
 
 
 @dataclass(frozen=True)
@@ -185,17 +187,17 @@ def _similar(s: np.ndarray, t: np.ndarray, rules: NearCopyRules) -> bool:
     return 100 * common >= rules.similar_percent * (len(s) + len(t) - common)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearCopyRules, every: bool = False) -> DataFrame:
-    """Pairs whose whole sets are similar enough.
+def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearCopyRules, most: int, every: bool = False) -> DataFrame:
+    """Pairs, ``most`` at most, whose whole sets are similar enough.
 
     Texts are dealt to blocks, and a tile of two blocks gets each text once,
     however many of its pairs lie there. Unless ``every`` pair is asked for, one
     whose ends are joined by links of the same tile is passed over.
     """
     size = rules.shingle
-    pairs = checkpointed(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("no"))
-    blocks = F.lit(1 + ends.distinct().count() // BLOCK_TEXTS)
+    pairs = checkpointed(few_files(pairs, most))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct().count()
+    blocks = F.lit(1 + ends // BLOCK_TEXTS)
     block = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
     tiled = pairs.select(F.least(block("a"), block("b")).alias("lo"), F.greatest(block("a"), block("b")).alias("hi"), "a", "b")
     needed = tiled.select("lo", "hi", F.explode(F.array("a", "b")).alias("no")).distinct()
@@ -221,7 +223,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearCopyRules, every:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(check, "a long, b long")
+    return few_files(rows.mapInArrow(check, "a long, b long"), ends, COMPARED_ROWS)
 
 
 def _star(buckets: DataFrame, rank: Column) -> DataFrame:
@@ -338,32 +340,34 @@ def _tiled(opened: DataFrame, classes: DataFrame, texts: DataFrame, rules: NearC
         lambda batches: _by_tiles(batches, rules, link, True), "a long, b long")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return connected_components(links, [], "a", "b").select(F.col("node").alias("no"), F.col("label").alias("part"))
+def _labels(links: DataFrame, most: int) -> DataFrame:
+    return connected_components(links, [], "a", "b", most).select(F.col("node").alias("no"), F.col("label").alias("part"))
 
 
 def _components(classes: DataFrame, texts: DataFrame, rules: NearCopyRules) -> DataFrame:
     """(no, part) of the classes that are linked with another; ``part`` is the smallest no."""
     keys = _keys(classes, rules)
     shared = keys.groupBy("key").agg(F.min("no").alias("lo"), F.max("no").alias("hi")).filter("lo <> hi")
-    buckets = written(keys.join(shared.select("key"), "key"), "buckets")
+    buckets = written(few_files(keys.join(shared.select("key"), "key"), classes.count() * rules.symbols), "buckets")
+    most = buckets.count()  # a member is in one pair of its bucket at a time
 
     drawn = _star(buckets, F.xxhash64("no", F.pmod("key", F.lit(DRAWS))))
-    first = written(_confirmed(_within(drawn, classes, rules), texts, rules, every=True), "links")
+    first = written(_confirmed(_within(drawn, classes, rules), texts, rules, most, every=True), "links")
     degree = first.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("degree"))
     ranked = buckets.join(degree, "no", "left")
     middle = _star(ranked, -F.coalesce("degree", F.lit(0))).join(first, ["a", "b"], "left_anti")
-    second = written(_confirmed(_within(middle, classes, rules), texts, rules), "links")
-    parts = checkpointed(_labels(first.unionByName(second)))
+    second = written(_confirmed(_within(middle, classes, rules), texts, rules, most), "links")
+    linked = first.unionByName(second)
+    parts = checkpointed(_labels(linked, linked.count()))
 
-    opened = written(_open_buckets(buckets, parts), "opened")
-    last = written(_tiled(opened, classes, texts, rules), "links")
+    opened = written(few_files(_open_buckets(buckets, parts), most), "opened")
+    last = written(few_files(_tiled(opened, classes, texts, rules), opened.count(), COMPARED_ROWS), "links")
     if last.isEmpty():
         return parts
     known = parts.select(F.col("no").alias("a"), F.col("part").alias("u"))
     merged = last.join(known, "a", "left").join(known.toDF("b", "v"), "b", "left").select(
         F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b"))
-    joined = _labels(merged).toDF("part", "whole")  # of components and single classes
+    joined = _labels(merged, last.count()).toDF("part", "whole")  # of components and single classes
     moved = parts.join(joined, "part", "left").select("no", F.coalesce("whole", "part").alias("part"))
     alone = joined.join(parts.select(F.col("no").alias("part")), "part", "left_anti")
     return moved.unionByName(alone.toDF("no", "part"))
@@ -385,7 +389,8 @@ def grouped(
     rows = rows.withColumn("row", F.struct(*(F.col(f"row.`{c}`") for c in columns)))
     marks = written(_marked(rows, rules), "marks")
     owners = marks.filter("n > 0").groupBy("hi", "lo").agg(F.min("no").alias("no"))
-    classes = written(marks.select("no", "sig").join(owners.select("no"), "no"), "classes")
+    n = marks.count()
+    classes = written(few_files(marks.select("no", "sig").join(owners.select("no"), "no"), n, CLASS_ROWS), "classes")
     texts = marks.select("no", F.col(f"row.`{text}`").alias("text"))
     parts = _components(classes, texts, rules)
     owners = owners.join(parts, "no", "left").select("hi", "lo", F.coalesce("part", "no").alias("part"))
@@ -394,7 +399,7 @@ def grouped(
         F.min("id").alias("component_id"),
         F.min(F.struct(F.col("id").isNull().alias("late"), "id", "no")).alias("head"))
     placed = salted_join(placed, heads, ["part"], ["no"]).select("no", "component_id", (F.col("no") == F.col("head.no")).alias("first"))
-    out = marks.select("row", "id", "no", "n").join(placed, "no", "left")
+    out = few_files(marks.select("row", "id", "no", "n").join(placed, "no", "left"), n, DOCUMENT_ROWS)
     return out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))) \
         .withColumn("first", F.coalesce("first", F.lit(True)))
 

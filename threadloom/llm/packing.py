@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from threadloom.llm.byte_ids import RANKS, VOCABULARY, encoder
 from threadloom.llm.tables import sliced
 from threadloom.plans.ordered import rank_rows, running_total
-from threadloom.session import written
+from threadloom.session import few_files, written
 
 WINDOW = 2048
 END_ID = 1
@@ -206,7 +206,8 @@ def pack(
                           (F.col("n") % window).cast("int").alias("rest"))
 
     # whole windows take the first sequence numbers
-    long_ones = running_total(sizes.filter("whole > 0"), [], ["no"], F.col("whole"), "upto").select(
+    most = tokens.count()
+    long_ones = running_total(sizes.filter("whole > 0"), [], ["no"], F.col("whole"), "upto", rows=most).select(
         "no", (F.col("upto") - F.col("whole")).alias("window_sequence"))
     histogram = sizes.filter("rest > 0").groupBy("rest").agg(F.count(F.lit(1)).alias("n")).collect()  # < window rows
     counts = np.zeros(window + 1, np.int64)
@@ -222,15 +223,15 @@ def pack(
     by_length = spark.createDataFrame(
         [(length, rows, max(e for _, e, _, _ in rows)) for length, rows in taken.items()], schema)
 
-    ranked = rank_rows(sizes.filter("rest > 0"), ["rest"], ["no"], "rank")
+    ranked = rank_rows(sizes.filter("rest > 0"), ["rest"], ["no"], "rank", rows=most)
     ranked = ranked.withColumn("k", F.col("rank") - 1).join(F.broadcast(by_length), "rest", "left")
     slot = F.filter("slots", lambda s: (s["start"] <= F.col("k")) & (F.col("k") < s["end"]))[0]
     fits = F.coalesce(F.col("k") < F.col("used"), F.lit(False))
-    ranked = written(ranked.select("no", "rest", "k", F.when(fits, slot).alias("slot")), "ranked")
+    ranked = written(few_files(ranked.select("no", "rest", "k", F.when(fits, slot).alias("slot")), most), "ranked")
     filled = ranked.filter("slot is not null").select(
         "no", "rest", (F.col("slot.sequence") + F.col("k") - F.col("slot.start") + first_filled).alias("sequence"), "slot.offset")
     residual = running_total(ranked.filter("slot is null").select("no", "rest"), [], ["no"],
-                             F.col("rest").cast("long"), "upto")
+                             F.col("rest").cast("long"), "upto", rows=most)
     residual = residual.select("no", "rest", (F.col("upto") - F.col("rest")).alias("position"))
 
     used = sum(length * (end - start) for length, start, end, _, _ in slots)
@@ -260,9 +261,9 @@ def pack(
             lists = [pa.array([[p[i] for p in f] for f in found], pa.list_(pa.int64())) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("no"), *lists], ["no", "lengths", "sequences", "offsets"])
 
-    residual = written(residual.select("no", "rest", "position").mapInArrow(
+    residual = written(few_files(residual.select("no", "rest", "position").mapInArrow(
         parts, "no long, lengths array<long>, sequences array<long>, offsets array<long>").join(
-        tokens.select("no", "h1", "h2"), "no"), "residual")
+        tokens.select("no", "h1", "h2"), "no"), most), "residual")
     cuts = residual.filter(F.size("lengths") > 1)
     cut_key = ["h1", "h2", "lengths"]
     sums = _cut_sums(texts, cuts, window, vocabulary, ranks, end_id)
