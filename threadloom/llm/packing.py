@@ -164,8 +164,8 @@ def _summed(texts: DataFrame, window: int, vocabulary: str, ranks: str, end_id:
     return made.withColumn("no", F.monotonically_increasing_id())
 
 
-def _cut_sums(texts: DataFrame, cuts: DataFrame, window: int, vocabulary: str, ranks: str, end_id: int) -> DataFrame:
-    """(h1, h2, lengths, cut_crcs) for the rests that are cut into pieces of these lengths.
+def _cut_sums(texts: DataFrame, cuts: DataFrame, most: int, window: int, vocabulary: str, ranks: str, end_id: int) -> DataFrame:
+    """(h1, h2, lengths, cut_crcs) for the rests, ``most`` at most, that are cut into pieces of these lengths.
 
     Equal texts with equal cuts are one row. A text has fewer than ``window`` places to cut its rest at.
     """
@@ -186,7 +186,7 @@ def _cut_sums(texts: DataFrame, cuts: DataFrame, window: int, vocabulary: str, r
     text_key = ["h1", "h2"]
     ways = cuts.groupBy(*text_key, "lengths").agg(F.lit(1)).groupBy(*text_key).agg(F.collect_list("lengths").alias("ways"))
     # written, so that Spark knows its size: texts are shuffled only when these keys are too many to send to all tasks
-    keys = written(ways.select(*text_key), "cut-texts")
+    keys = written(few_files(ways.select(*text_key), most), "cut-texts")
     once = texts.select("text", *text_key).join(keys, text_key, "left_semi").groupBy(*text_key).agg(
         F.first("text").alias("text"))
     return once.join(ways, text_key).mapInArrow(encode, "h1 long, h2 long, lengths array<long>, cut_crcs array<long>")
@@ -266,7 +266,7 @@ def pack(
         tokens.select("no", "h1", "h2"), "no"), most), "residual")
     cuts = residual.filter(F.size("lengths") > 1)
     cut_key = ["h1", "h2", "lengths"]
-    sums = _cut_sums(texts, cuts, window, vocabulary, ranks, end_id)
+    sums = _cut_sums(texts, cuts, most, window, vocabulary, ranks, end_id)
     placed = filled.select(
         "no", *(F.array(F.col(c).cast("long")).alias(n) for c, n in (("rest", "lengths"), ("sequence", "sequences"), ("offset", "offsets"))),
     ).unionByName(residual.filter(F.size("lengths") == 1).drop("h1", "h2")).withColumn(
