@@ -410,3 +410,29 @@ def test_weights_read_the_texts_once(spark):
                                  "thread_id STRING, cluster INT, comment_key LONG, body_clean STRING")
     rows, made = counted(spark, rows, "body_clean")
     assert len(keywords.term_weights(rows).collect()) == 12 and made.value == 8
+
+
+def test_terms_are_counted_again_only_for_large_topics(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 0, i, "red blue" if i % 2 else "red") for i in range(6)],
+                                 "thread_id STRING, cluster INT, comment_key LONG, body_clean STRING")
+    counted, joined = [], keywords.salted_join
+
+    def seen(left, right, on, spread, how="inner", counts=None, **more):
+        counted.append({r["term"]: r["_n"] for r in counts.collect()})
+        return joined(left, right, on, spread, how, counts, 2, **more)
+
+    monkeypatch.setattr(keywords, "salted_join", seen)
+    found = [sorted((r["comment_key"], r["term"], round(r["weight"], 9)) for r in keywords.tfidf(rows, []).collect())]
+    monkeypatch.setattr(keywords, "HOT_MIN_ROWS", 5)
+    found.append(sorted((r["comment_key"], r["term"], round(r["weight"], 9)) for r in keywords.tfidf(rows, []).collect()))
+    assert counted == [{}, {"red": 6, "blue": 3}] and found[0] == found[1] and len(found[0]) == 9
+
+
+def test_words_before_a_scored_one_come_without_a_function_of_each_word(spark):
+    rows = spark.createDataFrame([(1, "good"), (2, "not good"), (3, "not very good"), (4, None), (5, "! ?"), (6, "very good not")],
+                                 "comment_key LONG, body_clean STRING")
+    terms = spark.createDataFrame([("good", .5, None, None), ("very", None, 1.5, None), ("not", None, None, True)],
+                                  "term STRING, polarity DOUBLE, intensity DOUBLE, negates BOOLEAN")
+    found = lexicon.comment_sentiment(rows, terms)
+    assert "lambdafunction" not in found._jdf.queryExecution().toString()
+    assert {r["comment_key"]: r["sentiment"] for r in found.collect()} == {1: .5, 2: -.25, 3: -.375, 4: 0, 5: 0, 6: .75}
